@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import bitpack, bpe
+from . import bitpack, bpe, langid, quality, toxicity
 
 QUERIES = {
     "op5_token_files": bitpack.op5_token_files,
+    "op6_quality_rules": quality.op6_quality_rules,
+    "op8_language_id": langid.op8_language_id,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_bpe": bpe.op10_bpe,
 }
 
