@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import bitpack, bpe, langid, quality, toxicity
+from . import ann, bitpack, bpe, langid, lm, quality, toxicity
 
 QUERIES = {
+    "op1_ann": ann.op1_ann,
+    "op3_lm_score": lm.op3_lm_score,
     "op5_token_files": bitpack.op5_token_files,
     "op6_quality_rules": quality.op6_quality_rules,
     "op8_language_id": langid.op8_language_id,

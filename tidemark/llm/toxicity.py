@@ -51,7 +51,7 @@ def units(word: str) -> list[str]:
 
 
 class Marker(dict):
-    """Raw word -> index of its most significant marked unit, or -1."""
+    """Raw word -> index of its marked unit, the word itself before its prefixes and long before short; or -1."""
 
     def __init__(self, lexicon: list[str]):
         super().__init__()
@@ -60,7 +60,7 @@ class Marker(dict):
     def __missing__(self, raw: bytes) -> int:
         if len(self) > MEMO:
             self.clear()
-        found = min((i for i in map(self.index.get, units(normal_word(raw))) if i is not None), default=-1)
+        found = next((i for i in map(self.index.get, units(normal_word(raw))) if i is not None), -1)
         if len(raw) <= 64:
             self[raw] = found
         return found
@@ -205,6 +205,16 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30))), [(c[0], m) for c, m in zip(chains, marginal, strict=True)]
 
 
+def spread(found: list[tuple[str, int]]) -> list[str]:
+    """Without prefixes that occur in hardly more toxic texts than one of the words or longer prefixes they begin."""
+    best: dict[str, int] = {}
+    for unit, n in found:
+        for p in units(unit.lstrip("^")):
+            if p.startswith("^") and p != unit:
+                best[p] = max(best.get(p, 0), n)
+    return [u for u, n in found if not u.startswith("^") or n > 1.3 * best.get(u, 0)]
+
+
 def sample_labels(labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     """doc_id and toxic of at most about ``most`` texts of each class, picked by hash: the whole class where it is smaller."""
     clean = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -241,7 +251,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     rate, clean = F.col("t") / n1, (F.col("c") + 0.5) / (n0 + 1)
     z = (rate - clean) / F.sqrt(clean * (1 - clean) / n1 + rate * (1 - rate) / n1)
     rows = tallied.where("t >= 3").withColumn("z", z).where(F.col("z").isNull() | (F.col("z") >= SIGMAS)).where(rate > 3 * clean).orderBy(F.desc("z"), "word").limit(LEXICON).collect()
-    lexicon = [r.word for r in rows]
+    lexicon = spread([(r.word, r.t) for r in rows])
     first = Model(lexicon, Field(np.zeros(len(lexicon))), None)
     shared = spark.sparkContext.broadcast(first)
 
