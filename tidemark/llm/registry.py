@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import ann, bitpack, bpe, langid, lm, quality, toxicity
+from . import ann, bitpack, bpe, jaccard, langid, lm, quality, toxicity
 
 QUERIES = {
     "op1_ann": ann.op1_ann,
     "op3_lm_score": lm.op3_lm_score,
     "op5_token_files": bitpack.op5_token_files,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op7_jaccard_join": jaccard.op7_jaccard_join,
     "op8_language_id": langid.op8_language_id,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_bpe": bpe.op10_bpe,
