@@ -25,8 +25,9 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import table, text_bytes
+from .common import ship, table, text_bytes
 
 #: The pre-tokenisation pattern of the byte-level tokenizer (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -301,6 +302,7 @@ def frequent_words(docs: DataFrame, path: str | None = None, share: float = LEXI
     """
     import pyarrow as pa
 
+    ship(docs.sparkSession)
     path = path or default_path()
 
     def count(batches):
@@ -335,6 +337,7 @@ def encode(docs: DataFrame, path: str | None = None, lexicon: bytes | None = Non
     """``docs`` with a column of token ids; a column of that name is replaced."""
     import pyarrow as pa
 
+    ship(docs.sparkSession)
     path = path or default_path()
     blob = docs.sparkSession.sparkContext.broadcast(lexicon if lexicon is not None else build_lexicon(docs.select(F.col(text).alias("text")), path))
     base = docs.drop(out)
@@ -347,14 +350,14 @@ def encode(docs: DataFrame, path: str | None = None, lexicon: bytes | None = Non
             ids = [x for i in range(0, len(texts), 256) for x in bpe.encode_batch(texts[i : i + 256])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names, out])
 
-    schema = base.schema.add(out, "array<int>")
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(frame: DataFrame, path: str | None = None, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``frame`` with the decoded text of its column of ids (null: empty)."""
     import pyarrow as pa
 
+    ship(frame.sparkSession)
     path = path or default_path()
     base = frame.drop(out)
     at = base.columns.index(ids)
@@ -365,13 +368,14 @@ def decode(frame: DataFrame, path: str | None = None, ids: str = "ids", out: str
             texts = [bpe.decode(x or []) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out])
 
-    return base.mapInArrow(run, base.schema.add(out, "string"))
+    return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField(out, T.StringType())]))
 
 
 def digest(docs: DataFrame, path: str | None = None, lexicon: bytes | None = None) -> DataFrame:
     """doc_id, n_tokens and the SHA-256 of the ids and of the decoded text, made in one pass without moving ids."""
     import pyarrow as pa
 
+    ship(docs.sparkSession)
     path = path or default_path()
     blob = docs.sparkSession.sparkContext.broadcast(lexicon if lexicon is not None else build_lexicon(docs, path))
 

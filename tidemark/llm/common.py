@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,12 +16,30 @@ from pyspark.sql import functions as F
 ASCII_SPACE = r"[\x20\x09-\x0D]"
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of ``spark``'s executors, once for each context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tidemark_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix="tidemark-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = f"{folder}/tidemark.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    sc.addPyFile(path)
+    sc._tidemark_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    ship(spark)
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if path is None:

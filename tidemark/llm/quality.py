@@ -22,6 +22,7 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import checkpoint, table, text_bytes
 
@@ -102,10 +103,11 @@ def counts(docs: DataFrame, keep: list[str]) -> DataFrame:
             made = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] or [pa.array([], pa.int64())] * len(names)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], [*keep, *names])
 
-    schema = base.select(*keep).schema
-    for n in names:
-        schema = schema.add(n, "long")
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(run, with_longs(base.select(*keep).schema, names))
+
+
+def with_longs(schema: T.StructType, names: list[str]) -> T.StructType:
+    return T.StructType([*schema.fields, *[T.StructField(n, T.LongType()) for n in names]])
 
 
 def rules() -> dict[str, Column]:
@@ -191,9 +193,10 @@ def verdict(cutoffs: dict[tuple[str | None, str], float]) -> Column:
     return ~bad
 
 
-def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """doc_id, the counts, base_failed and kept for each row of ``docs``."""
-    measured = counts(docs.withColumn("stratum", F.col(stratum).cast("string")), ["doc_id", "stratum"])
+def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, error: float = ERROR, keep: tuple | list = ()) -> DataFrame:
+    """doc_id, ``keep``, the counts, base_failed and kept for each row of ``docs``; text_key is a hash of the text."""
+    keyed = docs.withColumn("stratum", F.col(stratum).cast("string")).withColumn("text_key", F.xxhash64("text"))
+    measured = counts(keyed, ["doc_id", *keep, "stratum"])
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     measured = checkpoint(measured.withColumn("base_failed", failed))
     cutoffs = certify(measured, labels, risk, error)
@@ -201,26 +204,10 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float
 
 
 def apply(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns."""
-    import pyarrow as pa
-
-    measured = checkpoint(counts(docs.withColumn("stratum", F.col(stratum).cast("string")), ["doc_id", "stratum"]).withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))))
-    cutoffs = certify(measured, labels)
-    at, tags = docs.columns.index("text"), [f"__q_{n}" for n in BASE + EXTRA]
-    schema = docs.schema
-    for t in tags:
-        schema = schema.add(t, "long")
-
-    def run(batches):
-        for batch in batches:
-            rows = [measure(t) for i in range(0, len(batch), 512) for t in text_bytes(batch.column(at).slice(i, 512))]
-            made = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] or [pa.array([], pa.int64())] * len(tags)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *tags])
-
-    wide = docs.mapInArrow(run, schema)
-    view = wide.select(F.struct(*docs.columns).alias("__doc"), F.col(stratum).cast("string").alias("stratum"), *[F.col(t).alias(n) for t, n in zip(tags, BASE + EXTRA, strict=True)])
-    fine = (F.col("n_words") >= 20) & (100 * F.col("n_repeat_words") <= 30 * F.col("n_words"))
-    return view.where(fine & verdict(cutoffs)).select("__doc.*")
+    """The rows of ``docs`` that are kept, with all their columns; repeated rows share their fate."""
+    judged = judge(docs, labels, stratum, keep=["text_key"])
+    gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left_anti")
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:

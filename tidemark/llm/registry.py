@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import ann, bitpack, bpe, jaccard, langid, lm, quality, toxicity
+from . import ann, bitpack, bpe, jaccard, langid, lm, mixing, quality, secrets, toxicity
 
 QUERIES = {
     "op1_ann": ann.op1_ann,
+    "op2_secrets": secrets.op2_secrets,
     "op3_lm_score": lm.op3_lm_score,
+    "op4_mixing": mixing.op4_mixing,
     "op5_token_files": bitpack.op5_token_files,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_jaccard_join": jaccard.op7_jaccard_join,
