@@ -1,4 +1,6 @@
 """All queries of the time-series engine with their SQL."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from .plans.oracles import SQL
+from .plans.queries import QUERIES
+
+__all__ = ["QUERIES", "SQL"]
