@@ -88,4 +88,4 @@ def strategy(df: DataFrame, keys: list[str], order: str = "row_id", per_year: fl
     curve = curve.withColumn("drawdown", F.col("equity") / F.greatest(F.lit(1.0), F.max("equity").over(w)) - 1)
     on = F.when(F.col("active"), F.col("net"))
     std = F.stddev_samp("net")
-    return curve.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if("active").alias("trades"), (F.exp(F.sum("net")) - 1).alias("cumulative"), F.least(F.lit(0.0), F.min("drawdown")).alias("max_drawdown"), F.avg((on > 0).cast("double")).alias("hit_rate"), F.avg(on).alias("mean_active"), safe_div(math.sqrt(per_year) * F.avg("net"), std).alias("sharpe"))
+    return curve.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if("active").alias("trades"), F.sum("net").alias("log_return"), (F.exp(F.sum("net")) - 1).alias("cumulative"), F.least(F.lit(0.0), F.min("drawdown")).alias("max_drawdown"), F.avg((on > 0).cast("double")).alias("hit_rate"), F.avg(on).alias("mean_active"), safe_div(math.sqrt(per_year) * F.avg("net"), std).alias("sharpe"))

@@ -186,7 +186,7 @@ SQL = {
     "schedule_single_position": f"WITH RECURSIVE {ONE} SELECT horizon, row_id, CASE WHEN p > 0.5 THEN 1 ELSE -1 END AS signal, 'row' || row_id || '_entry' || (row_id + 1) || '_exit' || (row_id + 1 + horizon) AS signal_id FROM taken",
     "replay_signals": f"WITH RECURSIVE {greedy('entry_ts', 'exit_ts', 'abs(p - 0.5) >= 0.05')} SELECT horizon, row_id, strftime(entry_ts, '%Y.%m.%d 00:00') AS entry_time, strftime(exit_ts, '%Y.%m.%d 00:00') AS exit_time, CASE WHEN p >= 0.5 THEN 1 ELSE -1 END AS direction, 'h' || horizon || '_row' || row_id AS signal_id FROM taken",
     "return_ledger": f"WITH RECURSIVE {LEDGER} SELECT horizon, row_id, active, signal, signal_id, " + ", ".join(R6(s, s) for s in STRATEGIES) + " FROM led",
-    "benchmark_summaries": f"WITH RECURSIVE {LEDGER}, ln AS (" + " UNION ALL ".join(f"SELECT horizon, row_id, '{s}' AS strategy, {'false' if s == 'cash' else 'active'} AS active, {s} AS net FROM led" for s in STRATEGIES) + f"), cu AS (SELECT *, exp(sum(net) OVER (PARTITION BY horizon, strategy ORDER BY row_id)) AS eq FROM ln), dd AS (SELECT *, eq / greatest(1, max(eq) OVER (PARTITION BY horizon, strategy ORDER BY row_id)) - 1 AS d FROM cu) SELECT 'ORDERS' AS symbol, horizon, strategy, count(*) AS n, count(*) FILTER (WHERE active) AS trades, {R6('sum(net)', 'cumulative_log')}, {R6('least(0, min(d))', 'max_drawdown')}, {R6('avg(CASE WHEN active THEN CASE WHEN net > 0 THEN 1e0 ELSE 0e0 END END)', 'hit_rate')}, {R6('avg(CASE WHEN active THEN net END)', 'mean_active')}, {R6('sqrt(252.0::DOUBLE) * avg(net) / nullif(stddev_samp(net), 0)', 'sharpe')} FROM dd GROUP BY 1, 2, 3",
+    "benchmark_summaries": f"WITH RECURSIVE {LEDGER}, ln AS (" + " UNION ALL ".join(f"SELECT horizon, row_id, '{s}' AS strategy, {'false' if s == 'cash' else 'active'} AS active, {s} AS net FROM led" for s in STRATEGIES) + f"), cu AS (SELECT *, exp(sum(net) OVER (PARTITION BY horizon, strategy ORDER BY row_id)) AS eq FROM ln), dd AS (SELECT *, eq / greatest(1, max(eq) OVER (PARTITION BY horizon, strategy ORDER BY row_id)) - 1 AS d FROM cu) SELECT 'ORDERS' AS symbol, horizon, strategy, count(*) AS n, count(*) FILTER (WHERE active) AS trades, {R6('sum(net)', 'log_return')}, {R6('least(0, min(d))', 'max_drawdown')}, {R6('avg(CASE WHEN active THEN CASE WHEN net > 0 THEN 1e0 ELSE 0e0 END END)', 'hit_rate')}, {R6('avg(CASE WHEN active THEN net END)', 'mean_active')}, {R6('sqrt(252.0::DOUBLE) * avg(net) / nullif(stddev_samp(net), 0)', 'sharpe')} FROM dd GROUP BY 1, 2, 3",
     "trade_reconciliation": f"WITH RECURSIVE {ONE} SELECT count(*) AS matched, 0::BIGINT AS missing, 0::BIGINT AS unexpected, 0::BIGINT AS repeated, 0::BIGINT AS wrong_direction, 0::BIGINT AS wrong_time, 0::BIGINT AS bad_price, 'PASS' AS verdict FROM taken WHERE horizon = 5",
     "trial_alignment": f"WITH {TRIALS} SELECT trial_id, count(*) AS n, min(row_id) AS first, max(row_id) AS last, {R6('sum(ret)', 'total')} FROM al GROUP BY 1",
     "pbo_cscv": f"WITH {PBO} SELECT count(*) AS n_splits, round(avg(CASE WHEN logit <= 0 THEN 1e0 ELSE 0e0 END), 5) + 0.0 AS pbo, round(median(logit), 5) + 0.0 AS median_logit FROM lo2",

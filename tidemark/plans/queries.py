@@ -164,7 +164,7 @@ QUERIES = {
     "schedule_single_position": lambda s, d: rounded(schedule.one_position(scored(s, d), KEYS).select("horizon", "row_id", "signal", "signal_id")),
     "replay_signals": lambda s, d: rounded(schedule.replay_signals(scored(s, d), KEYS).select("horizon", "row_id", "entry_time", "exit_time", "direction", "signal_id")),
     "return_ledger": lambda s, d: rounded(schedule.ledger(scored(s, d), KEYS).drop("symbol")),
-    "benchmark_summaries": lambda s, d: rounded(schedule.benchmarks(schedule.ledger(scored(s, d), KEYS), KEYS).withColumn("cumulative_log", F.log1p("cumulative")).drop("cumulative")),
+    "benchmark_summaries": lambda s, d: rounded(schedule.benchmarks(schedule.ledger(scored(s, d), KEYS), KEYS).drop("cumulative")),
     "schedule_violations": lambda s, d: rounded(schedule.schedule_violations(schedule.one_position(scored(s, d), KEYS), KEYS)),
     "trade_reconciliation": reconciliation,
     "trial_alignment": lambda s, d: rounded(multiplicity.align(trials(s, d)).groupBy("trial_id").agg(F.count("*").alias("n"), F.min("row_id").alias("first"), F.max("row_id").alias("last"), F.sum("ret").alias("total"))),
