@@ -57,6 +57,10 @@ def statistics(docs: DataFrame, marks: dict[str, list[str]], keep: list) -> Data
     size = F.greatest(F.length(text), F.lit(1))
     rate = lambda chars: (size - F.length(F.translate(text, chars, ""))) / size
     base = docs.select(*keep, text.alias("text"), F.split(F.lower(text), f"{ASCII_SPACE}+").alias("w"))
+    base = base.withColumn("kinds", F.array_distinct("w"))
+    marked = sorted({w for found in marks.values() for w in found})
+    if marked:
+        base = base.withColumn("hit", F.array_intersect("kinds", F.array(*map(F.lit, marked))))
     pieces = F.greatest(F.size("w"), F.lit(1))
     blanks = (F.element_at("w", 1) == "").cast("int") + ((F.size("w") > 1) & (F.element_at("w", -1) == "")).cast("int")
     level = lambda x, step, top: F.least(F.floor(x * step), F.lit(top)).cast("int")
@@ -65,12 +69,12 @@ def statistics(docs: DataFrame, marks: dict[str, list[str]], keep: list) -> Data
         "exclaims": level(F.sqrt(rate("!")), 20, 9),
         "capitals": level(F.sqrt(rate("ABCDEFGHIJKLMNOPQRSTUVWXYZ")), 12, 9),
         "digits": level(F.sqrt(rate("0123456789")), 15, 9),
-        "distinct": level(F.size(F.array_distinct("w")) / pieces, 10, 9),
+        "distinct": level(F.size("kinds") / pieces, 10, 9),
         "length": level(F.log2(pieces.cast("double")), 1, 14),
     }
     for name, found in marks.items():
         if found:
-            bins[f"marks_{name}"] = F.least(F.size(F.array_intersect("w", F.array(*map(F.lit, found)))), F.lit(6))
+            bins[f"marks_{name}"] = F.least(F.size(F.array_intersect("hit", F.array(*map(F.lit, found)))), F.lit(6))
     return base.select(*keep, (F.size("w") - blanks).cast("long").alias("n_tokens"), *[b.alias(f"b_{n}") for n, b in bins.items()])
 
 
