@@ -55,7 +55,7 @@ def statistics(docs: DataFrame, marks: dict[str, list[str]], keep: list) -> Data
     """``keep`` with n_tokens and the bin of each statistic of the text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     size = F.greatest(F.length(text), F.lit(1))
-    rate = lambda chars: (size - F.length(F.translate(text, chars, ""))) / size
+    rate = lambda kind: F.regexp_count(text, F.lit(kind)) / size
     base = docs.select(*keep, text.alias("text"), F.split(F.lower(text), f"{ASCII_SPACE}+").alias("w"))
     base = base.withColumn("kinds", F.array_distinct("w"))
     marked = sorted({w for found in marks.values() for w in found})
@@ -65,10 +65,9 @@ def statistics(docs: DataFrame, marks: dict[str, list[str]], keep: list) -> Data
     blanks = (F.element_at("w", 1) == "").cast("int") + ((F.size("w") > 1) & (F.element_at("w", -1) == "")).cast("int")
     level = lambda x, step, top: F.least(F.floor(x * step), F.lit(top)).cast("int")
     bins = {
-        "symbols": level(F.sqrt(rate("#*$%&|<>")), 20, 9),
+        "symbols": level(F.sqrt(rate("[#*$%&|<>]")), 20, 9),
         "exclaims": level(F.sqrt(rate("!")), 20, 9),
-        "capitals": level(F.sqrt(rate("ABCDEFGHIJKLMNOPQRSTUVWXYZ")), 12, 9),
-        "digits": level(F.sqrt(rate("0123456789")), 15, 9),
+        "capitals": level(F.sqrt(rate("[A-Z]")), 12, 9),
         "distinct": level(F.size("kinds") / pieces, 10, 9),
         "length": level(F.log2(pieces.cast("double")), 1, 14),
     }
