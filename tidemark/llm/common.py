@@ -40,6 +40,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Most rows of ids and hashes that are broadcast (about 100 MB in an executor); longer lists are joined by a shuffle.
+FEW = 4_000_000
+
+
+def counted(ids: DataFrame) -> DataFrame:
+    """``ids`` materialised, with a broadcast hint if their count allows it."""
+    ids = checkpoint(ids)
+    return F.broadcast(ids) if ids.count() <= FEW else ids
+
+
 def run_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import run_folder, table, text_bytes
+from .common import counted, run_folder, table, text_bytes
 from .graph import components
 
 WORDS = 4
@@ -220,7 +220,7 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     spread = sized.withColumn("chunk", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks").cast("int") - 1)))
     tasks = spread.select("rep", "root", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk")
     # text of a member, once for each task it is in
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(members.select("rep").distinct(), "rep", "left_semi")
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(counted(members.select("rep").distinct()), "rep", "left_semi")
     work = tasks.join(texts, "rep")
 
     def solve(group: pa.Table) -> pa.Table:
@@ -249,7 +249,7 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
 def keep_one(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` whose document is the smallest of its component; rows without an id stay."""
     other = join(docs.where("doc_id is not null"), n, percent).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(other, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(counted(other), "doc_id", "left_anti").select(docs.columns)
 
 
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:

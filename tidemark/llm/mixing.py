@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, checkpoint, table
+from .common import ASCII_SPACE, checkpoint, counted, table
 
 DOMAINS = ("clean", "low", "toxic")
 #: Target shares of the tokens.
@@ -186,7 +186,7 @@ def apply(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None =
     rated = mix(docs.withColumn("text_key", F.xxhash64("text")), labels, weights, ["doc_id", "text_key"])
     draw = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
     gone = rated.where((draw >= F.col("rate")) & (F.col("p_clean") < 0.5)).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left_anti")
+    return docs.join(counted(gone), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left_anti")
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, table, text_bytes
+from .common import checkpoint, counted, table, text_bytes
 
 #: Largest share of good documents that one rule may reject in a stratum.
 RISK = 0.01
@@ -207,7 +207,7 @@ def apply(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFram
     """The rows of ``docs`` that are kept, with all their columns; repeated rows share their fate."""
     judged = judge(docs, labels, stratum, keep=["text_key"])
     gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left_anti")
+    return docs.join(counted(gone), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left_anti")
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
