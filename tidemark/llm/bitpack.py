@@ -14,6 +14,7 @@ writes no file and gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 import zlib
@@ -22,6 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import NONE, byte_letters
 from .common import run_folder, table, text_bytes
 
 MAGIC = b"TIDEBITS"
@@ -110,8 +112,65 @@ class WordCache:
         self.tokenizer.no_padding()
         self.special = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self._load(path)
+
+    def _load(self, path: str) -> None:
+        """Merge table, if the tokenizer is of the lower-case kind that :meth:`merged` covers."""
+        import regex
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, kinds = spec["model"], [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+        steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.rank, self.new = {}, []
+        if model["type"] != "BPE" or kinds != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in steps] != ["Split", "ByteLevel"] or not steps[0]["invert"]:
+            return
+        self.vocab, self.suffix, self.letters = model["vocab"], model["end_of_word_suffix"] or "", byte_letters()
+        self.cut = regex.compile(steps[0]["pattern"]["Regex"]).findall
+        for r, merge in enumerate(model["merges"]):
+            left, right = merge if isinstance(merge, list) else merge.split(" ")
+            self.rank[self.vocab[left], self.vocab[right]] = r
+            self.new.append(self.vocab[left + right])
 
     def ids(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word: short Latin-1 words, which normalisation only lower-cases, by exact merges here, others by the library."""
+        out = [self.merged(t) if len(w) <= LONG and (t := w.decode("utf-8", "replace")) and max(t) <= "\xff" else None for w in words] if self.rank else [None] * len(words)
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(rest, self.by_library([words[i] for i in rest]) if rest else [], strict=True):
+            out[i] = x
+        return out
+
+    def merged(self, text: str) -> bytes:
+        made = b""
+        for piece in self.cut(text.lower()):
+            got = self.pieces.get(piece)
+            if got is None:
+                letters = [self.letters[b] for b in piece.encode()]
+                letters[-1] += self.suffix
+                got = self.merge([self.vocab[x] for x in letters])
+                if len(piece) <= LONG:
+                    self.pieces[piece] = got
+            made += got
+        if len(self.pieces) > MEMO:
+            self.pieces.clear()
+        return made
+
+    def merge(self, ids: list[int]) -> bytes:
+        """The pair of lowest rank first, from the left."""
+        get, new = self.rank.get, self.new
+        ranks = [get(pair, NONE) for pair in zip(ids, ids[1:])]
+        while ranks and (best := min(ranks)) != NONE:
+            i = ranks.index(best)
+            ids[i : i + 2] = (new[best],)
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get((ids[i - 1], ids[i]), NONE)
+            if i < len(ranks):
+                ranks[i] = get((ids[i], ids[i + 1]), NONE)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def by_library(self, words: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
