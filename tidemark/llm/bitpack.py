@@ -111,7 +111,7 @@ class WordCache:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[bytes, bytes] = {}
+        self.memo = Memo(self)
         self.pieces: dict[str, bytes] = {}
         self._load(path)
 
@@ -177,20 +177,24 @@ class WordCache:
     def encode(self, text: bytes) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if any(s in text for s in self.special):
-            return self.ids([text])[0]
-        words, memo = text.split(), self.memo
-        try:
-            return b"".join(map(memo.__getitem__, words))
-        except KeyError:
-            pass
-        new = list({w for w in words if w not in memo})
-        long = {}
-        for w, x in zip(new, self.ids(new), strict=True):
-            (memo if len(w) <= LONG else long)[w] = x
-        out = b"".join([memo[w] if w in memo else long[w] for w in words])
-        if len(memo) > MEMO:
-            memo.clear()
-        return out
+            return self.by_library([text])[0]
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        return b"".join(map(self.memo.__getitem__, text.split()))
+
+
+class Memo(dict):
+    """Ids of words as bytes; a word that is missing is encoded, and kept if it is short."""
+
+    def __init__(self, cache: WordCache):
+        super().__init__()
+        self.cache = cache
+
+    def __missing__(self, word: bytes) -> bytes:
+        made = self.cache.ids([word])[0]
+        if len(word) <= LONG:
+            self[word] = made
+        return made
 
 
 _caches: dict[str, WordCache] = {}
