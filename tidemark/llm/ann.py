@@ -29,7 +29,7 @@ from .common import checkpoint, table
 SAMPLE = 40_000
 BRANCH = 8
 #: Sample vectors in a leaf when the tree stops branching.
-LEAF = 600
+LEAF = 2500
 #: Calibration queries, and the share of their true neighbours that visited leaves must hold.
 CALIBRATION = 200
 RECALL = 0.97
