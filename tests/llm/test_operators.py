@@ -334,3 +334,21 @@ def test_pipeline_stages_keep_their_contract(spark, tmp_path):
     assert {r.doc_id for r in now.collect()} >= set(range(60)) - {9}
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {r.doc_id for r in now.collect()}
     assert json.dumps(names) == json.dumps(["doc_id", "text", "lang", "source", "n_chars"])
+
+
+def test_words_merged_together_equal_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tidemark.llm import bitpack
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    texts = ["", " ", "A'S don't I'LL", "<|endoftext|> x", "ÀÉß ²½µ ªº", "x" * 70 + " y", "İstanbul ſ K", "日本 語x", " a\u0085b", "1234 a1b2", "'''s _a_ <|", "\x00 \x1c\x1d a\x1fb", "aaaaaaaaab " * 3]
+    cache = bitpack.WordCache(path)
+    assert cache.cut is not None
+    want = [np.array(x.ids, dtype="<u4").tobytes() for x in library.encode_batch(texts, add_special_tokens=False)]
+    assert cache.encode_all([t.encode() for t in texts]) == want
+    assert [cache.encode(t.encode()) for t in texts] == want

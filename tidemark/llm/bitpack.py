@@ -18,12 +18,13 @@ import json
 import struct
 import uuid
 import zlib
+from itertools import filterfalse
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import NONE, byte_letters
+from .bpe import byte_letters
 from .common import run_folder, table, text_bytes
 
 MAGIC = b"TIDEBITS"
@@ -34,6 +35,10 @@ BLOCK = 4096
 MEMO = 400_000
 #: Longer words are encoded each time, so that the memo stays small.
 LONG = 64
+#: Stands between words; ids are below 2**24, so it starts nowhere else.
+GAP = b"\xff" * 4
+#: Above every merge rank.
+RANKLESS = 1 << 30
 
 
 def width_for(vocabulary: int) -> int:
@@ -111,8 +116,8 @@ class WordCache:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo = Memo(self)
-        self.pieces: dict[str, bytes] = {}
+        self.memo: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {"\n": GAP}
         self._load(path)
 
     def _load(self, path: str) -> None:
@@ -123,78 +128,102 @@ class WordCache:
             spec = json.load(f)
         model, kinds = spec["model"], [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
         steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
-        self.rank, self.new = {}, []
-        if model["type"] != "BPE" or kinds != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in steps] != ["Split", "ByteLevel"] or not steps[0]["invert"]:
+        self.cut = None
+        if model["type"] != "BPE" or len(model["vocab"]) >= 1 << 24 or kinds != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in steps] != ["Split", "ByteLevel"] or not steps[0]["invert"]:
             return
-        self.vocab, self.suffix, self.letters = model["vocab"], model["end_of_word_suffix"] or "", byte_letters()
-        self.cut = regex.compile(steps[0]["pattern"]["Regex"]).findall
-        for r, merge in enumerate(model["merges"]):
-            left, right = merge if isinstance(merge, list) else merge.split(" ")
-            self.rank[self.vocab[left], self.vocab[right]] = r
-            self.new.append(self.vocab[left + right])
-
-    def ids(self, words: list[bytes]) -> list[bytes]:
+        vocab, suffix, letters = model["vocab"], model["end_of_word_suffix"] or "", byte_letters()
+        cut = regex.compile(steps[0]["pattern"]["Regex"] + r"|\n").findall
+        if cut("a\n.\n1") != ["a", "\n", ".", "\n", "1"]:
+            return
+        self.cut = cut
+        self.inner, self.last = (np.array([vocab[letters[b] + end] for b in range(256)], dtype=np.int64) for end in ("", suffix))
+        pairs = [merge if isinstance(merge, list) else merge.split(" ") for merge in model["merges"]]
+        keys = np.array([vocab[left] << 32 | vocab[right] for left, right in pairs], dtype=np.int64)
+        self.rank_at = np.argsort(keys)
+        self.keys = keys[self.rank_at]
+        self.new = np.array([vocab[left + right] for left, right in pairs], dtype=np.int64)
+
+    def add(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of each word: short Latin-1 words, which normalisation only lower-cases, by exact merges here, others by the library."""
-        out = [self.merged(t) if len(w) <= LONG and (t := w.decode("utf-8", "replace")) and max(t) <= "\xff" else None for w in words] if self.rank else [None] * len(words)
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, x in zip(rest, self.by_library([words[i] for i in rest]) if rest else [], strict=True):
-            out[i] = x
-        return out
-
-    def merged(self, text: str) -> bytes:
-        made = b""
-        for piece in self.cut(text.lower()):
-            got = self.pieces.get(piece)
-            if got is None:
-                letters = [self.letters[b] for b in piece.encode()]
-                letters[-1] += self.suffix
-                got = self.merge([self.vocab[x] for x in letters])
-                if len(piece) <= LONG:
-                    self.pieces[piece] = got
-            made += got
-        if len(self.pieces) > MEMO:
-            self.pieces.clear()
+        short, rest = ([w for w in words if len(w) <= LONG], [w for w in words if len(w) > LONG]) if self.cut else ([], words)
+        text = b"\n".join(short).decode("utf-8", "replace")
+        if text and max(text) > "\xff":
+            wide = {w for w in short if max(w.decode("utf-8", "replace")) > "\xff"}
+            rest, short = [*rest, *wide], [w for w in short if w not in wide]
+            text = b"\n".join(short).decode("utf-8", "replace")
+        made = dict(zip(rest, self.by_library(rest), strict=True)) if rest else {}
+        if short:
+            cut = self.cut(text.lower())
+            if len(self.pieces) > MEMO:
+                self.pieces = {"\n": GAP}
+            if fresh := list(filterfalse(self.pieces.__contains__, set(cut))):
+                self.pieces.update(zip(fresh, self.merged([x.encode() for x in fresh]), strict=True))
+            made.update(zip(short, b"".join(map(self.pieces.__getitem__, cut)).split(GAP), strict=True))
         return made
 
-    def merge(self, ids: list[int]) -> bytes:
-        """The pair of lowest rank first, from the left."""
-        get, new = self.rank.get, self.new
-        ranks = [get(pair, NONE) for pair in zip(ids, ids[1:])]
-        while ranks and (best := min(ranks)) != NONE:
-            i = ranks.index(best)
-            ids[i : i + 2] = (new[best],)
-            del ranks[i]
-            if i:
-                ranks[i - 1] = get((ids[i - 1], ids[i]), NONE)
-            if i < len(ranks):
-                ranks[i] = get((ids[i], ids[i + 1]), NONE)
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair, ``RANKLESS`` for pairs that never merge."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.rank_at[at], RANKLESS)
+
+    def merged(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of all pieces, merged side by side: in each turn every piece merges its pair of lowest rank, from the left.
+
+        ``rank[i]`` is the rank of the ids at i and i + 1, and ``RANKLESS`` at the end of a piece.
+        """
+        out: list[bytes] = [b""] * len(pieces)
+        sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        index, ends = np.arange(len(pieces)), np.cumsum(sizes) - 1
+        ids = self.inner[data]
+        ids[ends] = self.last[data[ends]]
+        rank = np.full(len(ids), RANKLESS, dtype=np.int64)
+        rank[:-1] = self.lookup(ids[:-1], ids[1:])
+        rank[ends] = RANKLESS
+        while len(index):
+            first = np.cumsum(sizes) - sizes
+            best = np.minimum.reduceat(rank << 32 | np.arange(len(rank)), first)
+            done = best >> 32 == RANKLESS
+            if done.any():
+                ready = np.repeat(done, sizes)
+                flat, stops = ids[ready].astype("<u4").tobytes(), (4 * np.cumsum(sizes[done])).tolist()
+                for i, a, b in zip(index[done].tolist(), [0, *stops], stops, strict=False):
+                    out[i] = flat[a:b]
+                ids, rank, index, sizes = ids[~ready], rank[~ready], index[~done], sizes[~done]
+                continue
+            at = best & 0xFFFFFFFF
+            ids[at] = self.new[best >> 32]
+            keep = np.ones(len(ids), dtype=bool)
+            keep[at + 1] = False
+            ids, rank, at = ids[keep], rank[keep], at - np.arange(len(at))
+            sizes = sizes - 1
+            last = np.cumsum(sizes) - 1
+            rank[at] = RANKLESS
+            right, left = at[at < last], at[at > last - sizes + 1]
+            rank[right] = self.lookup(ids[right], ids[right + 1])
+            rank[left - 1] = self.lookup(ids[left - 1], ids[left])
+        return out
 
     def by_library(self, words: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
-    def encode(self, text: bytes) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if any(s in text for s in self.special):
-            return self.by_library([text])[0]
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers; words not met before are encoded together."""
         if len(self.memo) > MEMO:
             self.memo.clear()
-        return b"".join(map(self.memo.__getitem__, text.split()))
-
-
-class Memo(dict):
-    """Ids of words as bytes; a word that is missing is encoded, and kept if it is short."""
-
-    def __init__(self, cache: WordCache):
-        super().__init__()
-        self.cache = cache
+        cut = [None if any(s in t for s in self.special) else t.split() for t in texts]
+        missing = list(filterfalse(self.memo.__contains__, set().union(*filter(None, cut))))
+        self.memo.update(self.add(missing))
+        get = self.memo.__getitem__
+        out = [self.by_library([t])[0] if words is None else b"".join(map(get, words)) for t, words in zip(texts, cut, strict=True)]
+        for w in [w for w in missing if len(w) > LONG]:
+            del self.memo[w]
+        return out
 
-    def __missing__(self, word: bytes) -> bytes:
-        made = self.cache.ids([word])[0]
-        if len(word) <= LONG:
-            self[word] = made
-        return made
+    def encode(self, text: bytes) -> bytes:
+        return self.encode_all([text])[0]
 
 
 _caches: dict[str, WordCache] = {}
@@ -232,8 +261,8 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int = 1, block: i
         for batch in batches:
             doc_ids += [-(2**63) if x is None else x for x in batch.column(0).to_pylist()]
             for i in range(0, len(batch), 256):
-                for text in text_bytes(batch.column(1).slice(i, 256)):
-                    got = cache.encode(text) + end
+                for got in cache.encode_all(text_bytes(batch.column(1).slice(i, 256))):
+                    got += end
                     lengths.append(len(got) // 4)
                     ids.append(np.frombuffer(got, dtype="<u4").astype(np.uint16 if width <= 16 else np.uint32))
         if not doc_ids:
