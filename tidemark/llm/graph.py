@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, over_key
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (long columns a, b); root is the smallest node reachable.
 
     Each round is one shuffle by node of each star step and ends in the shared checkpoint folder;
-    nothing but two totals reaches the driver.  Self-loops keep single nodes.  A hub's neighbours
-    are never gathered: only running minima over sorted rows are used.
+    nothing but totals reaches the driver.  Self-loops keep single nodes.  A hub's neighbours
+    never meet in one task: its minimum is taken before the shuffle and comes back by broadcast.
     """
     own = Window.partitionBy("a")
     now = edges.where("a is not null and b is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
@@ -21,7 +21,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     now, last = nodes.where("a <> b"), None
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = both.withColumn("m", F.least("a", F.min("b").over(own))).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = over_key(both, "a", {"m": F.min("b")}).withColumn("m", F.least("a", "m")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.withColumn("m", F.min("b").over(own))
         small = low.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         now = checkpoint(small)

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import counted, run_folder, table, text_bytes
+from .common import counted, over_key, run_folder, table, text_bytes
 from .graph import components
 
 WORDS = 4
@@ -191,14 +191,16 @@ def signatures(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataF
 def regions(signed: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, root): low hashes of sets that may link with another, and their region."""
     rows = signed.where("prefix is not null").select(F.col("lo").alias("sid"), "n", F.explode("prefix").alias("token"))
-    by_token, by_set = Window.partitionBy("token"), Window.partitionBy("sid")
-    shared = rows.withColumn("least", F.min("sid").over(by_token)).withColumn("most", F.max("sid").over(by_token)).withColumn("df", F.count("*").over(by_token)).where("least <> most").select("sid", "n", "token", "df").distinct()
+    by_set = Window.partitionBy("sid")
+    shared = over_key(rows, "token", {"least": F.min("sid"), "most": F.max("sid"), "df": F.count("*")}).where("least <> most").select("sid", "n", "token", "df").distinct()
     # tokens of one set only come first in the order, so the rest of the needed ones are shared
     p, lo = (F.least(F.col("n"), F.col("n") - F.ceil(percent * F.col("n") / 100) + 1 + F.floor(F.lit(EXTRA) * F.col("n"))), F.ceil(percent * F.col("n") / 100))
     need = F.greatest(F.lit(1), p - F.floor(F.lit(EXTRA) * lo))
     ranked = shared.withColumn("rank", F.row_number().over(by_set.orderBy("df", "token"))).withColumn("held", F.count("*").over(by_set))
-    tried = ranked.where(F.col("rank") <= need - (p - F.col("held"))).select("sid", "token")
-    edges = tried.withColumn("hub", F.min("sid").over(by_token)).where("hub <> sid").select(F.col("sid").alias("a"), F.col("hub").alias("b")).distinct()
+    folder = run_folder(signed.sparkSession, "tried")
+    ranked.where(F.col("rank") <= need - (p - F.col("held"))).select("sid", "token").write.parquet(folder)
+    tried = signed.sparkSession.read.parquet(folder)
+    edges = over_key(tried, "token", {"hub": F.min("sid")}).where("hub <> sid").select(F.col("sid").alias("a"), F.col("hub").alias("b")).distinct()
     return components(edges)
 
 
