@@ -212,6 +212,52 @@ def test_automaton_probabilities_add_up():
         assert total == pytest.approx(1.0)
 
 
+def test_every_repeated_ngram_is_kept(spark, monkeypatch):
+    """Pairs and triples that occur twice count however large the corpus, and blocks give what one model gives."""
+    monkeypatch.setattr(lm, "BLOCK_CHARS", 40_000)
+    rng = random.Random(12)
+    texts = [" ".join(f"w{rng.randrange(40)}" for _ in range(400)) for _ in range(400)]
+    train = [i for i in range(400) if crc(i) % 7 != 2]
+    for i in train[:2]:
+        texts[i] += " w1 w2 w3 w1 w3 w2"
+    held = next(i for i in range(400) if crc(i) % 7 == 2)
+    texts[held] = "rare0 rare1 rare2"
+    for i in (train[0], train[-1]):
+        texts[i] += " rare0 rare1 rare2"
+    c, grams = collections.Counter(), collections.Counter()
+    for i in train:
+        tokens = lm.tokens(texts[i].encode())
+        c.update(tokens)
+        row = [lm.START, *tokens]
+        grams.update(tuple(row[k : k + n]) for n in (2, 3) for k in range(len(row) - n + 1))
+    words_ = sorted(c)
+    number = {w: i for i, w in enumerate(words_)} | {lm.START: -1}
+    kept = {tuple(number[w] for w in g): n for g, n in grams.items() if n >= 2}
+    ones, twos = (sum(v == k for v in c.values()) for k in (1, 2))
+    n, d, v = sum(c.values()), len(train), len(c)
+    auto = lm.Automaton(words_, [c[w] for w in words_], kept, n, d, v, ones, twos)
+
+    after = collections.defaultdict(list)
+    for g, m in grams.items():
+        if m >= 2:
+            after[g[:-1]].append(m)
+
+    def p(history, w):
+        if not history:
+            return (c[w] - auto.discount) / n
+        shorter, own = p(history[1:], w), grams[(*history, w)]
+        if not after[history]:
+            return shorter
+        context = d if history == (lm.START,) else grams[history] if len(history) == 2 else c[history[0]]
+        return (own - lm.DISCOUNT) / context * (own >= 2) + (1 - sum(m - lm.DISCOUNT for m in after[history]) / context) * shorter
+
+    got = {r.doc_id: r.score for r in lm.score(docs_of(spark, texts), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2).collect()}
+    for i in [held, *train[:3], *[i for i in range(400) if crc(i) % 7 == 2][1:4]]:
+        row = [lm.START, *lm.tokens(texts[i].encode())]
+        assert got[i] == pytest.approx(sum(math.log10(p(tuple(row[max(0, k - 2) : k]), row[k])) for k in range(1, len(row))))
+    assert math.log10(p((b"rare0", b"rare1"), b"rare2")) > -1 > math.log10(c[b"rare2"] / n)
+
+
 def test_language_filters(spark):
     rng = random.Random(3)
     kinds = {"aa": "ka lo mi ne".split(), "bb": "xu ya ße ru".split(), "cc": "thé qui ça vo".split()}

@@ -2,36 +2,36 @@
 
 Words and n-grams are counted over the whole training part.  Word
 probabilities are discounted by Good and Turing's D = n1 / (n1 + 2 n2), whose
-mass D * V / N is that of one symbol for all unknown words.  Word pairs and
-triples that make up ``SHARE`` of the tokens get discounted probabilities of
-their own; so there are at most 1/SHARE of each, at any size of the corpus.
+mass D * V / N is that of one symbol for all unknown words.  Every word pair
+and triple that occurs ``LEAST`` times or more, at any size of the corpus, gets
+a discounted probability, interpolated with that of the shorter history.
 Histories are the states of an automaton.  An arc leads to the state of the
 longest history that is kept; a failure arc drops the oldest word and costs
 the backoff weight that makes the state's probabilities add up to one.
 
-Rare words make the vocabulary grow with the corpus, so it is never sent whole
-to a task: documents are dealt into blocks by a hash of their id, and each
-block gets the counts of its own words by one join on the word.
+Words and n-grams grow with the corpus, so they are never sent whole to a task
+or to the driver: each task's documents make up blocks of bounded size, and each
+block gets the counts, arcs and failure arcs of its own words and n-grams
+by joins on their 64-bit hashes.
 
 Defined cases: null and empty texts hold the end token alone; words that only
 held-out texts have are unknown; without training tokens every score uses
 V = N = 0; repeated rows are scored as often as they occur; null ids are
-training rows of their own block; extra columns are ignored.
+training rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter, defaultdict
+import gc
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, crc_mod, table, text_bytes
+from .common import crc_mod, run_folder, table, text_bytes
 
-#: Least share of the training tokens of a kept word pair or triple, and of a word that may take part in one.
-SHARE = 2e-5
+#: Least occurrences of a kept word pair or triple.
+LEAST = 2
 #: Absolute discount of pairs and triples.
 DISCOUNT = 0.75
 #: Characters of text in a block.
@@ -51,222 +51,360 @@ def tokens(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
 
-def with_blocks(docs: DataFrame) -> DataFrame:
-    chars = docs.agg(F.sum(F.length("text") + 1)).collect()[0][0] or 1
-    n = max(1, -(-chars // BLOCK_CHARS))
-    return docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).repartition(n, "block")
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each pair of hashes."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) + b
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return x ^ x >> np.uint64(29)
 
 
-def block_counts(blocked: DataFrame) -> DataFrame:
-    """(block, word, n): how often each word of the block occurs in its training rows, perhaps 0."""
+#: A block: ids, held-out flags and token counts of its texts, its tokens' numbers and the hashes of its distinct words.
+ENCODED = "block long, doc_ids array<long>, held binary, lens binary, ids binary, words binary"
+
+
+def encode(batches):
+    """Blocks of ``BLOCK_CHARS`` or a little more of a task's rows (doc_id, text, held_out)."""
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    n = 0
+    number: dict[bytes, int] = {}
+    parts: tuple[list, list, list] = ([], [], [])
+    size = 0
+
+    def made():
+        nonlocal n
+        blobs = [pack(np.concatenate(x).astype(np.int64)) for x in (parts[1], [[len(i) for i in parts[2]]], parts[2])]
+        block = (TaskContext.get().partitionId() << 32) + n
+        n += 1
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([parts[0]], pa.list_(pa.int64())), *[pa.array([b], pa.binary()) for b in (*blobs, pack(word_hashes(list(number))))]], ["block", "doc_ids", "held", "lens", "ids", "words"])
+
+    for batch in batches:
+        for i in range(0, batch.num_rows, 512):
+            part = batch.slice(i, 512)
+            texts = text_bytes(part.column(1))
+            parts[0].extend(part.column(0).to_pylist())
+            parts[1].append(np.array(part.column(2).to_pylist()))
+            parts[2].extend(np.array([number.setdefault(w, len(number)) for w in tokens(text)], dtype=np.int32) for text in texts)
+            size += sum(map(len, texts)) + len(texts)
+            if size >= BLOCK_CHARS:
+                yield made()
+                number.clear()
+                for x in parts:
+                    x.clear()
+                size = 0
+    if parts[0]:
+        yield made()
+
+
+def written(df: DataFrame, kind: str) -> DataFrame:
+    """``df`` written and read again, so that its shuffle files can go."""
+    spark = df.sparkSession
+    path = run_folder(spark, kind)
+    df.write.parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # Spark deletes shuffle files when the driver's Python and JVM have dropped their plans
+    return spark.read.schema(ENCODED if kind == "lm-encoded" else PACKED).parquet(path)
+
+
+def start_hash() -> np.uint64:
+    return word_hashes([START]).view(np.uint64)[0]
+
+
+class Encoded:
+    """The texts of a block, end to end: word numbers, and a hash of the word, pair and triple that ends at each token."""
+
+    def __init__(self, row: dict):
+        self.block, self.doc_ids = row["block"], row["doc_ids"]
+        self.held = unpack(row["held"]).astype(bool)
+        self.lens, self.ids = unpack(row["lens"]), unpack(row["ids"]).astype(np.int32)
+        self.words = unpack(row["words"], np.uint64)
+        self.starts = np.cumsum(self.lens) - self.lens
+        self.training = np.repeat(~self.held, self.lens)
+        here = self.words[self.ids]
+        before = np.concatenate([[np.uint64(0)], here[:-1]])
+        before[self.starts] = start_hash()
+        self.pair = mixed(before, here)
+        self.triple = mixed(np.concatenate([[np.uint64(0)], self.pair[:-1]]), here)
+        self.inner = np.ones(len(self.ids), dtype=bool)
+        self.inner[self.starts] = False  # the first token ends a pair with the start, but no triple
+
+    def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct hashes of words, pairs and triples, ascending, their training counts and the least count to keep."""
+        words = self.words, np.bincount(self.ids[self.training], minlength=len(self.words))
+        every = [words, distinct(self.pair, self.training), distinct(self.triple[self.inner], self.training[self.inner])]
+        keys, n = (np.concatenate(x) for x in zip(*every))
+        least = np.full(len(keys), LEAST)
+        least[: len(self.words)] = 1
+        order = np.argsort(keys)
+        return keys[order], n[order], least[order]
+
+
+def distinct(keys: np.ndarray, counted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+    return keys[first], np.add.reduceat(counted[order].astype(np.int64), first) if len(first) else np.empty(0, np.int64)
+
+
+def pack(x: np.ndarray) -> bytes:
+    """64-bit integers, byte by byte of all, compressed."""
     import pyarrow as pa
 
-    def run(batches):
-        seen: dict[int, tuple[Counter, set]] = {}
-        for batch in batches:
-            for i in range(0, len(batch), 512):
-                part = batch.slice(i, 512)
-                for block, text, held in zip(part.column(0).to_pylist(), text_bytes(part.column(1)), part.column(2).to_pylist(), strict=True):
-                    counts, others = seen.setdefault(block, (Counter(), set()))
-                    (others if held else counts).update(tokens(text))
-        for block, (counts, others) in seen.items():
-            words = [*counts, *(others - counts.keys())]
-            n = np.zeros(len(words), dtype=np.int64)
-            n[: len(counts)] = list(counts.values())
-            hashes = word_hashes(words)
-            for i in range(0, len(words), 100_000):
-                part = hashes[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block, np.int32)), pa.array(part), pa.array(n[i : i + 100_000])], ["block", "word", "n"])
-
-    return blocked.select("block", "text", "held_out").mapInArrow(run, "block int, word long, n long")
-
-
-def frequent(docs: DataFrame, known: DataFrame, least: int) -> list[tuple[bytes, int]]:
-    """Words that occur at least ``least`` times, most frequent first; at most 1/SHARE of them.
-
-    A word with the share overall has it among the tokens of some task, which hands on its spelling.
-    """
+    return len(x).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes(), asbytes=True)
+
+
+def unpack(blob: bytes, dtype=np.int64) -> np.ndarray:
     import pyarrow as pa
 
-    def run(batches):
-        counts: Counter = Counter()
-        for batch in batches:
-            for i in range(0, len(batch), 512):
-                for text in text_bytes(batch.column(0).slice(i, 512)):
-                    counts.update(tokens(text))
-        total = sum(counts.values())
-        kept = [w for w, n in counts.items() if n >= SHARE * total]
-        yield pa.RecordBatch.from_arrays([pa.array(word_hashes(kept)), pa.array(kept, pa.binary())], ["word", "spelling"])
+    n = int.from_bytes(blob[:8], "little")
+    raw = pa.Codec("zstd").decompress(blob[8:], decompressed_size=8 * n, asbytes=True) if n else b""
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, n).T).view(dtype).reshape(n)
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    return pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_keys(blob: bytes) -> np.ndarray:
+    return np.cumsum(unpack(blob, np.uint64), dtype=np.uint64)
+
+
+PACKED = "part int, block long, keys binary, x binary, y binary"
+
 
-    spelt = docs.select("text").mapInArrow(run, "word long, spelling binary").groupBy("word").agg(F.first("spelling").alias("spelling"))
-    top = known.where(F.col("first") & (F.col("c") >= least)).select("word", "c")
-    return sorted(((bytes(r.spelling), r.c) for r in top.join(spelt, "word").collect()), key=lambda x: (-x[1], x[0]))
+def parted(block: int, keys: np.ndarray, x: np.ndarray, y: np.ndarray, parts: int):
+    """Rows of ``PACKED``: ascending ``keys`` with two numbers each, cut into ranges of the hash."""
+    import pyarrow as pa
+
+    cut = np.searchsorted((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
+    at = [(i, slice(cut[i], cut[i + 1])) for i in range(parts) if cut[i] < cut[i + 1]]
+    columns = [pa.array([i for i, _ in at], pa.int32()), pa.array([block] * len(at), pa.int64()), *[pa.array([f(v[s]) for _, s in at], pa.binary()) for f, v in ((pack_keys, keys), (pack, x), (pack, y))]]
+    return pa.Table.from_arrays(columns, ["part", "block", "keys", "x", "y"])
 
 
-def count_ngrams(docs: DataFrame, words: list[bytes], least: int) -> dict[tuple[int, ...], int]:
-    """Pairs and triples of frequent words, by their numbers, that occur at least ``least`` times.
+def summed(rows: DataFrame, counts: bool) -> DataFrame:
+    """Both numbers summed by key over all blocks, sent back to every block that has the key.
 
-    A history of -1 is the start of a text.  At most 2 / SHARE entries reach the driver.
+    For ``counts`` only ``x`` is summed and ``y`` is the least sum that keeps a key; the ``y`` sent back is 1 in one of
+    the blocks that have the key and 0 in the others, plus 2 for words, whose least is 1.
     """
     import pyarrow as pa
 
-    shared = docs.sparkSession.sparkContext.broadcast(words)
-    bits = 20  # 1 / SHARE is far below 2 ** 20
+    def run(group: pa.Table) -> pa.Table:
+        blobs = [unpack_keys(k) for k in group.column("keys").to_pylist()]
+        keys, back = np.unique(np.concatenate(blobs), return_inverse=True)
+        ends = np.cumsum([len(b) for b in blobs])
+        x_in, y_in = (np.concatenate([unpack(v) for v in group.column(name).to_pylist()]) for name in ("x", "y"))
+        x = np.bincount(back, x_in, len(keys)).astype(np.int64)[back]
+        if counts:
+            keep, y = x >= y_in, 2 * (y_in == 1)
+            order = np.full(len(keys), len(back))
+            order[back[::-1]] = np.arange(len(back))[::-1]
+            y[order] += 1
+        else:
+            keep, y = np.ones(len(back), dtype=bool), np.bincount(back, y_in, len(keys)).astype(np.int64)[back]
+        out = ([], [], [])
+        for b, end in zip(blobs, ends):
+            at = slice(end - len(b), end)
+            for to, v in zip(out, (pack_keys(b[keep[at]]), pack(x[at][keep[at]]), pack(y[at][keep[at]]))):
+                to.append(v)
+        return pa.Table.from_arrays([group.column("part"), group.column("block"), *[pa.array(o, pa.binary()) for o in out]], ["part", "block", "keys", "x", "y"])
+
+    return rows.groupBy("part").applyInArrow(run, PACKED)
+
+
+def totals(counted: DataFrame) -> tuple[int, int, int, int]:
+    """Training tokens, vocabulary, words that occur once and twice."""
+    import pyarrow as pa
 
     def run(batches):
-        number = {w: i + 2 for i, w in enumerate(shared.value)}  # 0: infrequent, 1: start
-        held: list[list[np.ndarray]] = [[], []]
-
-        def flush():
-            for keys in held:
-                if keys:
-                    kinds, n = np.unique(np.concatenate(keys), return_counts=True)
-                    for i in range(0, len(kinds), 200_000):
-                        yield pa.RecordBatch.from_arrays([pa.array(kinds[i : i + 200_000]), pa.array(n[i : i + 200_000])], ["gram", "n"])
-                keys.clear()
-
-        waiting = 0
         for batch in batches:
-            for i in range(0, len(batch), 512):
-                codes = [c for text in text_bytes(batch.column(0).slice(i, 512)) for c in (0, 1, *[number.get(w, 0) for w in tokens(text)])]
-                ids = np.array(codes, dtype=np.int64)
-                pair = (ids[:-1] > 0) & (ids[1:] > 1)
-                held[0].append((ids[:-1] << bits | ids[1:])[pair])
-                triple = pair[:-1] & pair[1:]
-                held[1].append(((ids[:-2] << 2 * bits) | (ids[1:-1] << bits) | ids[2:])[triple])
-                waiting += len(ids)
-            if waiting > 4_000_000:
-                yield from flush()
-                waiting = 0
-        yield from flush()
-
-    rows = docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()
-    mask = (1 << bits) - 1
-    out = {}
-    for gram, n in rows:
-        parts = (gram >> 2 * bits, gram >> bits & mask, gram & mask)
-        out[tuple(p - 2 for p in parts if p)] = n
-    return out
+            c = np.concatenate([np.empty(0, np.int64), *[unpack(x)[unpack(y) == 3] for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]])
+            yield pa.RecordBatch.from_pydict({"a": [int(c.sum())], "b": [len(c)], "c": [int((c == 1).sum())], "d": [int((c == 2).sum())]})
+
+    return tuple(x or 0 for x in counted.select("x", "y").mapInArrow(run, "a long, b long, c long, d long").agg(*[F.sum(k) for k in "abcd"]).collect()[0])
+
+
+def unpacked(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, x, y) of a block's rows of ``PACKED``, by key."""
+    parts = sorted(zip(*[rows.column(c).to_pylist() for c in ("part", "keys", "x", "y")]))
+    out = [np.concatenate([np.empty(0, t), *[f(p[i]) for p in parts]]) for i, f, t in ((1, unpack_keys, np.uint64), (2, unpack, np.int64), (3, unpack, np.int64))]
+    return out[0], out[1], out[2]
+
+
+def place(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Index of each wanted key in ascending ``keys``, or -1."""
+    if not len(keys):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
+
+
+def found(keys: np.ndarray, grams: np.ndarray, where: np.ndarray):
+    """Of the grams that end at the tokens ``where``: distinct ones that ``keys`` has, a token of each, their places in ``keys``, and the number of its gram for each token, or -1."""
+    here = grams[where]
+    order = np.argsort(here)
+    ordered = here[order]
+    first = np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(ordered)]
+    kinds = ordered[first]
+    at = place(keys, kinds)
+    kept = at >= 0
+    number = np.where(kept, np.cumsum(kept) - 1, -1)
+    of = np.full(len(grams), -1)
+    if len(kinds):
+        of[where[order]] = number[np.cumsum(first) - 1]
+    return kinds[kept], where[order[first]][kept], at[kept], of
 
 
 class Automaton:
-    """Histories as states; 0 is the empty one.  ``arcs[s][w]`` = (next state, log10 probability)."""
+    """Histories as states; 0 is the empty one.
+
+    An arc's weight is the interpolated probability (n - D) / c(h) + gamma(h) P(w | shorter history), a failure
+    arc's is gamma(h) = 1 - sum of (n - D) / c(h) over all words kept after h in the whole corpus.
+    """
 
     def __init__(self, words: list[bytes], counts: list[int], grams: dict[tuple[int, ...], int], total: int, n_docs: int, vocabulary: int, ones: int, twos: int):
-        self.total, self.vocabulary, self.words = total, vocabulary, words
+        """The model of a whole corpus.  grams: kept pairs and triples with their counts, -1 for the start of a text; both ends of a kept triple must be kept."""
+        pairs = sorted(g for g in grams if len(g) == 2)
+        number = {g: i for i, g in enumerate(pairs)}
+        triples = sorted(g for g in grams if len(g) == 3)
+        sums = np.zeros((2, 1 + len(words) + len(pairs)), dtype=np.int64)
+        for g, n in grams.items():
+            sums[:, g[0] + 1 if len(g) == 2 else 1 + len(words) + number[g[:2]]] += (n, 1)
+        as_pairs = np.array(pairs, dtype=np.int64).reshape(-1, 2)
+        as_triples = np.array([(number[g[:2]], number[g[1:]]) for g in triples], dtype=np.int64).reshape(-1, 2)
+        self.build(np.array(counts), total, n_docs, vocabulary, ones, twos, as_pairs, np.array([grams[g] for g in pairs]), as_triples, np.array([grams[g] for g in triples]), sums)
+
+    @classmethod
+    def of(cls, *arrays) -> Automaton:
+        auto = cls.__new__(cls)
+        auto.build(*arrays)
+        return auto
+
+    def build(self, counts, total, n_docs, vocabulary, ones, twos, pairs, n_pairs, triples, n_triples, sums):
+        """The part of the model that a block needs.
+
+        pairs: word numbers, -1 for the start; triples: numbers of the pairs at both ends; sums: total count and number
+        of the kept words after the start, each word and each pair.
+        """
         d = ones / (ones + 2 * twos) if ones else 0.5
         d = min(max(d, 0.05), 0.95)
         self.discount, self.unknown = d, d * max(vocabulary, 1) / total if total else 1.0
-        p1 = [(c - d) / total for c in counts]
-        context = {(-1,): n_docs} | {(i,): c for i, c in enumerate(counts)} | {g: n for g, n in grams.items() if len(g) == 2}
-        children: dict[tuple[int, ...], dict[int, int]] = defaultdict(dict)
-        for g, n in grams.items():
-            if g[:-1] in context:
-                children[g[:-1]][g[-1]] = n
-        histories = [(), *sorted(children, key=lambda h: (len(h), h))]
-        self.state = {h: i for i, h in enumerate(histories)}
-        self.fail, self.backoff = [0] * len(histories), [0.0] * len(histories)
-        self.arcs: list[dict[int, tuple[int, float]]] = [{} for _ in histories]
-        prob: list[dict[int, float]] = [{} for _ in histories]
-
-        def below(h: tuple[int, ...], w: int) -> float:
-            """Probability of w after h by arcs and failure arcs."""
-            s, weight = self.state[self.suffix(h)], 1.0
-            while s:
-                if w in prob[s]:
-                    return weight * prob[s][w]
-                weight *= 10 ** self.backoff[s]
-                s = self.fail[s]
-            return weight * p1[w]
-
-        for h in histories[1:]:
-            s, seen = self.state[h], children[h]
-            self.fail[s] = self.state[self.suffix(h[1:])]
-            here = {w: (n - DISCOUNT) / context[h] for w, n in seen.items()}
-            lower = sum(below(h[1:], w) for w in seen)
-            left = max(1.0 - sum(here.values()), 1e-9)
-            self.backoff[s] = math.log10(left / max(1.0 - lower, 1e-9))
-            prob[s] = here
-        for h in histories[1:]:
-            s = self.state[h]
-            self.arcs[s] = {w: (self.state[self.suffix((*h, w)[-2:])], math.log10(p)) for w, p in prob[s].items()}
-        self.after = [self.state.get((w,), 0) for w in range(len(words))]
-        self.start = self.state.get((-1,), 0)
-
-    def suffix(self, h: tuple[int, ...]) -> tuple[int, ...]:
-        """The longest end of ``h`` that is a state."""
-        while h and h not in self.state:
-            h = h[1:]
-        return h
+        self.n_words = v = len(counts)
+        single = np.maximum(counts - d, 1e-12) / max(total, 1)
+        context = np.concatenate([[n_docs], counts, n_pairs]).astype(float)
+        gamma = np.maximum(1 - (sums[0] - DISCOUNT * sums[1]) / np.maximum(context, 1), 1e-9)
+        state = np.where(sums[1] > 0, np.cumsum(sums[1] > 0), 0)
+        self.after, self.after_pair, self.start = state[1 : 1 + v], state[1 + v :], int(state[0])
+        longest = np.where(self.after_pair > 0, self.after_pair, self.after[pairs[:, 1]])
+        self.next_of_pair = longest
+        is_state = state > 0
+        self.backoff = np.concatenate([[0.0], np.log10(gamma[is_state])])
+        self.fail = np.concatenate([[0], np.zeros(1 + v, dtype=np.int64), self.after[pairs[:, 1]]]).astype(np.int64)[np.concatenate([[True], is_state])]
+        p_pair = (n_pairs - DISCOUNT) / context[pairs[:, 0] + 1] + gamma[pairs[:, 0] + 1] * single[pairs[:, 1]]
+        p_triple = (n_triples - DISCOUNT) / np.maximum(n_pairs[triples[:, 0]], 1) + gamma[1 + v + triples[:, 0]] * p_pair[triples[:, 1]]
+        keys = np.concatenate([state[pairs[:, 0] + 1] * v + pairs[:, 1], self.after_pair[triples[:, 0]] * v + pairs[triples[:, 1], 1]])
+        order = np.argsort(keys)
+        self.arcs, self.weights = keys[order], np.log10(np.concatenate([p_pair, p_triple]))[order]
+        self.arc_number = np.full(len(keys) + 1, -1)
+        self.arc_number[order] = np.arange(len(keys))
+        self.n_pairs = len(pairs)
+
+    def arc_of_pair(self, pair: np.ndarray) -> np.ndarray:
+        return self.arc_number[pair]
+
+    def arc_of_triple(self, triple: np.ndarray) -> np.ndarray:
+        return self.arc_number[np.where(triple >= 0, self.n_pairs + triple, -1)]
+
+    def weigh(self, states: np.ndarray, codes: np.ndarray, single: np.ndarray, arcs: np.ndarray | None = None) -> np.ndarray:
+        """log10 probability of each word (below 0: of no arc) in a state, over failure arcs; single: its own log10 probability.
+
+        ``arcs``, where given, has the arc of each word's longest kept gram, or -1: the first arc that failure arcs come to.
+        """
+        out, open_, s = np.zeros(len(codes)), np.arange(len(codes)), np.asarray(states)
+        while len(open_):
+            root = s == 0
+            out[open_[root]] += single[open_[root]]
+            open_, s = open_[~root], s[~root]
+            wanted = s * self.n_words + codes[open_]
+            if arcs is None:
+                at = place(self.arcs, wanted)
+            else:
+                at = arcs[open_]
+                at = np.where((at >= 0) & (np.append(self.arcs, -1)[at] == wanted), at, -1)
+            hit = (at >= 0) & (codes[open_] >= 0)
+            out[open_[hit]] += self.weights[at[hit]]
+            open_, s = open_[~hit], s[~hit]
+            out[open_] += self.backoff[s]
+            s = self.fail[s]
+        return out
 
     def score(self, codes: list[int], single: list[float]) -> float:
-        """One traversal from left to right.  codes: frequent words by number, others below 0; single: their log10 word probabilities."""
-        arcs, fail, backoff, after = self.arcs, self.fail, self.backoff, self.after
-        s, total = self.start, 0.0
-        for w, own in zip(codes, single):
-            while s:
-                arc = arcs[s].get(w)
-                if arc is not None:
-                    s, p = arc
-                    total += p
-                    break
-                total += backoff[s]
-                s = fail[s]
-            else:
-                total += own
-                s = after[w] if w >= 0 else 0
-        return total
+        """One word from ``start``."""
+        return float(self.weigh(np.array([self.start] * len(codes)), np.array(codes), np.array(single)).sum())
 
 
 def score(docs: DataFrame, held_out) -> DataFrame:
     """Scores of all rows of ``docs`` under the model of those where ``held_out`` is false."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
-    spark = docs.sparkSession
     own = docs.select("doc_id", "text", held_out.alias("held_out"))
-    blocked = with_blocks(own)
-    counted = block_counts(blocked)
-    by_word = Window.partitionBy("word")
-    known = counted.select("block", "word", F.sum("n").over(by_word).alias("c"), F.row_number().over(by_word.orderBy("block")).alias("rank"))
-    known = checkpoint(known.select("block", "word", "c", (F.col("rank") == 1).alias("first")))
-    total, vocabulary, ones, twos = (x or 0 for x in known.where("first").agg(F.sum("c"), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).collect()[0])
-    training = own.where(~F.col("held_out"))
-    n_docs = training.count()
-    least = max(2, math.ceil(SHARE * total))
-    top = frequent(training, known, least)
-    words, counts = [w for w, _ in top], [c for _, c in top]
-    grams = count_ngrams(training, words, least)
-    model = spark.sparkContext.broadcast(Automaton(words, counts, grams, total, n_docs, vocabulary, ones, twos))
-
-    def run(text_table: pa.Table, word_table: pa.Table) -> pa.Table:
-        auto: Automaton = model.value
-        n_doc = text_table.num_rows
-        order = np.argsort(keys := word_table.column("word").to_numpy(), kind="stable")
-        keys, c = keys[order], word_table.column("c").to_numpy()[order]
-        number: dict[bytes, int] = {}
-        at: list[list[int]] = []
-        for i in range(0, n_doc, 512):
-            for text in text_bytes(text_table.column("text").slice(i, 512).combine_chunks()):
-                at.append([number.setdefault(w, len(number)) for w in tokens(text)])
-        vocab = list(number)
-        place = np.searchsorted(keys, word_hashes(vocab)) if vocab else np.empty(0, np.int64)
-        count = c[place] if len(c) else np.zeros(len(vocab))
-        base = np.log10((count + 1) / (auto.total + auto.vocabulary + 1))
-        single = np.log10(np.where(count > 0, np.maximum(count - auto.discount, 1e-12) / max(auto.total, 1), auto.unknown))
-        frequent_number = {w: i for i, w in enumerate(auto.words)}
-        code = [frequent_number.get(w, -2) for w in vocab]
-        single_list = single.tolist()
-        rows = ([], [], [], [])
-        for ids in at:
-            which = np.array(ids, dtype=np.int64)
-            rows[0].append(len(ids))
-            rows[1].append(int((count[which] > 0).sum()))
-            rows[2].append(float(base[which].sum()))
-            rows[3].append(auto.score([code[i] for i in ids], [single_list[i] for i in ids]))
-        return pa.table({"doc_id": text_table.column("doc_id"), "held_out": text_table.column("held_out"), "n_tokens": pa.array(rows[0], pa.int64()), "n_known": pa.array(rows[1], pa.int64()), "train_tokens": pa.array([total] * n_doc, pa.int64()), "base_score": pa.array(rows[2], pa.float64()), "score": pa.array(rows[3], pa.float64())})
+    n_docs = own.where(~F.col("held_out")).count()
+    chars = own.agg(F.sum(F.length("text") + 1)).collect()[0][0] or 1
+    n_blocks = -(-chars // BLOCK_CHARS)
+    parts = 4 * n_blocks
+    encoded = written(own.mapInArrow(encode, ENCODED), "lm-encoded")
 
+    def emit(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                e = Encoded(batch.slice(i, 1).to_pylist()[0])
+                yield from parted(e.block, *e.grams(), parts).to_batches()
+
+    def block_of(group: pa.Table):
+        """(encoded block, keys, counts, marks) of a group of ``both``, and what is :func:`found` of its pairs and triples."""
+        e = Encoded(group.filter(pc.is_valid(group.column("ids"))).to_pylist()[0])
+        keys, n, mark = unpacked(group.filter(pc.is_valid(group.column("part"))))
+        return e, keys, n, mark, found(keys, e.pair, np.arange(len(e.ids))), found(keys, e.triple, np.flatnonzero(e.inner))
+
+    def histories(group: pa.Table) -> pa.Table:
+        """Of each history in the block: count and number of the kept words after it, of the grams that are this block's to sum."""
+        e, keys, n, mark, (pair, pair_at, at, _), (_, triple_at, at3, _) = block_of(group)
+        before = np.where(e.inner[pair_at], e.words[e.ids[pair_at - 1]], start_hash())
+        every = np.unique(np.concatenate([[start_hash()], e.words, pair]))
+        to = np.concatenate([np.searchsorted(every, before), np.searchsorted(every, e.pair[triple_at - 1])])
+        at = np.concatenate([at, at3])
+        own_sums = [np.bincount(to, v, len(every)).astype(np.int64) for v in ((mark[at] & 1) * n[at], mark[at] & 1)]
+        return parted(e.block, every, *own_sums, parts)
+
+    def run(group: pa.Table, head_table: pa.Table) -> pa.Table:
+        e, keys, n, _, (pair, pair_at, at, pair_of), (_, triple_at, at3, triple_of) = block_of(group)
+        where = place(keys, e.words)
+        count = np.where(where >= 0, n[where], 0) if len(keys) else np.zeros(len(e.words), np.int64)
+        pairs = np.stack([np.where(e.inner[pair_at], e.ids[pair_at - 1], -1), e.ids[pair_at]], 1).astype(np.int64)
+        triples = np.stack([pair_of[triple_at - 1], pair_of[triple_at]], 1)  # both ends of a kept triple are kept
+        heads, sum_n, sum_k = unpacked(head_table)
+        head = np.searchsorted(heads, np.concatenate([[start_hash()], e.words, pair]))
+        auto = Automaton.of(count, total, n_docs, vocabulary, ones, twos, pairs, n[at], triples, n[at3], np.stack([sum_n, sum_k])[:, head])
+        base = np.log10((count + 1) / (total + vocabulary + 1))
+        single = np.log10(np.where(count > 0, np.maximum(count - auto.discount, 1e-12) / max(total, 1), auto.unknown))
+        after = np.where(pair_of >= 0, np.append(auto.next_of_pair, 0)[pair_of], auto.after[e.ids])
+        states = np.concatenate([[0], after[:-1]])
+        states[e.starts] = auto.start
+        own_score = auto.weigh(states, e.ids.astype(np.int64), single[e.ids], np.where(triple_of >= 0, auto.arc_of_triple(triple_of), auto.arc_of_pair(pair_of)))
+        known, base_score, full = (np.add.reduceat(v, e.starts) for v in ((count[e.ids] > 0).astype(np.int64), base[e.ids], own_score))
+        return pa.table({"doc_id": pa.array(e.doc_ids, pa.int64()), "held_out": pa.array(e.held), "n_tokens": pa.array(e.lens), "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([total] * len(known), pa.int64()), "base_score": pa.array(base_score, pa.float64()), "score": pa.array(full, pa.float64())})
+
+    counted = written(summed(encoded.mapInArrow(emit, PACKED), True), "lm-counted")
+    total, vocabulary, ones, twos = totals(counted)
+    both = encoded.unionByName(counted, allowMissingColumns=True).repartition(n_blocks, "block")  # one exchange, read twice
+    heads = summed(both.groupBy("block").applyInArrow(histories, PACKED), False)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocked.groupBy("block").cogroup(known.select("block", "word", "c").groupBy("block")).applyInArrow(run, schema)
+    return both.groupBy("block").cogroup(heads.groupBy("block")).applyInArrow(run, schema)
 
 
 def op3_lm_score(spark, sf_dir: str) -> DataFrame:
