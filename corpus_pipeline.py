@@ -14,8 +14,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by 4-word shingles at Jaccard 0.85 or more the smallest id stays."""
-    return jaccard.keep_one(docs)
+    """Of documents linked by 5-word shingles at Jaccard 0.8 or more the smallest id stays."""
+    return jaccard.keep_one(docs, 5, 80)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

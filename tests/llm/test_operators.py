@@ -395,6 +395,21 @@ def test_pipeline_stages_keep_their_contract(spark, tmp_path):
     assert json.dumps(names) == json.dumps(["doc_id", "text", "lang", "source", "n_chars"])
 
 
+def test_pipeline_drops_near_copies_by_five_words(spark):
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    text = words(rng, 390, 10**6)
+    near = list(text)
+    for k in (50, 120, 190, 260, 330, 375, 20, 90):
+        near[k] = "other"
+    shingles = [{n: {tuple(t[i : i + n]) for i in range(len(t) - n + 1)} for n in (4, 5)} for t in (text, near)]
+    jaccard_of = {n: len(shingles[0][n] & shingles[1][n]) / len(shingles[0][n] | shingles[1][n]) for n in (4, 5)}
+    assert jaccard_of[4] < 0.85 and jaccard_of[5] >= 0.8
+    docs = docs_of(spark, [" ".join(text), " ".join(near), " ".join(words(rng, 400, 10**6))])
+    assert {r.doc_id for r in corpus_pipeline.dedup_stage(spark, docs, "").collect()} == {0, 2}
+
+
 def test_words_merged_together_equal_the_library():
     import public_tokenizers
     from tokenizers import Tokenizer
