@@ -1,7 +1,8 @@
 r"""Secret scan with a random forest against false positives, with DataFrame operations only.
 
-Candidates are long runs of key characters that hold a digit, and headers of
-private keys.  Each gets features: length, changes of character class,
+Candidates are the values assigned to names of credentials, of any length and
+characters, whole private keys, and other long runs of key characters that
+hold a digit.  Each gets features: length, changes of character class,
 dictionary coverage, signs of a path, and its neighbouring words.  A random
 forest, trained on a bounded sample of labelled findings and compiled into one
 SQL expression, tells secrets from other candidates.
@@ -25,10 +26,17 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, table
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]{0,200}+[0-9])[A-Za-z0-9+/_\-]{16,}+={0,2}|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
+#: A private key up to its END, or where that is missing its header and the lines of key characters after it.
+PEM = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[^-]*+(?:-(?!----)[^-]*+){0,200}+-----END [A-Z ]{0,30}PRIVATE KEY-----|(?:\s{1,4}+[A-Za-z0-9+/=]{40,}+){0,500}+(?:\s{1,4}+[A-Za-z0-9+/=]{4,}+(?=\s|$))?+)"
+#: A value assigned to a credential's name: up to the closing quote, or to white space.
+NAMED = r"(?<=[=:>][ \t]{0,3}[\"']?)(?<=(?i:token|secret|passw(?:or)?d|pwd|api.?key|access.?key|auth|credential|bearer)[\"']?[ \t]{0,3}(?:[=:]|:=|=>)[ \t]{0,3}[\"']?)"
+VALUE = r"(?:(?<=\")[^\"\r\n]++(?=\")|(?<=')[^'\r\n]++(?=')|(?![\"'=:>])[^\s\"']*[^\s\"',;)\]}>])"
+#: Any other run of key characters with a digit.
+RUN = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{16,}+={0,2}"
+CANDIDATE = f"{PEM}|{NAMED}{VALUE}|{RUN}"
 #: Names that credentials are assigned to, and formats of issuers (fixed values).
 ASSIGNED = r"(?i)(token|secret|passw(or)?d|pwd|api.?key|access.?key|auth|credential|bearer)[\"']?\s*([=:]|:=|=>)?\s*[\"']?$"
-ISSUERS = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk_live_[A-Za-z0-9]{16,}|xox[abp]-[A-Za-z0-9\-]{10,}|-----BEGIN.*)$"
+ISSUERS = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk_live_[A-Za-z0-9]{16,}|xox[abp]-[A-Za-z0-9\-]{10,}|-----BEGIN(?s:.*))$"
 MASK = "[SECRET]"
 #: Least share of the corpus' words that puts a word into the dictionary.
 SHARE = 1e-5
