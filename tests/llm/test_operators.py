@@ -405,6 +405,14 @@ def test_mixing_meets_its_targets(spark):
     assert all(r.rate == pytest.approx(1.0) for r in mixing.mix(docs, labels.limit(0)).collect())
 
 
+def test_mixing_separates_domains_by_digits(spark):
+    rng = random.Random(15)
+    texts = [" ".join("".join(rng.choice("0123456789" if i % 2 else "abcdefghij") for _ in range(9)) for _ in range(30)) for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i % 2 == 0), 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in mixing.mix(docs_of(spark, texts), labels).collect()}
+    assert all((got[i].p_low > 0.9) == bool(i % 2) for i in range(200))
+
+
 def test_pipeline_stages_keep_their_contract(spark, tmp_path):
     import corpus_pipeline
 

@@ -68,6 +68,7 @@ def statistics(docs: DataFrame, marks: dict[str, list[str]], keep: list) -> Data
         "symbols": level(F.sqrt(rate("[#*$%&|<>]")), 20, 9),
         "exclaims": level(F.sqrt(rate("!")), 20, 9),
         "capitals": level(F.sqrt(rate("[A-Z]")), 12, 9),
+        "digits": level(F.sqrt(rate("[0-9]")), 15, 9),
         "distinct": level(F.size("kinds") / pieces, 10, 9),
         "length": level(F.log2(pieces.cast("double")), 1, 14),
     }
