@@ -90,6 +90,27 @@ def test_token_files_equal_the_library(spark, tmp_path):
     assert bitpack.read_digest(spark, folder, bitpack.write_ids(docs_of(spark, ODD).limit(0), folder, path)).count() == 0
 
 
+def test_token_files_of_long_texts_null_ids_and_repeated_rows(spark, tmp_path, monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bitpack, "FILE_IDS", 3000)  # several files from a partition
+    monkeypatch.setattr(bitpack, "CHUNK", 2000)
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(21)
+    library = Tokenizer.from_file(path)
+    long = " ".join(rng.choice(["The", "x1y22", "don't", "naïve", "日本", "a.b.c", "<|startoftext|>", f"{rng.random()}", "\x1cq"]) for _ in range(6000))
+    rows = [(None, "null id"), (None, None), (-(2**63), "least id"), (5, "twice"), (5, "twice"), (6, long), (7, ""), (8, "  \n" + long[:900])]
+    docs = spark.createDataFrame([(*r, "x", 1.5) for r in rows], "doc_id long, text string, start string, n_tokens double").repartition(3)
+    folder = f"file://{tmp_path}/ids"
+    manifest = bitpack.write_ids(docs, folder, path)
+    assert len(manifest) > len({m[1] for m in manifest})
+    got = sorted((r.start, -1 if r.doc_id is None else r.doc_id, r.n_tokens, r.ids_crc32) for r in bitpack.read_digest(spark, folder, manifest).collect())
+    want = {r: [*library.encode(r[1] or "", add_special_tokens=False).ids, 1] for r in rows}
+    assert [g[1] for g in got] == [-1, -1, -(2**63), 5, 5, 6, 7, 8]
+    assert [g[0] for g in got] == np.cumsum([0, *(g[2] for g in got)])[:-1].tolist()
+    assert sorted(g[2:] for g in got) == sorted((len(want[r]), zlib.crc32(np.array(want[r], dtype="<u4").tobytes())) for r in rows)
+
+
 def brute_repeats(w, k=8):
     seen = collections.Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
     hit = set()
