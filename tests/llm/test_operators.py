@@ -332,29 +332,64 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.tag(docs, toxicity.train(docs, labels.limit(0))).collect()} == {0.0}
 
 
-def test_nearest_neighbours(spark):
+def nearest(rows, k=5):
+    """(query_id, rank, vec_id, score) by brute force; rows are (vec_id, vector)."""
+    v = np.array([x for _, x in rows], dtype=float)
+    norms, ids, out = np.sqrt((v * v).sum(axis=1)), np.array([i for i, _ in rows]), []
+    for q in np.flatnonzero(ids % 50 == 0):
+        cosine = (v * v[q]).sum(axis=1) / (norms * norms[q])
+        order = [j for j in np.lexsort((ids, -cosine)) if j != q][:k]
+        out += [(int(ids[q]), n + 1, int(ids[j]), float(cosine[j])) for n, j in enumerate(order)]
+    return out
+
+
+def neighbours(df, **options):
+    return [tuple(r) for r in ann.search(df, F.col("vec_id") % 50 == 0, **options).collect()]
+
+
+@pytest.mark.parametrize("spread", [0.15, 3.0])
+def test_nearest_neighbours(spark, monkeypatch, spread):
+    """Many cells and blocks; clustered vectors and nearly random ones; a third of the rows share one vector."""
+    monkeypatch.setattr(ann, "CELL", 300)
+    monkeypatch.setattr(ann, "BLOCK", 400)
+    monkeypatch.setattr(ann, "SAMPLE", 2000)
+    monkeypatch.setattr(ann, "CALIBRATION", 20)
     rng = np.random.default_rng(6)
-    v = rng.normal(size=(3000, 8)).astype(np.float32)
-    v[100:200] = v[7]
-    rows = [(i, x.tolist(), 0) for i, x in enumerate(v)] + [(5000, None, 0), (5050, [0.0] * 8, 0), (5100, [float("nan")] * 8, 0), (5150, [1.0, None] + [0.0] * 6, 0)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4)
-    got = collections.defaultdict(list)
-    for r in ann.search(df, F.col("vec_id") % 50 == 0).collect():
-        got[r.query_id].append((r.rank, r.vec_id, r.score))
-    assert set(got) == set(range(0, 3000, 50))
-    m, hits = v.astype(float), 0
-    norms = np.sqrt((m * m).sum(axis=1))
-    for q, found in got.items():
-        cosine = (m * m[q]).sum(axis=1) / (norms * norms[q])
-        cosine[q] = -9
-        best = np.lexsort((np.arange(3000), -cosine))[:5]
-        found.sort()
-        assert [x[0] for x in found] == [1, 2, 3, 4, 5] and all(x[2] == cosine[x[1]] for x in found)
-        hits += len({x[1] for x in found} & set(best.tolist()))
-    assert hits / (5 * len(got)) >= 0.9
-    assert [x[1] for x in sorted(got[100])] == [7, 101, 102, 103, 104]
-    assert ann.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
-    assert ann.search(df.where("vec_id < 3"), F.col("vec_id") % 50 == 0).count() == 2
+    v = (rng.normal(size=(40, 16))[rng.integers(0, 40, 6000)] + spread * rng.normal(size=(6000, 16))).astype(np.float32)
+    v[::3] = v[0]
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<float>, label int").repartition(5)
+    got, want = neighbours(df), nearest(rows)
+    assert [x[:2] for x in sorted(got)] == [x[:2] for x in want]
+    cosines = {}
+    for q, n, i, c in sorted(got):
+        a, b = v[q].astype(float), v[i].astype(float)
+        assert i != q and c == pytest.approx(a @ b / math.sqrt((a @ a) * (b @ b)), abs=1e-12)
+        cosines.setdefault(q, []).append((-c, i))
+    assert all(x == sorted(x) and len(set(x)) == 5 for x in cosines.values())
+    alike = [x for x in want if x[0] % 3 == 0]  # the 40 queries of the common vector, exactly
+    assert [x[:3] for x in sorted(got) if x[0] % 3 == 0] == [x[:3] for x in alike]
+    held_out = [x[:1] + x[2:3] for x in want if x[0] % 3]
+    assert len({x[:1] + x[2:3] for x in got} & set(held_out)) >= 0.9 * len(held_out)
+    seen = ann.search(df, F.col("vec_id") % 50 == 0, looked=True).collect()[0]
+    assert seen.looked < (0.35 if spread < 1 else 0.9) * seen.pairs
+
+
+def test_nearest_neighbours_of_odd_tables(spark):
+    """Repeated rows and ids, extra columns, vectors that take no part, ties, tables of few rows and of none."""
+    rng = np.random.default_rng(7)
+    rows = [(int(i), rng.normal(size=4).astype(np.float32).tolist()) for i in rng.integers(0, 400, 600)]
+    rows += [(0, rows[0][1]), (0, rows[0][1]), (0, rows[1][1]), (50, [1.0, 0.0, 0.0, 0.0]), (50, [1.0, 0.0, 0.0, 0.0]), (51, [2.0, 0.0, 0.0, 0.0]), (51, [2.0, 0.0, 0.0, 0.0])]
+    odd = [(100, None), (150, [0.0] * 4), (200, [float("nan"), 1.0, 1.0, 1.0]), (250, [1.0, None, 0.0, 0.0]), (300, [float("inf"), 0.0, 0.0, 1.0]), (350, [1.0, 2.0]), (None, [1.0] * 4), (50, [])]
+    kind = "vec_id long, embedding array<float>, row long, cell string, rank int, score double, h1 long, v int"
+    df = spark.createDataFrame([(*r, 1, "x", 2, 3.0, 4, 5) for r in [*rows, *odd]], kind).repartition(3)
+    got, want = neighbours(df, recall=1.0), nearest(rows)
+    key = lambda x: (x[0], x[1], x[2], round(x[3], 9))
+    assert collections.Counter(map(key, got)) == collections.Counter(map(key, want))
+    assert neighbours(df.where("vec_id is null")) == [] and neighbours(df.limit(0)) == []
+    few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 2.0]), (50, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    assert sorted(map(key, neighbours(few, recall=1.0))) == sorted(map(key, nearest([tuple(r) for r in few.collect()])))
+    assert neighbours(few.where("vec_id = 0")) == []
 
 
 def test_secrets(spark):
