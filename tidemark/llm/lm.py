@@ -35,7 +35,7 @@ LEAST = 2
 #: Absolute discount of pairs and triples.
 DISCOUNT = 0.75
 #: Characters of text in a block.
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 12_000_000
 END = b"\n"  # no word holds white space
 START = b" "
 
@@ -106,7 +106,7 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()  # Spark deletes shuffle files when the driver's Python and JVM have dropped their plans
-    return spark.read.schema(ENCODED if kind == "lm-encoded" else PACKED).parquet(path)
+    return spark.read.schema(ENCODED if kind == "lm-encoded" else RETURNED).parquet(path)
 
 
 def start_hash() -> np.uint64:
@@ -173,6 +173,7 @@ def unpack_keys(blob: bytes) -> np.ndarray:
 
 
 PACKED = "part int, block long, keys binary, x binary, y binary"
+RETURNED = "part int, block long, x binary, y binary"
 
 
 def parted(block: int, keys: np.ndarray, x: np.ndarray, y: np.ndarray, parts: int):
@@ -186,34 +187,42 @@ def parted(block: int, keys: np.ndarray, x: np.ndarray, y: np.ndarray, parts: in
 
 
 def summed(rows: DataFrame, counts: bool) -> DataFrame:
-    """Both numbers summed by key over all blocks, sent back to every block that has the key.
+    """Both numbers summed by key over all blocks, sent back to every block that has the key, in the order of the keys it sent.
 
-    For ``counts`` only ``x`` is summed and ``y`` is the least sum that keeps a key; the ``y`` sent back is 1 in one of
-    the blocks that have the key and 0 in the others, plus 2 for words, whose least is 1.
+    For ``counts`` only ``x`` is summed and ``y`` is the least sum that keeps a key; what is sent back is 0 and 0 for keys
+    that are not kept; for others ``y`` is 1 in one of the blocks that have the key and 0 in the rest, plus 2 for words, whose least is 1.
     """
     import pyarrow as pa
 
     def run(group: pa.Table) -> pa.Table:
         blobs = [unpack_keys(k) for k in group.column("keys").to_pylist()]
-        keys, back = np.unique(np.concatenate(blobs), return_inverse=True)
         ends = np.cumsum([len(b) for b in blobs])
-        x_in, y_in = (np.concatenate([unpack(v) for v in group.column(name).to_pylist()]) for name in ("x", "y"))
-        x = np.bincount(back, x_in, len(keys)).astype(np.int64)[back]
+        blobs = np.concatenate(blobs)
+        order = np.argsort(blobs, kind="stable")
+        first = blobs[order]
+        del blobs
+        first = np.concatenate([[True], first[1:] != first[:-1]])
+        starts = np.flatnonzero(first)
+
+        def total(name: str) -> np.ndarray:
+            sums = np.add.reduceat(np.concatenate([unpack(v) for v in group.column(name).to_pylist()])[order], starts)
+            out = np.empty(len(order), dtype=np.int64)
+            out[order] = np.repeat(sums, np.diff(np.append(starts, len(order))))
+            return out
+
+        x = total("x")
         if counts:
-            keep, y = x >= y_in, 2 * (y_in == 1)
-            order = np.full(len(keys), len(back))
-            order[back[::-1]] = np.arange(len(back))[::-1]
-            y[order] += 1
+            least = np.concatenate([unpack(v) for v in group.column("y").to_pylist()])
+            mark = np.zeros(len(order), dtype=np.int64)
+            mark[order[starts]] = 1
+            keep = x >= least
+            x, y = np.where(keep, x, 0), np.where(keep, mark + 2 * (least == 1), 0)
         else:
-            keep, y = np.ones(len(back), dtype=bool), np.bincount(back, y_in, len(keys)).astype(np.int64)[back]
-        out = ([], [], [])
-        for b, end in zip(blobs, ends):
-            at = slice(end - len(b), end)
-            for to, v in zip(out, (pack_keys(b[keep[at]]), pack(x[at][keep[at]]), pack(y[at][keep[at]]))):
-                to.append(v)
-        return pa.Table.from_arrays([group.column("part"), group.column("block"), *[pa.array(o, pa.binary()) for o in out]], ["part", "block", "keys", "x", "y"])
+            y = total("y")
+        out = [[pack(v[end - n : end]) for end, n in zip(ends, np.diff(ends, prepend=0))] for v in (x, y)]
+        return pa.Table.from_arrays([group.column("part"), group.column("block"), *[pa.array(o, pa.binary()) for o in out]], ["part", "block", "x", "y"])
 
-    return rows.groupBy("part").applyInArrow(run, PACKED)
+    return rows.groupBy("part").applyInArrow(run, RETURNED)
 
 
 def totals(counted: DataFrame) -> tuple[int, int, int, int]:
@@ -228,11 +237,10 @@ def totals(counted: DataFrame) -> tuple[int, int, int, int]:
     return tuple(x or 0 for x in counted.select("x", "y").mapInArrow(run, "a long, b long, c long, d long").agg(*[F.sum(k) for k in "abcd"]).collect()[0])
 
 
-def unpacked(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, x, y) of a block's rows of ``PACKED``, by key."""
-    parts = sorted(zip(*[rows.column(c).to_pylist() for c in ("part", "keys", "x", "y")]))
-    out = [np.concatenate([np.empty(0, t), *[f(p[i]) for p in parts]]) for i, f, t in ((1, unpack_keys, np.uint64), (2, unpack, np.int64), (3, unpack, np.int64))]
-    return out[0], out[1], out[2]
+def unpacked(rows) -> tuple[np.ndarray, np.ndarray]:
+    """(x, y) of a block's rows of ``RETURNED``, in the order of its keys."""
+    parts = sorted(zip(*[rows.column(c).to_pylist() for c in ("part", "x", "y")], strict=True))
+    return tuple(np.concatenate([np.empty(0, np.int64), *[unpack(p[i]) for p in parts]]) for i in (1, 2))
 
 
 def place(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -356,7 +364,7 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     n_docs = own.where(~F.col("held_out")).count()
     chars = own.agg(F.sum(F.length("text") + 1)).collect()[0][0] or 1
     n_blocks = -(-chars // BLOCK_CHARS)
-    parts = 4 * n_blocks
+    parts = n_blocks
     encoded = written(own.mapInArrow(encode, ENCODED), "lm-encoded")
 
     def emit(batches):
@@ -368,7 +376,9 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     def block_of(group: pa.Table):
         """(encoded block, keys, counts, marks) of a group of ``both``, and what is :func:`found` of its pairs and triples."""
         e = Encoded(group.filter(pc.is_valid(group.column("ids"))).to_pylist()[0])
-        keys, n, mark = unpacked(group.filter(pc.is_valid(group.column("part"))))
+        (n, mark), (keys, _, _) = unpacked(group.filter(pc.is_valid(group.column("part")))), e.grams()
+        kept = n > 0
+        keys, n, mark = keys[kept], n[kept], mark[kept]
         return e, keys, n, mark, found(keys, e.pair, np.arange(len(e.ids))), found(keys, e.triple, np.flatnonzero(e.inner))
 
     def histories(group: pa.Table) -> pa.Table:
@@ -387,8 +397,9 @@ def score(docs: DataFrame, held_out) -> DataFrame:
         count = np.where(where >= 0, n[where], 0) if len(keys) else np.zeros(len(e.words), np.int64)
         pairs = np.stack([np.where(e.inner[pair_at], e.ids[pair_at - 1], -1), e.ids[pair_at]], 1).astype(np.int64)
         triples = np.stack([pair_of[triple_at - 1], pair_of[triple_at]], 1)  # both ends of a kept triple are kept
-        heads, sum_n, sum_k = unpacked(head_table)
-        head = np.searchsorted(heads, np.concatenate([[start_hash()], e.words, pair]))
+        sum_n, sum_k = unpacked(head_table)
+        histories_ = np.concatenate([[start_hash()], e.words, pair])
+        head = np.searchsorted(np.unique(histories_), histories_)
         auto = Automaton.of(count, total, n_docs, vocabulary, ones, twos, pairs, n[at], triples, n[at3], np.stack([sum_n, sum_k])[:, head])
         base = np.log10((count + 1) / (total + vocabulary + 1))
         single = np.log10(np.where(count > 0, np.maximum(count - auto.discount, 1e-12) / max(total, 1), auto.unknown))
