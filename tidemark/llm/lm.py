@@ -12,7 +12,10 @@ the backoff weight that makes the state's probabilities add up to one.
 Words and n-grams grow with the corpus, so they are never sent whole to a task
 or to the driver: each task's documents make up blocks of bounded size, and each
 block gets the counts, arcs and failure arcs of its own words and n-grams
-by joins on their 64-bit hashes.
+by joins on their hashes.  Words have 64-bit hashes, so their counts are exact.
+Those of n-grams are as long as the corpus needs: the bits that number all its
+characters and ``SPARE`` more, at most 63; about one n-gram in 2**SPARE shares
+one and is counted with another, and counts as far as its ends are kept.
 
 Defined cases: null and empty texts hold the end token alone; words that only
 held-out texts have are unknown; without training tokens every score uses
@@ -23,6 +26,7 @@ training rows; extra columns are ignored.
 from __future__ import annotations
 
 import gc
+import time
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -36,6 +40,8 @@ LEAST = 2
 DISCOUNT = 0.75
 #: Characters of text in a block.
 BLOCK_CHARS = 12_000_000
+#: Bits of an n-gram's hash beyond those that number all characters.
+SPARE = 16
 END = b"\n"  # no word holds white space
 START = b" "
 
@@ -104,8 +110,10 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     path = run_folder(spark, kind)
     df.write.parquet(path)
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # Spark deletes shuffle files when the driver's Python and JVM have dropped their plans
+    for _ in range(2):  # Spark deletes shuffle files when the driver's Python and JVM have dropped their plans
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
     return spark.read.schema(ENCODED if kind == "lm-encoded" else RETURNED).parquet(path)
 
 
@@ -116,7 +124,7 @@ def start_hash() -> np.uint64:
 class Encoded:
     """The texts of a block, end to end: word numbers, and a hash of the word, pair and triple that ends at each token."""
 
-    def __init__(self, row: dict):
+    def __init__(self, row: dict, shift: int):
         self.block, self.doc_ids = row["block"], row["doc_ids"]
         self.held = unpack(row["held"]).astype(bool)
         self.lens, self.ids = unpack(row["lens"]), unpack(row["ids"]).astype(np.int32)
@@ -128,25 +136,23 @@ class Encoded:
         before[self.starts] = start_hash()
         self.pair = mixed(before, here)
         self.triple = mixed(np.concatenate([[np.uint64(0)], self.pair[:-1]]), here)
+        for x in (self.pair, self.triple):
+            np.left_shift(np.right_shift(x, np.uint64(shift), out=x), np.uint64(shift), out=x)
         self.inner = np.ones(len(self.ids), dtype=bool)
         self.inner[self.starts] = False  # the first token ends a pair with the start, but no triple
 
-    def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct hashes of words, pairs and triples, ascending, their training counts and the least count to keep."""
-        words = self.words, np.bincount(self.ids[self.training], minlength=len(self.words))
-        every = [words, distinct(self.pair, self.training), distinct(self.triple[self.inner], self.training[self.inner])]
-        keys, n = (np.concatenate(x) for x in zip(*every))
-        least = np.full(len(keys), LEAST)
-        least[: len(self.words)] = 1
-        order = np.argsort(keys)
-        return keys[order], n[order], least[order]
-
+    def grams(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct hashes of pairs and triples, ascending, and their training counts; a lowest bit marks training tokens meanwhile."""
+        every = np.concatenate([self.pair | self.training, self.triple[self.inner] | self.training[self.inner]])
+        every.sort()
+        keys = every & ~np.uint64(1)
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+        return keys[first], np.add.reduceat((every & np.uint64(1)).astype(np.int64), first) if len(first) else np.empty(0, np.int64)
 
-def distinct(keys: np.ndarray, counted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys)
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
-    return keys[first], np.add.reduceat(counted[order].astype(np.int64), first) if len(first) else np.empty(0, np.int64)
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words, ascending, and their training counts."""
+        order = np.argsort(self.words)
+        return self.words[order], np.bincount(self.ids[self.training], minlength=len(self.words))[order]
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -164,59 +170,60 @@ def unpack(blob: bytes, dtype=np.int64) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, n).T).view(dtype).reshape(n)
 
 
-def pack_keys(keys: np.ndarray) -> bytes:
-    return pack(np.diff(keys, prepend=np.uint64(0)))
+def pack_keys(keys: np.ndarray, shift: int) -> bytes:
+    return pack(np.diff(keys >> np.uint64(shift), prepend=np.uint64(0)))
 
 
-def unpack_keys(blob: bytes) -> np.ndarray:
-    return np.cumsum(unpack(blob, np.uint64), dtype=np.uint64)
+def unpack_keys(blob: bytes, shift: int) -> np.ndarray:
+    return np.cumsum(unpack(blob, np.uint64), dtype=np.uint64) << np.uint64(shift)
 
 
+#: Rows of one range of hashes of a block: part i for those of n-grams, -1 - i for those of words.
 PACKED = "part int, block long, keys binary, x binary, y binary"
 RETURNED = "part int, block long, x binary, y binary"
 
 
-def parted(block: int, keys: np.ndarray, x: np.ndarray, y: np.ndarray, parts: int):
-    """Rows of ``PACKED``: ascending ``keys`` with two numbers each, cut into ranges of the hash."""
+def parted(block: int, keys: np.ndarray, x: np.ndarray, y: np.ndarray, parts: int, shift: int):
+    """Rows of ``PACKED``: ascending ``keys`` (of words without a shift) with two numbers each, cut into ranges of the hash."""
     import pyarrow as pa
 
     cut = np.searchsorted((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
     at = [(i, slice(cut[i], cut[i + 1])) for i in range(parts) if cut[i] < cut[i + 1]]
-    columns = [pa.array([i for i, _ in at], pa.int32()), pa.array([block] * len(at), pa.int64()), *[pa.array([f(v[s]) for _, s in at], pa.binary()) for f, v in ((pack_keys, keys), (pack, x), (pack, y))]]
+    columns = [pa.array([i if shift else -1 - i for i, _ in at], pa.int32()), pa.array([block] * len(at), pa.int64()), pa.array([pack_keys(keys[s], shift) for _, s in at], pa.binary()), *[pa.array([pack(v[s]) for _, s in at], pa.binary()) for v in (x, y)]]
     return pa.Table.from_arrays(columns, ["part", "block", "keys", "x", "y"])
 
 
-def summed(rows: DataFrame, counts: bool) -> DataFrame:
+def summed(rows: DataFrame, shift: int, counts: bool) -> DataFrame:
     """Both numbers summed by key over all blocks, sent back to every block that has the key, in the order of the keys it sent.
 
-    For ``counts`` only ``x`` is summed and ``y`` is the least sum that keeps a key; what is sent back is 0 and 0 for keys
-    that are not kept; for others ``y`` is 1 in one of the blocks that have the key and 0 in the rest, plus 2 for words, whose least is 1.
+    For ``counts`` only ``x`` is summed; what is sent back is 0 and 0 for keys whose sum does not reach ``LEAST`` (of words: 1);
+    for others ``y`` is 1 in one of the blocks that have the key and 0 in the rest, plus 2 for words.
     """
     import pyarrow as pa
 
     def run(group: pa.Table) -> pa.Table:
-        blobs = [unpack_keys(k) for k in group.column("keys").to_pylist()]
-        ends = np.cumsum([len(b) for b in blobs])
-        blobs = np.concatenate(blobs)
-        order = np.argsort(blobs, kind="stable")
-        first = blobs[order]
-        del blobs
-        first = np.concatenate([[True], first[1:] != first[:-1]])
-        starts = np.flatnonzero(first)
+        words = group.column("part")[0].as_py() < 0
+        keys = [unpack_keys(k, 0 if words else shift) for k in group.column("keys").to_pylist()]
+        ends = np.cumsum([len(k) for k in keys])
+        keys = np.concatenate(keys)
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        sizes = np.diff(np.append(starts, len(keys)))
+        del keys
 
         def total(name: str) -> np.ndarray:
             sums = np.add.reduceat(np.concatenate([unpack(v) for v in group.column(name).to_pylist()])[order], starts)
             out = np.empty(len(order), dtype=np.int64)
-            out[order] = np.repeat(sums, np.diff(np.append(starts, len(order))))
+            out[order] = np.repeat(sums, sizes)
             return out
 
         x = total("x")
         if counts:
-            least = np.concatenate([unpack(v) for v in group.column("y").to_pylist()])
-            mark = np.zeros(len(order), dtype=np.int64)
-            mark[order[starts]] = 1
-            keep = x >= least
-            x, y = np.where(keep, x, 0), np.where(keep, mark + 2 * (least == 1), 0)
+            y = np.full(len(order), 2 * words)
+            y[order[starts]] += 1
+            gone = x < (1 if words else LEAST)
+            x[gone] = y[gone] = 0
         else:
             y = total("y")
         out = [[pack(v[end - n : end]) for end, n in zip(ends, np.diff(ends, prepend=0))] for v in (x, y)]
@@ -237,10 +244,11 @@ def totals(counted: DataFrame) -> tuple[int, int, int, int]:
     return tuple(x or 0 for x in counted.select("x", "y").mapInArrow(run, "a long, b long, c long, d long").agg(*[F.sum(k) for k in "abcd"]).collect()[0])
 
 
-def unpacked(rows) -> tuple[np.ndarray, np.ndarray]:
-    """(x, y) of a block's rows of ``RETURNED``, in the order of its keys."""
+def unpacked(rows) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """(x, y) of a block's rows of ``RETURNED``, in the order of its n-grams and of its words."""
     parts = sorted(zip(*[rows.column(c).to_pylist() for c in ("part", "x", "y")], strict=True))
-    return tuple(np.concatenate([np.empty(0, np.int64), *[unpack(p[i]) for p in parts]]) for i in (1, 2))
+    grams, words = [p for p in parts if p[0] >= 0], [p for p in reversed(parts) if p[0] < 0]
+    return tuple(tuple(np.concatenate([np.empty(0, np.int64), *[unpack(p[i]) for p in kind]]) for i in (1, 2)) for kind in (grams, words))
 
 
 def place(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -365,42 +373,52 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     chars = own.agg(F.sum(F.length("text") + 1)).collect()[0][0] or 1
     n_blocks = -(-chars // BLOCK_CHARS)
     parts = n_blocks
+    # n-grams are told apart by so many bits of their hash that one in 2**SPARE or fewer meets another
+    shift = max(1, 64 - (chars.bit_length() + SPARE))
     encoded = written(own.mapInArrow(encode, ENCODED), "lm-encoded")
 
     def emit(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                e = Encoded(batch.slice(i, 1).to_pylist()[0])
-                yield from parted(e.block, *e.grams(), parts).to_batches()
+                e = Encoded(batch.slice(i, 1).to_pylist()[0], shift)
+                for s, (keys, n) in ((shift, e.grams()), (0, e.counts())):
+                    yield from parted(e.block, keys, n, np.zeros(len(keys), np.int64), parts, s).to_batches()
 
     def block_of(group: pa.Table):
-        """(encoded block, keys, counts, marks) of a group of ``both``, and what is :func:`found` of its pairs and triples."""
-        e = Encoded(group.filter(pc.is_valid(group.column("ids"))).to_pylist()[0])
-        (n, mark), (keys, _, _) = unpacked(group.filter(pc.is_valid(group.column("part")))), e.grams()
-        kept = n > 0
-        keys, n, mark = keys[kept], n[kept], mark[kept]
-        return e, keys, n, mark, found(keys, e.pair, np.arange(len(e.ids))), found(keys, e.triple, np.flatnonzero(e.inner))
+        """(encoded block, counts of its words, kept keys, counts, marks) of a group of ``both``, and what is :func:`found` of its pairs and triples."""
+        e = Encoded(group.filter(pc.is_valid(group.column("ids"))).to_pylist()[0], shift)
+        ((n, mark), (n_words, mark_words)), (keys, _) = unpacked(group.filter(pc.is_valid(group.column("part")))), e.grams()
+        keys, n, mark = (v[n > 0] for v in (keys, n, mark))
+        count = np.empty(len(e.words), np.int64)
+        count[np.argsort(e.words)] = n_words
+        pairs, (kinds, at, places, of) = found(keys, e.pair, np.arange(len(e.ids))), found(keys, e.triple, np.flatnonzero(e.inner))
+        whole = (pairs[3][at - 1] >= 0) & (pairs[3][at] >= 0)  # but for triples that meet another n-gram's hash both ends are kept
+        of = np.where(np.append(whole, False)[of], np.append(np.cumsum(whole) - 1, -1)[of], -1)
+        return e, count, n, mark, pairs, (kinds[whole], at[whole], places[whole], of)
+
+    def heads_of(e: Encoded, pair: np.ndarray):
+        """Hashes of the words and the start, and of the kept pairs; both ascending."""
+        return np.unique(np.concatenate([[start_hash()], e.words])), pair
 
     def histories(group: pa.Table) -> pa.Table:
         """Of each history in the block: count and number of the kept words after it, of the grams that are this block's to sum."""
-        e, keys, n, mark, (pair, pair_at, at, _), (_, triple_at, at3, _) = block_of(group)
+        e, _, n, mark, (pair, pair_at, at, pair_of), (_, triple_at, at3, _) = block_of(group)
+        words, _ = heads_of(e, pair)
         before = np.where(e.inner[pair_at], e.words[e.ids[pair_at - 1]], start_hash())
-        every = np.unique(np.concatenate([[start_hash()], e.words, pair]))
-        to = np.concatenate([np.searchsorted(every, before), np.searchsorted(every, e.pair[triple_at - 1])])
-        at = np.concatenate([at, at3])
-        own_sums = [np.bincount(to, v, len(every)).astype(np.int64) for v in ((mark[at] & 1) * n[at], mark[at] & 1)]
-        return parted(e.block, every, *own_sums, parts)
+        out = []
+        for keys, to, of, s in ((words, np.searchsorted(words, before), at, 0), (pair, pair_of[triple_at - 1], at3, shift)):
+            sums = [np.bincount(to, v, len(keys)).astype(np.int64) for v in ((mark[of] & 1) * n[of], mark[of] & 1)]
+            out.append(parted(e.block, keys, *sums, parts, s))
+        return pa.concat_tables(out)
 
     def run(group: pa.Table, head_table: pa.Table) -> pa.Table:
-        e, keys, n, _, (pair, pair_at, at, pair_of), (_, triple_at, at3, triple_of) = block_of(group)
-        where = place(keys, e.words)
-        count = np.where(where >= 0, n[where], 0) if len(keys) else np.zeros(len(e.words), np.int64)
+        e, count, n, _, (pair, pair_at, at, pair_of), (_, triple_at, at3, triple_of) = block_of(group)
         pairs = np.stack([np.where(e.inner[pair_at], e.ids[pair_at - 1], -1), e.ids[pair_at]], 1).astype(np.int64)
-        triples = np.stack([pair_of[triple_at - 1], pair_of[triple_at]], 1)  # both ends of a kept triple are kept
-        sum_n, sum_k = unpacked(head_table)
-        histories_ = np.concatenate([[start_hash()], e.words, pair])
-        head = np.searchsorted(np.unique(histories_), histories_)
-        auto = Automaton.of(count, total, n_docs, vocabulary, ones, twos, pairs, n[at], triples, n[at3], np.stack([sum_n, sum_k])[:, head])
+        triples = np.stack([pair_of[triple_at - 1], pair_of[triple_at]], 1)
+        of_pairs, of_words = unpacked(head_table)
+        head = np.searchsorted(heads_of(e, pair)[0], np.concatenate([[start_hash()], e.words]))
+        sum_n, sum_k = (np.concatenate([w[head], p]) for w, p in zip(of_words, of_pairs, strict=True))
+        auto = Automaton.of(count, total, n_docs, vocabulary, ones, twos, pairs, n[at], triples, n[at3], np.stack([sum_n, sum_k]))
         base = np.log10((count + 1) / (total + vocabulary + 1))
         single = np.log10(np.where(count > 0, np.maximum(count - auto.discount, 1e-12) / max(total, 1), auto.unknown))
         after = np.where(pair_of >= 0, np.append(auto.next_of_pair, 0)[pair_of], auto.after[e.ids])
@@ -410,10 +428,10 @@ def score(docs: DataFrame, held_out) -> DataFrame:
         known, base_score, full = (np.add.reduceat(v, e.starts) for v in ((count[e.ids] > 0).astype(np.int64), base[e.ids], own_score))
         return pa.table({"doc_id": pa.array(e.doc_ids, pa.int64()), "held_out": pa.array(e.held), "n_tokens": pa.array(e.lens), "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([total] * len(known), pa.int64()), "base_score": pa.array(base_score, pa.float64()), "score": pa.array(full, pa.float64())})
 
-    counted = written(summed(encoded.mapInArrow(emit, PACKED), True), "lm-counted")
+    counted = written(summed(encoded.mapInArrow(emit, PACKED), shift, True), "lm-counted")
     total, vocabulary, ones, twos = totals(counted)
     both = encoded.unionByName(counted, allowMissingColumns=True).repartition(n_blocks, "block")  # one exchange, read twice
-    heads = summed(both.groupBy("block").applyInArrow(histories, PACKED), False)
+    heads = summed(both.groupBy("block").applyInArrow(histories, PACKED), shift, False)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return both.groupBy("block").cogroup(heads.groupBy("block")).applyInArrow(run, schema)
 
