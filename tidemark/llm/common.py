@@ -27,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if path is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
     if sc.getCheckpointDir() is None:
@@ -75,6 +77,23 @@ def over_key(df: DataFrame, key: str, stats: dict[str, Column]) -> DataFrame:
     return rest.unionByName(df.join(F.broadcast(whole), key))
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """``names``, lengthened until no column is called so."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id and hash of the text are not in ``gone`` (doc_id, text_key)."""
+    doc, key = unused(docs.columns, "gone_id", "gone_key")
+    listed = counted(gone.select(F.col("doc_id").alias(doc), F.col("text_key").alias(key)).distinct())
+    return docs.join(listed, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(key)), "left_anti")
+
+
 def run_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 

@@ -12,7 +12,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (long columns a, b); root is the smallest node reachable.
 
     Each round is one shuffle by node of each star step and ends in the shared checkpoint folder;
-    nothing but totals reaches the driver.  Self-loops keep single nodes.  A hub's neighbours
+    nothing but totals reaches the driver; not to settle in ``most_rounds`` is an error.  Self-loops keep single nodes.  A hub's neighbours
     never meet in one task: its minimum is taken before the shuffle and comes back by broadcast.
     """
     own = Window.partitionBy("a")
@@ -29,5 +29,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if total == last or not total[0]:
             break
         last = total
+    else:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     every = nodes.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     return every.join(now.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))

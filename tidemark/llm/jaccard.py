@@ -17,7 +17,8 @@ exact for every global order of tokens), step 3 none either (the bound is an upp
 
 Defined cases: null texts and texts without words are empty sets, linked with nothing; texts with
 fewer words than n are one shingle, the whole sequence; repeated rows and repeated ids each get their
-row, an id's texts count one by one; ties need no rule; extra columns are ignored by :func:`join`.
+row, an id's texts count one by one; a row with a null id belongs to the class of its equal texts, and if none of these has an id its
+component is null and it links nothing; ties need no rule; extra columns are ignored by :func:`join`.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import counted, over_key, run_folder, table, text_bytes
+from .common import counted, run_folder, table, text_bytes
 from .graph import components
 
 WORDS = 4
@@ -188,11 +189,23 @@ def signatures(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataF
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, hi long, lo long, prefix array<long>")
 
 
+def beside(rows: DataFrame, key: str, stats: dict, wanted: str) -> DataFrame:
+    """``rows`` whose key's aggregates ``stats`` meet ``wanted``, with these.
+
+    The aggregates are summed before their shuffle and written, so both sides of the join are plain
+    exchanges: a key of any size is split by adaptive execution, and none meets in one task.  ``rows``
+    is read twice and should stand on a written table.
+    """
+    folder = run_folder(rows.sparkSession, "stats")
+    rows.groupBy(key).agg(*[v.alias(k) for k, v in stats.items()]).where(wanted).write.parquet(folder)
+    return rows.join(rows.sparkSession.read.parquet(folder), key)
+
+
 def regions(signed: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, root): low hashes of sets that may link with another, and their region."""
     rows = signed.where("prefix is not null").select(F.col("lo").alias("sid"), "n", F.explode("prefix").alias("token"))
     by_set = Window.partitionBy("sid")
-    shared = over_key(rows, "token", {"least": F.min("sid"), "most": F.max("sid"), "df": F.count("*")}).where("least <> most").select("sid", "n", "token", "df").distinct()
+    shared = beside(rows, "token", {"least": F.min("sid"), "most": F.max("sid"), "df": F.count("*")}, "least <> most").select("sid", "n", "token", "df").distinct()
     # tokens of one set only come first in the order, so the rest of the needed ones are shared
     p, lo = (F.least(F.col("n"), F.col("n") - F.ceil(percent * F.col("n") / 100) + 1 + F.floor(F.lit(EXTRA) * F.col("n"))), F.ceil(percent * F.col("n") / 100))
     need = F.greatest(F.lit(1), p - F.floor(F.lit(EXTRA) * lo))
@@ -200,7 +213,7 @@ def regions(signed: DataFrame, percent: int = PERCENT) -> DataFrame:
     folder = run_folder(signed.sparkSession, "tried")
     ranked.where(F.col("rank") <= need - (p - F.col("held"))).select("sid", "token").write.parquet(folder)
     tried = signed.sparkSession.read.parquet(folder)
-    edges = over_key(tried, "token", {"hub": F.min("sid")}).where("hub <> sid").select(F.col("sid").alias("a"), F.col("hub").alias("b")).distinct()
+    edges = beside(tried, "token", {"hub": F.min("sid"), "most": F.max("sid")}, "hub <> most").where("hub <> sid").select(F.col("sid").alias("a"), F.col("hub").alias("b")).distinct()
     return components(edges)
 
 

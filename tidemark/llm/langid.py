@@ -10,7 +10,8 @@ for the false positives that a language's fill causes.
 Defined cases: a text that is null or has no letter gets ``und`` and score 0;
 a text whose n-grams no language holds gets the most frequent language and
 score 0; ties go to the language with more training n-grams, then by name;
-repeated rows are predicted alike; without training rows all are ``und``.
+repeated rows are predicted alike; without training rows all are ``und``; an
+empty table gives no rows; texts are read whole, however long; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +33,15 @@ SPACE = 16
 #: Distinct words that a task counts before it hands on their n-grams.
 FLUSH = 300_000
 MEMO = 300_000
-WORDS = re.compile(r"[^\W\d_]+").findall
+RUNS = re.compile(r"[^\W\d_]+").findall
+
+
+def letters(text: str) -> list[str]:
+    """The runs of letters of a text; numerals such as superscripts and Roman ones are none."""
+    runs = RUNS(text.lower())
+    if runs and not "".join(runs).isalpha():
+        runs = [w for run in runs for w in "".join(c if c.isalpha() else " " for c in run).split()]
+    return runs
 
 
 def ngram_hashes(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -104,7 +113,7 @@ class Filter:
         self.rows.append(made)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        cut = [WORDS(t.lower()) if t else [] for t in texts]
+        cut = [letters(t) if t else [] for t in texts]
         if len(self.memo) > MEMO:
             self.memo, self.rows = {}, []
         new = list({w for words in cut for w in words if w not in self.memo})
@@ -143,7 +152,7 @@ def train(docs: DataFrame, share: float = SHARE) -> Filter:
         for batch in batches:
             for i in range(0, len(batch), 512):
                 for text, lang in zip(batch.column(0).slice(i, 512).to_pylist(), batch.column(1).slice(i, 512).to_pylist(), strict=True):
-                    counts.setdefault(lang, Counter()).update(WORDS((text or "").lower()))
+                    counts.setdefault(lang, Counter()).update(letters(text or ""))
                 if sum(map(len, counts.values())) > FLUSH:
                     yield from flush()
         yield from flush()

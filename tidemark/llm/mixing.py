@@ -7,14 +7,16 @@ labels, gives each document a posterior over the domains ``clean``, ``low`` and
     min |W (A r - 1)|^2,  A[k, d] = tokens_d * posterior_dk / target_k,
 
 by projected gradients from r = 1: each round is one distributed sum of the K
-domain totals; W whitens A, so few rounds suffice.  A round's residual is K
-numbers, and a document's rate is a fold of the rounds so far over its own K + 1
-numbers, so no per-document state is kept or moved.
+domain totals; W whitens A, so few rounds suffice.  Gradients are taken for each token, so a document's rate depends on its
+posteriors alone and is bounded by them.  A round's residual is K numbers, and a document's rate is a fold of the
+rounds so far over its own K numbers, so no per-document state is kept or moved.
 
 Defined cases: null and empty texts have 0 tokens and rate 1; repeated rows have
 equal rates, and each counts towards the totals; domains without any posterior
 mass keep their target unmet; without labels all posterior mass is ``clean``;
-an empty table gives no rows; extra columns are kept by :func:`apply`.
+an empty table gives no rows; marking words of equal weight are taken in
+alphabetical order; texts are read whole, however long; extra columns, whatever
+their names, are kept by :func:`apply`.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, checkpoint, counted, table
+from .common import ASCII_SPACE, checkpoint, table, without
 
 DOMAINS = ("clean", "low", "toxic")
 #: Target shares of the tokens.
@@ -34,8 +36,10 @@ WEIGHTS = {"clean": 0.96, "low": 0.03, "toxic": 0.01}
 SAMPLE = 6000
 #: Words that mark a domain.
 MARKS = 200
-ROUNDS = 20
+ROUNDS = 30
 TOLERANCE = 1e-6
+#: Posterior mass below this share of a domain's target counts as none.
+NONE = 1e-6
 #: Posteriors are softened by this power, as the statistics depend on each other.
 SOFT = 0.7
 
@@ -90,7 +94,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[dict[
         drawn = drawn | ((F.col("domain") == d) & (F.pmod(F.xxhash64("doc_id"), F.lit(2**31)) < cut))
     sample = checkpoint(docs.select("doc_id", "text").join(F.broadcast(named.where(drawn)), "doc_id").select("domain", "text"))  # about SAMPLE rows
     n = {r[0]: r[1] for r in sample.groupBy("domain").count().collect()}
-    spread = sample.select("domain", F.explode(F.array_distinct(words_of(F.col("text")))).alias("word")).where(F.length("word") <= 40)
+    spread = sample.select("domain", F.explode(F.array_distinct(words_of(F.col("text")))).alias("word"))
     seen = spread.groupBy("word").pivot("domain", list(DOMAINS)).count().na.fill(0)
     marks = {}
     for d in DOMAINS[1:]:
@@ -138,56 +142,81 @@ def posteriors(docs: DataFrame, model, keep: list[str]) -> DataFrame:
     return powers.select(*keep, "n_tokens", *[(F.col(f"e{i}") / total).alias(f"p_{d}") for i, d in enumerate(DOMAINS)])
 
 
-def rate_after(steps: list[list[float]], unit: list[float]) -> Column:
-    """A document's rate after the given steps: max(0, rate - <step, a>) from 1 on."""
+def rate_after(steps: list[list[float]], unit: list[float], most: float | None = None) -> Column:
+    """A document's rate after the given steps: each subtracts <step, posterior / target> and cuts at 0 (and at ``most``), from 1 on."""
     if not steps:
         return F.lit(1.0)
-    a = [F.col("n_tokens") * F.col(f"p_{d}") * u for d, u in zip(DOMAINS, unit, strict=True)]
+    a = [F.col(f"p_{d}") * u for d, u in zip(DOMAINS, unit, strict=True)]
     rounds = F.array(*[F.array(*map(F.lit, s)) for s in steps])
-    move = lambda r, s: F.greatest(F.lit(0.0), r - sum((a[i] * F.element_at(s, i + 1) for i in range(1, len(a))), a[0] * F.element_at(s, 1)))
+    cut = (lambda x: F.least(F.lit(most), x)) if most is not None else (lambda x: x)
+    move = lambda r, s: cut(F.greatest(F.lit(0.0), r - sum((a[i] * F.element_at(s, i + 1) for i in range(1, len(a))), a[0] * F.element_at(s, 1))))
     return F.aggregate(rounds, F.lit(1.0), move)
 
 
-def fit(soft: DataFrame, weights: dict[str, float], anchor: str = "clean", rounds: int = ROUNDS) -> tuple[list[list[float]], list[float]]:
-    """The rounds' steps and 1 / target of each domain; the anchor domain's target is what it has."""
+def fit(soft: DataFrame, weights: dict[str, float], anchor: str = "clean", rounds: int = ROUNDS, most: float | None = None, fixed: Column | None = None) -> tuple[list[list[float]], list[float], float]:
+    """The rounds' steps, 1 / target of each domain, and the largest relative error that is left.
+
+    The anchor domain's target is what it has.  Rates of ``fixed`` documents stay 1, others lie between 0 and ``most``.
+    Steps go along each token's gradient, so documents of equal posteriors have equal rates however long they are.
+    A round that does not bring the totals nearer is taken back and its step cut.  Rounds end when every domain's
+    total is within ``TOLERANCE`` of its target, or no step brings it nearer.
+    """
     masses = [F.sum(F.col("n_tokens") * F.col(f"p_{d}")) for d in DOMAINS]
     have = [float(x or 0.0) for x in soft.agg(*masses).collect()[0]]
     budget = have[DOMAINS.index(anchor)] / weights[anchor]
     if budget <= 0:
-        return [], [0.0] * len(DOMAINS)
+        return [], [0.0] * len(DOMAINS), 0.0
     target = [budget * weights[d] for d in DOMAINS]
-    unit = [1.0 / t if h > 0 and t > 0 else 0.0 for t, h in zip(target, have, strict=True)]
-    a = [F.col("n_tokens") * F.col(f"p_{d}") * u for d, u in zip(DOMAINS, unit, strict=True)]
-    k = len(DOMAINS)
+    unit = [1.0 / t if h > NONE * t > 0 else 0.0 for t, h in zip(target, have, strict=True)]
+    a = [F.col(f"p_{d}") * u for d, u in zip(DOMAINS, unit, strict=True)]
+    k, n = len(DOMAINS), F.col("n_tokens")
+    free = ~F.coalesce(fixed, F.lit(False)) if fixed is not None else F.lit(True)
     steps: list[list[float]] = []
+    best: tuple | None = None  # value, steps, error
+    metrics: list[np.ndarray] = []  # W, and the plain metric for where the active bounds make W's step a wrong one
+    sizes, turn = [1.0, 1.0], 0
     for _ in range(rounds):
-        moving = F.when(F.col("r") > 0, 1.0).otherwise(0.0)
-        sums = [F.sum(F.col("r") * x) for x in a] + [F.sum(moving * a[i] * a[j]) for i in range(k) for j in range(k)]
-        got = np.array([float(x or 0.0) for x in soft.withColumn("r", rate_after(steps, unit)).agg(*sums).collect()[0]])
+        r = F.when(free, rate_after(steps, unit, most)).otherwise(1.0)
+        inside = (F.col("r") > 0) & (F.col("r") < most if most is not None else F.lit(True)) | (F.lit(not steps))
+        moving = F.when(free & inside, n).otherwise(0.0)
+        sums = [F.sum(n * F.col("r") * x) for x in a] + [F.sum(moving * a[i] * a[j]) for i in range(k) for j in range(k)]
+        got = np.array([float(x or 0.0) for x in soft.withColumn("r", r).agg(*sums).collect()[0]])
         error = got[:k] - np.array([1.0 if u else 0.0 for u in unit])
-        if np.abs(error).max() < TOLERANCE:
+        value = float((error * error).sum())
+        if best is None or value < best[0]:
+            moves = got[k:].reshape(k, k)
+            top = np.linalg.eigvalsh(moves)[-1] if best is None else top
+            metrics = [np.linalg.pinv(moves, rcond=1e-9), np.eye(k) / max(top, 1e-300)]
+            best = (value, steps, error)
+            sizes[turn] *= 2 if turn else 1
+        else:
+            sizes[turn] /= 4
+            turn = 1 - turn
+        if np.abs(best[2]).max() < TOLERANCE or max(sizes) < 1e-6:
             break
-        white = np.linalg.pinv(got[k:].reshape(k, k), rcond=1e-9)  # W of this round: that of the rates above 0
-        steps.append((white @ error).tolist())
-    return steps, unit
+        steps = [*best[1], (sizes[turn] * metrics[turn] @ best[2]).tolist()]
+    return best[1], unit, float(np.abs(best[2]).max())
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, keep: tuple | list = ("doc_id",)) -> DataFrame:
-    """``keep``, n_tokens, posteriors and rate of each row of ``docs``."""
+    """``keep``, n_tokens, posteriors, rate and left_error (the largest relative error of a domain's total) of each row of ``docs``."""
     soft = checkpoint(posteriors(docs, train(docs, labels), list(keep)))
-    steps, unit = fit(soft, weights or WEIGHTS)
-    return soft.withColumn("rate", rate_after(steps, unit))
+    steps, unit, left = fit(soft, weights or WEIGHTS)
+    return soft.withColumn("rate", rate_after(steps, unit)).withColumn("left_error", F.lit(left))
 
 
 def apply(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """The rows of ``docs``, each kept with probability min(1, rate) by a hash of its id.
+    """The rows of ``docs``, each kept with the probability of its rate by a hash of its id.
 
-    Documents that belong to the anchor domain, ``clean``, rather than not are all kept.
+    Documents that belong to the anchor domain, ``clean``, rather than not are all kept: their rates are fixed at 1
+    and the others, fitted between 0 and 1, make up for what these hold of the other domains.
     """
-    rated = mix(docs.withColumn("text_key", F.xxhash64("text")), labels, weights, ["doc_id", "text_key"])
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    soft = checkpoint(posteriors(keyed, train(docs, labels), ["doc_id", "text_key"]))
+    sure = F.col("p_clean") >= 0.5
+    steps, unit, _ = fit(soft, weights or WEIGHTS, most=1.0, fixed=sure)
     draw = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
-    gone = rated.where((draw >= F.col("rate")) & (F.col("p_clean") < 0.5)).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    return docs.join(counted(gone), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left_anti")
+    return without(docs, soft.where(~sure & (draw >= rate_after(steps, unit, 1.0))))
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:

@@ -1,18 +1,22 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule is a score of a text; a rule with a cutoff rejects texts above it.
-Cutoffs are certified on labelled documents, separately for each stratum
-(language): for the null hypothesis "this cutoff rejects more than ``RISK`` of
-the good documents", the exact binomial tail of the rejected good documents is
-the p-value.  The cutoffs of a rule are tested from lenient to strict until the
-first that fails (fixed-sequence testing), and all sequences share ``ERROR``
-by Bonferroni.  With probability 1 - ERROR every cutoff in use keeps its risk.
+Each rule is a score of a text; a rule with a cutoff rejects texts above it.  The
+cutoffs of a stratum (language) are certified together: with probability 1 - ``ERROR``,
+over all strata, the rules together reject at most ``RISK`` of the good documents of each.
+
+The labelled texts (copies count once) are cut in two by a hash.  The first half gives a path of
+``PATH`` steps from lenient to strict: step j lets every rule that rejects more of the bad documents than of the good
+reject j / PATH of ``RISK`` of the good ones.  On the second half, which had no part in that, the exact
+binomial tail of the good documents that a step rejects by any rule is the p-value of the hypothesis
+"it rejects more than ``RISK``".  Steps are tested from lenient to strict until the first that fails
+(fixed-sequence testing), and all strata share ``ERROR`` by Bonferroni; the last step that passed is used.
 
 Defined cases: a null text has no words; empty texts fail the base rule;
-repeated rows are judged alike; a null language is a stratum of its own; a
-document labelled more than once counts as good only if no row calls it bad;
-without labels no cutoff is certified and only the base rule acts; extra
-columns are kept by :func:`apply`.
+repeated rows are judged alike; a null language is a stratum of its own; a text
+labelled more than once, or whose copies are, counts as good only if no row calls it bad;
+without labels, and in strata with too few to certify anything, only the base rule acts; an
+empty table gives no rows; texts at a cutoff are kept; texts are read whole, however long;
+extra columns, whatever their names, are kept by :func:`apply`.
 """
 
 from __future__ import annotations
@@ -24,16 +28,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, counted, table, text_bytes
+from .common import checkpoint, table, text_bytes, without
 
-#: Largest share of good documents that one rule may reject in a stratum.
+#: Largest share of a stratum's good documents that the rules may reject together.
 RISK = 0.01
 #: Probability that any certified cutoff exceeds its risk.
 ERROR = 0.05
-#: Strata: the most frequent languages among labelled documents; the rest share one stratum.
-STRATA = 256
-#: Cutoffs of every rule are levels of a fixed grid, tested from lenient to strict.
+#: Cutoffs of every rule are levels of a fixed grid.
 LEVELS = 40
+#: Steps from lenient to strict.
+PATH = 12
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 EXTRA = ["n_lines", "n_chars_text", "n_pipe_words", "n_upper"]
 SPACE = b" \t\n\r\x0b\x0c"
@@ -95,7 +99,7 @@ def counts(docs: DataFrame, keep: list[str]) -> DataFrame:
     import pyarrow as pa
 
     names = BASE + EXTRA
-    base = docs.select(*keep, F.col("text").alias("__text"))
+    base = docs.select(*keep, "text")
 
     def run(batches):
         for batch in batches:
@@ -145,69 +149,89 @@ def most_rejections(n: int, risk: float, error: float) -> int:
     return low
 
 
-def certify(measured: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> dict[tuple[str | None, str], float]:
-    """Certified cutoff for each (stratum, rule); the stratum ``*other*`` takes the languages beyond STRATA.
+def levels() -> dict[str, Column]:
+    return {r: F.ceil(F.greatest(s, F.lit(0.0)) * LEVELS).cast("int") for r, s in rules().items()}
+
+
+def steps(good: dict[str, np.ndarray], bad: dict[str, np.ndarray], risk: float) -> list[dict[str, int]]:
+    """The path of a stratum: for each step the cutoff level of each rule in use, from its tallies of levels; cutoffs never rise."""
+    out = []
+    for j in range(1, PATH + 1):
+        cuts = {}
+        for rule in good:
+            above = [tally.sum() - np.cumsum(tally) for tally in (good[rule], bad[rule])]  # rejected at each cutoff
+            n = max(1, int(good[rule].sum())), max(1, int(bad[rule].sum()))
+            cut = int(np.argmax(above[0] <= risk * j / PATH * n[0]))
+            if above[1][cut] / n[1] > above[0][cut] / n[0]:
+                cuts[rule] = min(cut, out[-1].get(rule, LEVELS) if out else LEVELS)
+            elif out and rule in out[-1]:
+                cuts[rule] = out[-1][rule]
+        out.append(cuts)
+    return out
+
+
+def certify(measured: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> dict[tuple[str | None, str], int]:
+    """Certified cutoff level for each (stratum, rule).
 
-    ``measured`` has doc_id, stratum and the counts.  Only counts for each stratum, rule and level
-    reach the driver: at most (STRATA + 1) * rules * (LEVELS + 1) rows.
+    ``measured`` has doc_id, stratum, text_key and the counts.  Only counts reach the driver, of strata with labels enough to
+    certify something: for each at most rules * (LEVELS + 1) * 2 and then PATH + 1 rows.
     """
-    good = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1")
-    sure = measured.where(~F.col("base_failed")).join(good.select("doc_id"), "doc_id", "left_semi")
-    level = {r: F.ceil(F.greatest(s, F.lit(0.0)) * LEVELS).cast("int") for r, s in rules().items()}
-    shape = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), v.alias("level")) for r, v in level.items()]))
-    tallied = sure.select("stratum", shape.alias("x")).groupBy("stratum", "x.rule", "x.level").agg(F.count("*").alias("n"))
-    big = [r[0] for r in sure.groupBy("stratum").count().orderBy(F.desc("count"), "stratum").limit(STRATA).collect()]
-    known = F.col("stratum").isin([b for b in big if b is not None])
-    if None in big:
-        known = F.coalesce(known, F.lit(True))
-    rows = tallied.withColumn("stratum", F.when(known, F.col("stratum")).otherwise(F.lit("*other*"))).groupBy("stratum", "rule", "level").agg(F.sum("n")).collect()
-    tally: dict[tuple, np.ndarray] = {}
-    for stratum, rule, lev, n in rows:
-        tally.setdefault((stratum, rule), np.zeros(LEVELS + 1, dtype=np.int64))[min(max(lev, 0), LEVELS)] += n
-    each = error / max(1, len(tally))
+    rows = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    known = measured.where(~F.col("base_failed")).join(rows, "doc_id").groupBy("stratum", "text_key").agg(F.min("quality").alias("quality"), *[F.any_value(r).alias(r) for r in rules()])
+    known = checkpoint(known.withColumn("second", F.pmod(F.xxhash64(F.lit("half"), "text_key"), F.lit(2)) == 1))
+    least = math.ceil(math.log(error) / math.log1p(-risk))  # with fewer, not even no rejection at all certifies the risk
+    sizes = {r[0]: r[1] for r in known.where("second and quality = 1").groupBy("stratum").count().where(F.col("count") >= least).collect()}
+    if not sizes:
+        return {}
+    known = known.where(F.coalesce(F.col("stratum").isin([s for s in sizes if s is not None]), F.lit(None in sizes)))
+    each = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("level")) for r in rules()]))
+    tally = {s: [{r: np.zeros(LEVELS + 1, dtype=np.int64) for r in rules()} for _ in range(2)] for s in sizes}
+    for stratum, good, rule, level, n in known.where("not second").select("stratum", (F.col("quality") == 1).alias("good"), each.alias("x")).groupBy("stratum", "good", "x.rule", "x.level").count().collect():
+        tally[stratum][0 if good else 1][rule][min(max(level, 0), LEVELS)] += n
+    paths = {s: steps(*both, risk) for s, both in tally.items()}
+    # the first step that rejects a text: the path is nested, so every later one does too
+    first = F.lit(PATH)
+    for stratum, path in paths.items():
+        here = F.col("stratum").eqNullSafe(F.lit(stratum))
+        found = F.lit(PATH)
+        for j in range(PATH - 1, -1, -1):
+            for rule, cut in path[j].items():
+                found = F.when(F.col(rule) > cut, F.lit(j)).otherwise(found) if j == 0 or path[j - 1].get(rule) != cut else found
+        first = F.when(here, found).otherwise(first)
+    rejected = {s: np.zeros(PATH + 1, dtype=np.int64) for s in sizes}
+    for stratum, j, n in known.where("second and quality = 1").select("stratum", first.alias("j")).groupBy("stratum", "j").count().collect():
+        rejected[stratum][j] += n
     found = {}
-    for key, by_level in tally.items():
-        total, allowed = int(by_level.sum()), most_rejections(int(by_level.sum()), risk, each)
-        above = total - np.cumsum(by_level)  # rejected at the cutoff that rejects levels above l
-        cut = LEVELS
-        while cut > 0 and allowed >= 0 and above[cut - 1] <= allowed:
-            cut -= 1
-        if cut < LEVELS:
-            found[key] = cut / LEVELS
+    for stratum, n in sizes.items():
+        allowed, passed = most_rejections(n, risk, error / len(sizes)), {}
+        for j, k in enumerate(np.cumsum(rejected[stratum])[:PATH]):
+            if k > allowed:
+                break
+            passed = paths[stratum][j]
+        found |= {(stratum, rule): cut for rule, cut in passed.items() if cut < LEVELS}
     return found
 
 
-def verdict(cutoffs: dict[tuple[str | None, str], float]) -> Column:
+def verdict(cutoffs: dict[tuple[str | None, str], int]) -> Column:
     """True unless a certified cutoff of the document's stratum is exceeded."""
-    strata = {s for s, _ in cutoffs}
     bad = F.lit(False)
-    for stratum in sorted(strata, key=str):
-        here = F.col("stratum").isNull() if stratum is None else F.col("stratum") == stratum
-        if stratum == "*other*":
-            here = F.col("stratum").isNotNull() & ~F.col("stratum").isin([s for s in strata if s not in (None, "*other*")])
-        own = [F.ceil(F.greatest(score, F.lit(0.0)) * LEVELS) > round(cutoffs[stratum, r] * LEVELS) for r, score in rules().items() if (stratum, r) in cutoffs]
-        hit = own[0]
-        for x in own[1:]:
-            hit = hit | x
-        bad = bad | (F.coalesce(here, F.lit(False)) & hit)
+    for (stratum, rule), cut in cutoffs.items():
+        bad = bad | (F.col("stratum").eqNullSafe(F.lit(stratum)) & (F.col(rule) > cut))
     return ~bad
 
 
-def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, error: float = ERROR, keep: tuple | list = ()) -> DataFrame:
-    """doc_id, ``keep``, the counts, base_failed and kept for each row of ``docs``; text_key is a hash of the text."""
-    keyed = docs.withColumn("stratum", F.col(stratum).cast("string")).withColumn("text_key", F.xxhash64("text"))
-    measured = counts(keyed, ["doc_id", *keep, "stratum"])
+def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, error: float = ERROR) -> DataFrame:
+    """doc_id, text_key (a hash of the text), the stratum, the counts, base_failed and kept for each row of ``docs``."""
+    keyed = docs.select("doc_id", F.col(stratum).cast("string").alias("stratum"), F.xxhash64("text").alias("text_key"), "text")
+    measured = counts(keyed, ["doc_id", "stratum", "text_key"])
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    measured = checkpoint(measured.withColumn("base_failed", failed))
-    cutoffs = certify(measured, labels, risk, error)
-    return measured.withColumn("kept", ~F.col("base_failed") & verdict(cutoffs))
+    measured = checkpoint(measured.withColumn("base_failed", failed).withColumns(levels()))
+    return measured.withColumn("kept", ~F.col("base_failed") & verdict(certify(measured, labels, risk, error)))
 
 
 def apply(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns; repeated rows share their fate."""
-    judged = judge(docs, labels, stratum, keep=["text_key"])
-    gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    return docs.join(counted(gone), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left_anti")
+    return without(docs, judge(docs, labels, stratum).where(~F.col("kept")))
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -8,14 +8,16 @@ forest, trained on a bounded sample of labelled findings and compiled into one
 SQL expression, tells secrets from other candidates.
 
 The dictionary holds the words that make up ``SHARE`` of the corpus' words, so
-at most 1/SHARE of them.  Where no labelled findings are given, they are made
-by distant supervision: a candidate that is assigned to a name of a credential,
-or has the format of a known issuer, counts as a secret, any other does not.
+at most 1/SHARE of them.  Labelled findings are a table of candidates with the text around them; where none
+are given, :func:`planted` makes them: secrets of many forms in the places where they turn up, and what is taken
+for secrets (digests, identifiers, paths, numbers, placeholders, plain words given to a credential's name).
+Findings are split by document: neighbouring words get their weights from one half, the forest grows on the other.
 
 Defined cases: null and empty texts have no candidates; repeated rows of one
 id and text count once; an id with several texts has the findings of each; if
-the findings are all of one class, every candidate gets that class; extra
-columns are kept by :func:`redact`.
+the findings are all of one class, every candidate gets that class; an empty table gives no rows; candidates
+at the forest's threshold are secrets, and equal ones in equal surroundings are judged alike; texts are read
+whole, however long; extra columns, whatever their names, are kept by :func:`redact`.
 """
 
 from __future__ import annotations
@@ -24,29 +26,31 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, table
+from .common import checkpoint, table, unused
 
 #: A private key up to its END, or where that is missing its header and the lines of key characters after it.
 PEM = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[^-]*+(?:-(?!----)[^-]*+){0,200}+-----END [A-Z ]{0,30}PRIVATE KEY-----|(?:\s{1,4}+[A-Za-z0-9+/=]{40,}+){0,500}+(?:\s{1,4}+[A-Za-z0-9+/=]{4,}+(?=\s|$))?+)"
 #: A value assigned to a credential's name: up to the closing quote, or to white space.
 NAMED = r"(?<=[=:>][ \t]{0,3}[\"']?)(?<=(?i:token|secret|passw(?:or)?d|pwd|api.?key|access.?key|auth|credential|bearer)[\"']?[ \t]{0,3}(?:[=:]|:=|=>)[ \t]{0,3}[\"']?)"
 VALUE = r"(?:(?<=\")[^\"\r\n]++(?=\")|(?<=')[^'\r\n]++(?=')|(?![\"'=:>])[^\s\"']*[^\s\"',;)\]}>])"
+#: A signed web token of two or three parts.
+JWT = r"(?<![A-Za-z0-9+/_\-])eyJ[A-Za-z0-9_\-]{8,}(?:\.[A-Za-z0-9_\-]{4,}){1,2}"
 #: Any other run of key characters with a digit.
 RUN = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{16,}+={0,2}"
-CANDIDATE = f"{PEM}|{NAMED}{VALUE}|{RUN}"
+CANDIDATE = f"{PEM}|{NAMED}{VALUE}|{JWT}|{RUN}"
 #: Names that credentials are assigned to, and formats of issuers (fixed values).
 ASSIGNED = r"(?i)(token|secret|passw(or)?d|pwd|api.?key|access.?key|auth|credential|bearer)[\"']?\s*([=:]|:=|=>)?\s*[\"']?$"
-ISSUERS = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk_live_[A-Za-z0-9]{16,}|xox[abp]-[A-Za-z0-9\-]{10,}|-----BEGIN(?s:.*))$"
+ISSUERS = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk_live_[A-Za-z0-9]{16,}|xox[abp]-[A-Za-z0-9\-]{10,}|eyJ[A-Za-z0-9_\-]{8,}(\.[A-Za-z0-9_\-]{4,}){1,2}|-----BEGIN(?s:.*))$"
 MASK = "[SECRET]"
 #: Least share of the corpus' words that puts a word into the dictionary.
 SHARE = 1e-5
 #: Most labelled findings in the sample, trees, and their depth.
 SAMPLE = 8000
-TREES = 15
-DEPTH = 5
+TREES = 21
+DEPTH = 6
 #: Most neighbouring words with a weight.
 NEIGHBOURS = 500
-FEATURES = ["size", "changes", "digits", "coverage", "slashes", "path_before", "quoted", "assigned", "neighbour"]
+FEATURES = ["size", "changes", "kinds", "digits", "coverage", "slashes", "path_before", "quoted", "assigned", "named", "issued", "neighbour"]
 
 
 def dictionary(docs: DataFrame, share: float = SHARE) -> DataFrame:
@@ -76,7 +80,10 @@ def described(rows: DataFrame, words: DataFrame) -> DataFrame:
         "*",
         size.alias("size"),
         (F.length(F.regexp_replace(classes, r"(.)\1+", "$1")) / size).alias("changes"),
+        (F.length(F.array_join(F.array_distinct(F.split(c, "")), "")) / size).alias("kinds"),
         ((size - F.length(F.translate(c, "0123456789", ""))) / size).alias("digits"),
+        F.col("before").rlike(ASSIGNED).cast("double").alias("named"),
+        c.rlike(ISSUERS).cast("double").alias("issued"),
         (size - F.length(F.translate(c, "/", ""))).alias("slashes"),
         F.col("before").rlike(r"(://|/|\\|www\.)\S*$").cast("double").alias("path_before"),
         F.col("before").rlike("[\"'`]$").cast("double").alias("quoted"),
@@ -89,8 +96,70 @@ def described(rows: DataFrame, words: DataFrame) -> DataFrame:
     return rows.alias("r").join(covered.alias("k"), same, "left").select("r.*", F.least(F.lit(1.0), F.coalesce(F.col("covered"), F.lit(0)) / F.col("size")).alias("coverage"))
 
 
-def distant_label() -> Column:
-    return (F.col("before").rlike(ASSIGNED) | F.col("candidate").rlike(ISSUERS)).cast("int")
+#: Words and names of the planted findings (fixed values).
+CREDENTIALS = ["token", "TOKEN", "secret", "password", "passwd", "pwd", "api_key", "apiKey", "API-KEY", "access_key", "auth", "AUTH_TOKEN", "client_secret", "credential", "bearer"]
+HARMLESS = ["commit", "revision", "sha1:", "md5:", "checksum =", "build", "id =", "request_id:", "uuid:", "order", "order no.", "card", "phone", "session", "etag:", "ref", "tree", "parent", "digest:", "version"]
+PLACEHOLDERS = ["changeme", "your_api_key_here", "xxxxxxxx", "********", "example", "${TOKEN}", "<token>", "None", "null", "true", "false", "required", "string", "os.environ", "todo", "...", "REPLACE_ME", "insert-token-here"]
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def planted(vocabulary: list[str], n: int = SAMPLE, seed: int = 11) -> list[tuple[str, str, str, int]]:
+    """``n`` labelled findings (candidate, before, after, label), half of them secrets; ``vocabulary`` has words of the corpus."""
+    import random
+
+    rng = random.Random(seed)
+    vocabulary = vocabulary or ["the", "with", "from", "value"]
+    run = lambda letters, size: "".join(rng.choice(letters) for _ in range(size))
+    hexes = lambda size: run("0123456789abcdef" if rng.random() < 0.7 else "0123456789ABCDEF", size)
+    base, signs = LETTERS + LETTERS.upper() + "0123456789", "!@#%&.?$-_"
+    word, prose = lambda: rng.choice(vocabulary), lambda k: " ".join(rng.choice(vocabulary) for _ in range(k))
+    name = lambda: rng.choice(CREDENTIALS) if rng.random() < 0.6 else rng.choice(CREDENTIALS).upper()
+
+    def given() -> str:
+        """A credential's name and what stands before its value."""
+        return rng.choice([f"{name()} = ", f"{name()}=", f"{name()}: ", f'"{name()}": ', f"{name()} := "]) + rng.choice(['"', "'", "", '"'])
+
+    def secret() -> tuple[str, str]:
+        kind = rng.randrange(9)
+        if kind == 0:
+            body = "\n".join(run(base + "+/", 64) for _ in range(rng.randrange(2, 20)))
+            return "", f"-----BEGIN RSA PRIVATE KEY-----\n{body}" + ("\n-----END RSA PRIVATE KEY-----" if rng.random() < 0.7 else "")
+        if kind == 1:
+            return rng.choice([given(), "Bearer ", word() + " "]), f"eyJ{run(base, 20)}.{run(base + '-_', 60)}.{run(base + '-_', 43)}"
+        if kind == 2:
+            return rng.choice([given(), word() + " "]), rng.choice([f"AKIA{run(LETTERS.upper() + '0123456789', 16)}", f"ghp_{run(base, 36)}", f"sk_live_{run(base, 24)}", f"xoxb-{run('0123456789', 12)}-{run(base, 24)}"])
+        if kind == 3:
+            return given(), run(LETTERS, rng.randrange(4, 9)) + run("0123456789", rng.randrange(1, 4)) + run(signs, rng.randrange(0, 3))
+        if kind == 4:
+            return given(), run(LETTERS, 3) + rng.choice(signs) + run(base, rng.randrange(4, 9)) + rng.choice(signs) + run(base, rng.randrange(2, 6))
+        if kind == 5:
+            return rng.choice([f"https://{word()}/{word()}?token=", "Authorization: Bearer ", "--token "]), run(base, rng.randrange(20, 50))
+        return given(), rng.choice([lambda: hexes(rng.choice([32, 40, 64])), lambda: run(base + "+/", rng.randrange(20, 64)), lambda: run(base, rng.randrange(16, 48))])()
+
+    def harmless() -> tuple[str, str]:
+        kind = rng.randrange(9)
+        digest = lambda: rng.choice([hexes(rng.choice([32, 40, 64])), "-".join(hexes(k) for k in (8, 4, 4, 4, 12))])
+        if kind < 2:
+            return rng.choice([rng.choice(HARMLESS), word()]) + " ", digest()
+        if kind == 2:
+            return rng.choice(["/usr/lib/", f"https://{word()}/", "./" + word() + "/", f"//{word()}."]), rng.choice([digest(), f"{word()}/{word()}-{word()}/{run('0123456789', 6)}"])
+        if kind == 3:
+            return rng.choice([word(), word() + ",", word() + ".", rng.choice(HARMLESS)]) + " ", run("0123456789", rng.randrange(16, 20))
+        if kind == 4:
+            return word() + " ", "_".join([word(), word(), word(), run("0123456789", rng.randrange(1, 5)), word()])
+        if kind == 5:
+            return given(), rng.choice(PLACEHOLDERS)
+        if kind == 6:
+            return given(), rng.choice([word(), word() + "_" + word(), word() + "-" + word(), word().capitalize(), word() + "()", f"{{{{{word()}}}}}"])
+        if kind == 7:
+            return rng.choice([f"{word()} = ", f"{word()}: ", f'"{word()}": "']), digest()
+        return "data:image/png;base64,", run(base + "+/", rng.randrange(24, 80))
+
+    out = []
+    for i in range(n):
+        before, value = (secret if i % 2 else harmless)()
+        out.append((value, f"{prose(rng.randrange(4))} {before}", rng.choice(['"', "", " ", ",", ";"]) + " " + prose(2), i % 2))
+    return out
 
 
 # --- the forest ------------------------------------------------------------
@@ -156,18 +225,19 @@ def train(rows: DataFrame, label: Column) -> tuple[dict[str, float], list]:
     draw = F.pmod(F.xxhash64("doc_id", "text_key", "at"), F.lit(1 << 30))
     for value, n in sizes.items():
         keep = keep | ((F.col("y") == value) & (draw < int(min(1.0, SAMPLE / 2 / n) * (1 << 30))))
-    taken = named.where(keep).select(*[f for f in FEATURES if f != "neighbour"], "near", "y", "candidate", "at").orderBy("candidate", "at").collect()  # about SAMPLE rows
+    half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).alias("half")
+    taken = named.where(keep).select(*[f for f in FEATURES if f != "neighbour"], "near", "y", half, "candidate", "at").orderBy("candidate", "at").collect()  # about SAMPLE rows
     seen: dict[str, list[int]] = {}
     totals = [0, 0]
-    for i, r in enumerate(taken):
-        if i % 2 == 0:
+    for r in taken:
+        if not r.half:
             totals[r.y] += 1
             for w in set(r.near):
                 seen.setdefault(w, [0, 0])[r.y] += 1
     ranked = sorted(seen.items(), key=lambda kv: (-sum(kv[1]), kv[0]))[:NEIGHBOURS]
     odds = {w: float(np.log((c[1] + 0.5) / (totals[1] + 1)) - np.log((c[0] + 0.5) / (totals[0] + 1))) for w, c in ranked if sum(c) >= 3}
-    x = [[*[float(r[f]) for f in FEATURES if f != "neighbour"], max((odds.get(w, 0.0) for w in r.near), default=0.0)] for i, r in enumerate(taken) if i % 2]
-    y = [r.y for i, r in enumerate(taken) if i % 2]
+    x = [[*[float(r[f]) for f in FEATURES if f != "neighbour"], max((odds.get(w, 0.0) for w in r.near), default=0.0)] for r in taken if r.half]
+    y = [r.y for r in taken if r.half]
     if len(set(y)) < 2:
         return odds, [float(r) for r in set(y)] or [0.0]
     return odds, fit_forest(np.array(x), np.array(y, dtype=float))
@@ -181,30 +251,46 @@ def scored(rows: DataFrame, odds: dict[str, float], forest: list) -> DataFrame:
     return rows.withColumn("neighbour", weight).withColumn("score", forest_column(forest)).withColumn("is_secret", F.col("score") >= 0.5)
 
 
+def model_of(docs: DataFrame, words: DataFrame, findings: DataFrame | None) -> tuple[dict[str, float], list]:
+    """(log odds of neighbouring words, forest) from labelled findings, or planted ones."""
+    if findings is None:
+        vocabulary = [r.word for r in words.orderBy(F.xxhash64("word")).limit(500).collect()]
+        findings = docs.sparkSession.createDataFrame(planted(vocabulary), "candidate string, before string, after string, label int").coalesce(1)
+    if "doc_id" not in findings.columns:
+        findings = findings.withColumn("doc_id", F.monotonically_increasing_id())
+    shaped = findings.select("doc_id", F.xxhash64("candidate", "before").alias("text_key"), F.lit(0).alias("at"), F.lit(0).alias("start"), "candidate", F.right("before", F.lit(80)).alias("before"), F.left("after", F.lit(40)).alias("after"), F.col("label").cast("int").alias("label"))
+    return train(described(checkpoint(shaped), words), F.col("label"))
+
+
 def scan(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
     """Every candidate of ``docs`` with start, length, score and is_secret.
 
-    ``findings`` (candidate, before, after, label) replaces the distant labels.
+    ``findings`` (candidate, before, after, label, and doc_id where they come from documents) are labelled; without them planted ones serve.
     """
-    words = dictionary(docs)
+    words = checkpoint(dictionary(docs))
     rows = checkpoint(described(candidates(docs), words))
-    if findings is not None:
-        shaped = findings.withColumn("doc_id", F.monotonically_increasing_id()).withColumn("text_key", F.xxhash64("candidate")).withColumn("at", F.lit(0)).withColumn("start", F.lit(0))
-        odds, forest = train(described(shaped, words), F.col("label"))
-    else:
-        odds, forest = train(rows, distant_label())
-    return scored(rows, odds, forest).select("doc_id", "text_key", "at", "start", F.length("candidate").alias("length"), F.sha2("candidate", 256).alias("candidate_sha256"), "score", "is_secret")
+    return scored(rows, *model_of(docs, words, findings)).select("doc_id", "text_key", "at", "start", F.length("candidate").alias("length"), F.sha2("candidate", 256).alias("candidate_sha256"), "score", "is_secret")
+
+
+def held_out(findings: DataFrame, docs: DataFrame, known: DataFrame | None = None) -> tuple[float, float]:
+    """Precision and recall of the model of ``docs`` (and of ``known`` findings) on labelled findings that had no part in it."""
+    words = checkpoint(dictionary(docs))
+    rows = findings.select(F.monotonically_increasing_id().alias("doc_id"), F.xxhash64("candidate", "before").alias("text_key"), F.lit(0).alias("at"), "candidate", "before", "after", "label")
+    judged = scored(described(checkpoint(rows), words), *model_of(docs, words, known))
+    hit, said, true = judged.agg(F.count_if(F.col("is_secret") & (F.col("label") == 1)), F.count_if("is_secret"), F.count_if(F.col("label") == 1)).collect()[0]
+    return hit / max(said, 1), hit / max(true, 1)
 
 
 def redact(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by a mask; a column n_chars follows the new text."""
-    bad = scan(docs, findings).where("is_secret").groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.sort_array(F.collect_list("at")).alias("__at"))
-    joined = docs.withColumn("__own", F.xxhash64("text")).join(bad, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")), "left")
+    doc, key, at, own = unused(docs.columns, "bad_id", "bad_key", "bad_at", "own_key")
+    bad = scan(docs, findings).where("is_secret").groupBy(F.col("doc_id").alias(doc), F.col("text_key").alias(key)).agg(F.sort_array(F.collect_list("at")).alias(at))
+    joined = docs.withColumn(own, F.xxhash64("text")).join(bad, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(key)), "left")
     c, gap = F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)), F.split("text", CANDIDATE, -1)
-    shown = F.transform(c, lambda x, i: F.when(F.array_contains("__at", i), MASK).otherwise(x))
+    shown = F.transform(c, lambda x, i: F.when(F.array_contains(at, i), MASK).otherwise(x))
     rebuilt = F.array_join(F.flatten(F.zip_with(gap, shown, lambda g, x: F.array(g, F.coalesce(x, F.lit(""))))), "")
-    text = F.when(F.col("__at").isNull(), F.col("text")).otherwise(rebuilt)
-    out = {"text": text} | ({"n_chars": F.when(F.col("__at").isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {})
+    text = F.when(F.col(at).isNull(), F.col("text")).otherwise(rebuilt)
+    out = {"text": text} | ({"n_chars": F.when(F.col(at).isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {})
     return joined.select(*[out[k].alias(k) if k in out else F.col(k) for k in docs.columns])
 
 

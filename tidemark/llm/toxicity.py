@@ -10,8 +10,10 @@ exact over whole texts at the cost of their marked words.  A text's score is a
 logistic function, fitted on the same sample, of its marginals.
 
 Defined cases: null and empty texts score as texts without a marked word;
-repeated rows score alike; without labelled rows of both classes the score is
-0; a text labelled twice is toxic if any row says so; extra columns are ignored.
+repeated rows score alike; without labelled documents of both classes the score is
+0; a text labelled twice is toxic if any row says so; an empty table gives no rows; words
+whose evidence ties are taken in alphabetical order; texts are read whole, however long;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -263,6 +265,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     got = wanted.mapInArrow(chains_of, "doc_id long, at array<long>, word array<long>, n long").orderBy("doc_id").collect()  # marked words of the sample only
     chains = [(np.array(r.at, dtype=np.int64), np.array(r.word, dtype=np.int64), r.n) for r in got]
     y = np.array([ids[r.doc_id] for r in got])
+    if len(set(y.tolist())) < 2:
+        return Model([], Field(np.empty(0)), None)
     truth = [np.full(len(c[0]), float(t)) for c, t in zip(chains, y, strict=True)]
     field = Field(np.zeros(len(lexicon)))
     if lexicon and any(len(c[0]) for c in chains):
