@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.windows import safe_div
 
@@ -70,9 +71,10 @@ def threshold_grid(df: DataFrame, keys: list[str], low: float = 0.35, high: floa
 
 
 def best_threshold(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The threshold with the best balanced accuracy, then macro F1, then nearest to one half."""
-    grid = threshold_grid(df, keys)
-    rank = F.struct("balanced_accuracy", "macro_f1", (-F.abs(F.col("threshold") - 0.5)).alias("near"), (-F.col("threshold")).alias("low"))
+    """The threshold with the best balanced accuracy, then macro F1, then nearest to one half, which is tried first."""
+    half = rates(df.groupBy(*keys).agg(*confusion(F.lit(0.5)))).withColumn("threshold", F.lit(0.5)).withColumn("first", F.lit(1))
+    grid = threshold_grid(df, keys).withColumn("first", F.lit(0)).unionByName(half)
+    rank = F.struct("balanced_accuracy", "macro_f1", (-F.abs(F.col("threshold") - 0.5)).alias("near"), "first", (-F.col("threshold")).alias("low"))
     return grid.groupBy(*keys).agg(F.max_by("threshold", rank).alias("threshold"), F.max("balanced_accuracy").alias("balanced_accuracy"))
 
 
@@ -81,6 +83,46 @@ def accepted(metrics: DataFrame, balanced: float = 0.6, f1: float = 0.55, recall
     return metrics.withColumn("accepted", ok)
 
 
+def per_year(selected: Column, first: Column, last: Column) -> Column:
+    """Selected rows a year of 252 by the span of all decisions."""
+    return 252.0 * selected / F.greatest(F.lit(1), last - first + 1)
+
+
+def signed_infinity(mean, deviation) -> Column:
+    """Mean over deviation; without deviation an infinity of the mean's sign, or 0."""
+    return F.when(deviation > 0, mean / F.nullif(deviation, F.lit(0.0))).when(deviation == 0, F.when(mean > 0, float("inf")).when(mean < 0, float("-inf")).otherwise(0.0))
+
+
+def calibration_line(df: DataFrame, keys: list[str], rounds: int = 25) -> DataFrame:
+    """(keys, intercept, slope) of a logistic curve of y on the logit of p, by Newton steps of one aggregate each.
+
+    Groups are few; each round collects five sums a group, adds the steps and goes on until they vanish.
+    """
+    p = F.least(F.greatest(F.col("p"), F.lit(1e-6)), F.lit(1 - 1e-6))
+    rows = df.select(*keys, F.ln(p / (1 - p)).alias("x"), F.col("y").cast("double").alias("y"))
+    spark, state = df.sparkSession, {tuple(r): (0.0, 0.0) for r in rows.select(*keys).distinct().collect()}
+    kinds = [df.schema[k] for k in keys]
+    schema = T.StructType([*kinds, T.StructField("intercept", T.DoubleType()), T.StructField("slope", T.DoubleType())])
+    table = lambda: spark.createDataFrame([(*k, *v) for k, v in state.items()], schema)
+    for _ in range(rounds):
+        if not state:
+            break
+        q = 1 / (1 + F.exp(-(F.col("intercept") + F.col("slope") * F.col("x"))))
+        w, e, x = q * (1 - q), F.col("y") - q, F.col("x")
+        most = 0.0
+        for r in rows.join(F.broadcast(table()), keys).groupBy(*keys).agg(F.sum(e), F.sum(e * x), F.sum(w), F.sum(w * x), F.sum(w * x * x)).collect():
+            key, (g0, g1, h00, h01, h11) = tuple(r[: len(keys)]), r[len(keys) :]
+            det = h00 * h11 - h01 * h01
+            if det <= 1e-12:
+                continue
+            step = ((h11 * g0 - h01 * g1) / det, (h00 * g1 - h01 * g0) / det)
+            state[key] = (state[key][0] + step[0], state[key][1] + step[1])
+            most = max(most, abs(step[0]), abs(step[1]))
+        if most < 1e-12:
+            break
+    return table()
+
+
 def strategy(df: DataFrame, keys: list[str], order: str = "row_id", per_year: float = 252.0) -> DataFrame:
     """Equity figures of a column ``net`` of log returns with a flag ``active``; the curve starts at 1."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

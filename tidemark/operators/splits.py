@@ -35,19 +35,24 @@ def positioned(events: DataFrame) -> DataFrame:
     return events.withColumn("pos", F.row_number().over(w) - 1)
 
 
-def walk_forward(events: DataFrame, folds: int = 5, least_train: int = 280, gap: int = 0) -> DataFrame:
+def walk_forward(events: DataFrame, folds: int = 5, least_train: int = 280, gap: int = 0, least_validation: int = 1) -> DataFrame:
     """(symbol, fold_id, role, row_id): role is train, purged, embargoed or validation.
 
-    Validation starts where at least ``least_train`` earlier labels have ended; what follows is cut into
-    ``folds`` equal blocks.  A row before a block trains unless its label reaches the block (purged) or it
-    lies in the ``gap`` rows just before it (embargoed).  At most ``folds`` boundaries a symbol are joined.
+    Validation starts at the first position that leaves ``least_train`` rows after purge and gap, and before which at least
+    as many lie; what follows is cut into ``folds`` equal blocks.  A row before a block trains unless its label reaches
+    the block (purged) or it is one of the ``gap`` rows just before it (embargoed).  Symbols that can't hold
+    ``folds`` blocks of ``least_validation`` rows have no folds.  At most ``folds`` boundaries a symbol are joined.
     """
     at = positioned(events.select("symbol", "row_id", END))
-    # labels that end before row p: counted by merging ends and rows in one sorted run
-    marks = at.select("symbol", F.col(END).alias("x"), F.lit(0).alias("side"), F.lit(None).cast("int").alias("pos")).unionByName(at.select("symbol", F.col("row_id").alias("x"), F.lit(-1).alias("side"), "pos"))
+    # labels that end before row p: counted by merging ends and rows in one sorted run, less those within the gap
+    by_row = Window.partitionBy("symbol").orderBy("row_id")
+    near = sum((F.coalesce((F.lag(END, k).over(by_row) < F.col("row_id")).cast("int"), F.lit(0)) for k in range(1, gap + 1)), F.lit(0))
+    marks = at.select("symbol", F.col(END).alias("x"), F.lit(0).alias("side"), F.lit(None).cast("int").alias("pos"), F.lit(0).alias("near")).unionByName(at.select("symbol", F.col("row_id").alias("x"), F.lit(-1).alias("side"), "pos", near.alias("near")))
     run = Window.partitionBy("symbol").orderBy("x", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ended = marks.withColumn("done", F.sum(F.when(F.col("side") == 0, 1).otherwise(0)).over(run)).where("side = -1")
-    first = ended.where(F.col("done") >= least_train).groupBy("symbol").agg(F.min("pos").alias("first"))
+    first = ended.where((F.col("done") - F.col("near") >= least_train) & (F.col("pos") >= least_train)).groupBy("symbol").agg(F.min("pos").alias("first"))
+    sizes = at.groupBy("symbol").agg(F.count("*").alias("n"))
+    first = first.join(sizes, "symbol").where(F.col("first") <= F.col("n") - folds * least_validation)
     rest = at.join(F.broadcast(first), "symbol").where("pos >= first")  # one row a symbol
     blocks = rest.withColumn("fold_id", F.ntile(folds).over(Window.partitionBy("symbol").orderBy("pos")))
     cuts = blocks.groupBy("symbol", "fold_id").agg(F.min("pos").alias("from_pos"), F.max("pos").alias("to_pos"), F.min("row_id").alias("from_row"))
@@ -56,6 +61,32 @@ def walk_forward(events: DataFrame, folds: int = 5, least_train: int = 280, gap:
     return both.select("symbol", "fold_id", role.alias("role"), "row_id", END)
 
 
+def fold_problems(folds: DataFrame, labels: DataFrame | None = None, keys=("symbol", "fold_id"), least_train: int = 1, least_validation: int = 1) -> DataFrame:
+    """Folds with too few rows or, where ``labels`` (symbol, row_id, y) are given, a part without both classes."""
+    rows = folds.where("role in ('train', 'validation')")
+    if labels is not None:
+        rows = rows.join(labels.select("symbol", "row_id", "y"), ["symbol", "row_id"])
+    part = lambda r: F.count_if(F.col("role") == r)
+    classes = lambda r: F.count_distinct(F.when(F.col("role") == r, F.col("y"))) if labels is not None else F.lit(2)
+    counted = rows.groupBy(*keys).agg(part("train").alias("n_train"), part("validation").alias("n_validation"), classes("train").alias("train_classes"), classes("validation").alias("validation_classes"))
+    return counted.where((F.col("n_train") < least_train) | (F.col("n_validation") < least_validation) | (F.col("train_classes") < 2) | (F.col("validation_classes") < 2))
+
+
+def fold_overlaps(folds: DataFrame, keys=("symbol", "fold_id")) -> DataFrame:
+    """Training rows whose closed interval meets one of their own fold's validation intervals."""
+    part = lambda r: folds.where(F.col("role") == r).select(*keys, "row_id", END)
+    return overlapping(part("train"), part("validation"), list(keys))
+
+
+def assert_folds(folds: DataFrame, labels: DataFrame | None = None, keys=("symbol", "fold_id"), least_train: int = 1, least_validation: int = 1) -> DataFrame:
+    """``folds``, unless one overlaps, is too small or lacks a class."""
+    if bad := fold_problems(folds, labels, keys, least_train, least_validation).limit(1).collect():
+        raise ContractError(f"unfit fold {bad[0].asDict()}")
+    if bad := fold_overlaps(folds, keys).limit(5).collect():
+        raise ContractError(f"training rows overlap validation: {[r.row_id for r in bad]}")
+    return folds
+
+
 def fold_counts(folds: DataFrame, keys=("symbol", "fold_id")) -> DataFrame:
     count = lambda r: F.count_if(F.col("role") == r)
     return folds.groupBy(*keys).agg(count("train").alias("n_train"), count("purged").alias("n_purged"), count("embargoed").alias("n_embargoed"), count("validation").alias("n_validation"), F.count_if(F.col("role").isin("train", "purged", "embargoed")).alias("n_raw"))
@@ -100,20 +131,50 @@ def cpcv(events: DataFrame, groups: int = 8, held: int = 2, embargo: int = 0) ->
     spark = events.sparkSession
     choices = spark.createDataFrame([(i, "|".join(map(str, c)), list(c)) for i, c in enumerate(combinations(range(groups), held))], "split_id int, test_groups string, chosen array<int>")
     spans = at.groupBy("symbol", "g").agg(F.min("row_id").alias("a"), F.max(END).alias("b"))
-    packed = spans.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("g", "a", "b"))).alias("spans"))  # ``groups`` rows a symbol
+    # the first position after all labels of a group: the embargo counts positions from there
+    spans = at.select("symbol", "row_id").join(F.broadcast(spans), "symbol").groupBy("symbol", "g", "a", "b").agg(F.count_if(F.col("row_id") <= F.col("b")).alias("late"))
+    packed = spans.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("g", "a", "b", "late"))).alias("spans"))  # ``groups`` rows a symbol
     rows = at.join(F.broadcast(packed), "symbol").join(F.broadcast(choices))
     own = F.array_contains("chosen", F.col("g"))
     test = F.transform("chosen", lambda c: F.element_at("spans", c + 1))
     purge = F.exists(test, lambda s: (F.col("row_id") <= s["b"]) & (F.col(END) >= s["a"]))
-    late = F.exists(test, lambda s: (F.col("row_id") > s["b"]) & (F.col("row_id") <= s["b"] + embargo))
+    late = F.exists(test, lambda s: (F.col("pos") >= s["late"]) & (F.col("pos") < s["late"] + embargo))
     role = F.when(own, "validation").when(purge, "purged").when(late, "embargoed").otherwise("train")
     return rows.select("symbol", "split_id", "test_groups", role.alias("role"), "row_id", END)
 
 
+#: Rows that are hashed as one text.
+CHUNK = 1000
+
+
 def manifest(folds: DataFrame, keys: list[str]) -> DataFrame:
-    """A digest of each fold's rows by role, in row order."""
+    """A digest of each fold's rows by role, in row order: the digest of the digests of ``CHUNK`` rows each."""
     item = F.concat_ws(":", "role", "row_id", END)
-    return folds.groupBy(*keys).agg(F.sha2(F.concat_ws(",", F.array_sort(F.collect_list(item))), 256).alias("rows_sha256"), F.count("*").alias("n_rows"))
+    at = folds.withColumn("chunk", F.floor(F.col("row_id") / CHUNK)).withColumn("item", F.struct("row_id", "role", item.alias("text")))
+    chunks = at.groupBy(*keys, "chunk").agg(F.sha2(F.concat_ws(",", F.transform(F.array_sort(F.collect_list("item")), lambda x: x["text"])), 256).alias("sha"), F.count("*").alias("n"))
+    hashes = F.transform(F.array_sort(F.collect_list(F.struct("chunk", "sha"))), lambda x: x["sha"])
+    return chunks.groupBy(*keys).agg(F.sha2(F.concat_ws(",", hashes), 256).alias("rows_sha256"), F.sum("n").alias("n_rows"))
+
+
+def canonical_manifest(outer: DataFrame, inner: DataFrame, horizon: int, gap: int = 0) -> dict:
+    """Exact JSON-compatible manifest of nested folds of one symbol; it names every row and label end, so it is made on the driver.
+
+    ``outer`` has fold_id, ``inner`` outer_fold and fold_id.  :func:`tidemark.plans.governance.digest` of it is its canonical SHA-256.
+    """
+    def described(rows) -> dict:
+        part = {r: [(x.row_id, x[END]) for x in rows if x.role == r] for r in ("train", "purged", "embargoed", "validation")}
+        listed = lambda r: {"row_ids": [a for a, _ in part[r]], "label_end_indices": [b for _, b in part[r]]}
+        return {"fold_id": f"wf_{rows[0].fold_id:02d}", "train": listed("train"), "validation": listed("validation"), "n_train": len(part["train"]), "n_validation": len(part["validation"]), "purged_count": len(part["purged"]), "pre_validation_gap_count": len(part["embargoed"])}
+
+    def grouped(df: DataFrame, *keys: str) -> dict:
+        out: dict = {}
+        for r in df.orderBy(*keys, "row_id").collect():
+            out.setdefault(tuple(r[k] for k in keys), []).append(r)
+        return out
+
+    tops, lows = grouped(outer, "fold_id"), grouped(inner, "outer_fold", "fold_id")
+    parts = [{"outer": described(rows), "inner": [described(v) for k, v in sorted(lows.items()) if k[0] == fold]} for (fold,), rows in sorted(tops.items())]
+    return {"protocol": "nested_purged_expanding_walk_forward_v1", "horizon": horizon, "outer_fold_count": len(parts), "inner_fold_count_per_outer": [len(p["inner"]) for p in parts], "purge_interval_convention": "closed_[row_id,label_end_index]", "pre_validation_gap_rows": gap, "post_validation_embargo_rows": 0, "outer_folds": parts}
 
 
 def bits(n: int, k: int) -> list[int]:

@@ -47,10 +47,10 @@ def entropy(n: int) -> str:
 
 def labels_sql(h: int) -> str:
     thr = f"greatest({0.35 * math.sqrt(h)!r} * sigma, {math.log1p(8 / 1e4)!r}, {math.log1p(7 / 1e4)!r})"
-    return f"""SELECT *, {h} AS horizon, lead(lp, {h}) OVER o - lp AS s_ret, lead(lo, {1 + h}) OVER o - lead(lo, 1) OVER o AS e_ret, CASE WHEN sigma IS NOT NULL THEN {thr} END AS thr, lead(date, {1 + h}) OVER o AS exit_ts, lead(date, 1) OVER o AS entry_ts FROM sig WINDOW o AS (ORDER BY row_id)"""
+    return f"""SELECT *, {h} AS horizon, lead(lp, {h}) OVER o - lp AS s_ret, lead(lo, {1 + h}) OVER o - lead(lo, 1) OVER o AS e_ret, CASE WHEN sigma IS NOT NULL THEN {thr} END AS thr, lead(date, {1 + h}) OVER o AS exit_ts, lead(date, 1) OVER o AS entry_ts, lead(date, 1) OVER o AS avail_ts FROM sig3 WINDOW o AS (ORDER BY row_id)"""
 
 
-SIG = BASE + f", sig AS (SELECT *, {over('stddev_samp(r)', 'r', 63, 40)} AS sigma, {z('lp', 20)} AS z20, lp - {shift('lp', 20)} AS m20 FROM b)"
+SIG = BASE + f", sig AS (SELECT *, {over('stddev_samp(r)', 'r', 63, 40)} AS sigma, {z('lp', 20)} AS z20, lp - {shift('lp', 20)} AS m20, {over('stddev_samp(r)', 'r', 20)} AS vol20 FROM b), sig2 AS (SELECT *, lag(vol20) OVER (ORDER BY row_id) AS lv20 FROM sig), sig3 AS (SELECT *, {z('lv20', 63)} AS vz FROM sig2)"
 LABELS = SIG + ", lab AS (" + " UNION ALL ".join(labels_sql(h) for h in HS) + """),
 labels AS (SELECT *, CAST(s_ret > 0 AS INT) AS s_dir, CAST(e_ret > 0 AS INT) AS e_dir, coalesce(abs(e_ret) > thr, false) AS act, s_ret IS NOT NULL AND e_ret IS NOT NULL AND thr IS NOT NULL AND exit_ts IS NOT NULL AS eligible FROM lab)"""
 SCORED = LABELS + ", sc AS (SELECT *, 1 / (1 + exp(-z20 / 4)) AS p, e_dir AS y FROM labels WHERE eligible AND z20 IS NOT NULL)"
@@ -86,10 +86,11 @@ ONE = greedy("row_id + 1", "row_id + 1 + horizon", "abs(p - 0.5) > 0.05 + 1e-12"
 R6 = lambda e, n: f"round(CAST({e} AS DOUBLE), 6) + 0.0 AS {n}"
 COST = repr(math.log1p(5 / 1e4))
 LEDGER = ONE + f""", book AS (SELECT s.horizon, s.row_id, t.row_id IS NOT NULL AS active, CASE WHEN t.row_id IS NULL THEN 0 WHEN s.p > 0.5 THEN 1 ELSE -1 END AS signal,
- CASE WHEN t.row_id IS NULL THEN '' ELSE 'row' || s.row_id || '_entry' || (s.row_id + 1) || '_exit' || (s.row_id + 1 + s.horizon) END AS signal_id, s.e_ret, s.r, s.m20 FROM sc s LEFT JOIN taken t USING (horizon, row_id)),
+ CASE WHEN t.row_id IS NULL THEN '' ELSE 'row' || s.row_id || '_entry' || (s.row_id + 1) || '_exit' || (s.row_id + 1 + s.horizon) END AS signal_id, s.e_ret, s.r, s.m20, s.vz FROM sc s LEFT JOIN taken t USING (horizon, row_id)),
 led AS (SELECT horizon, row_id, active, signal, signal_id, CASE WHEN active THEN signal * e_ret - {COST} ELSE 0e0 END AS candidate, 0e0 AS cash, CASE WHEN active THEN e_ret - {COST} ELSE 0e0 END AS always_long, CASE WHEN active THEN -e_ret - {COST} ELSE 0e0 END AS always_short,
- CASE WHEN active THEN (CASE WHEN r >= 0 THEN 1 ELSE -1 END) * e_ret - {COST} ELSE 0e0 END AS momentum, CASE WHEN active THEN (CASE WHEN m20 >= 0 THEN 1 ELSE -1 END) * e_ret - {COST} ELSE 0e0 END AS trend FROM book)"""
-STRATEGIES = ["candidate", "cash", "always_long", "always_short", "momentum", "trend"]
+ CASE WHEN active THEN (CASE WHEN r >= 0 THEN 1 ELSE -1 END) * e_ret - {COST} ELSE 0e0 END AS momentum, CASE WHEN active THEN (CASE WHEN m20 >= 0 THEN 1 ELSE -1 END) * e_ret - {COST} ELSE 0e0 END AS trend, CASE WHEN active AND vz <= 0 THEN (CASE WHEN m20 >= 0 THEN 1 ELSE -1 END) * e_ret - {COST} ELSE 0e0 END AS volatility_filtered, active AND coalesce(vz <= 0, false) AS calm FROM book)"""
+STRATEGIES = ["candidate", "cash", "always_long", "always_short", "momentum", "trend", "volatility_filtered"]
+FAULTS = ["missing", "unexpected", "repeated", "wrong_direction", "wrong_time", "bad_exit", "bad_price", "bad_cost", "bad_ticket", "repeated_order_id", "repeated_deal_id"]
 ASOF = """e AS (SELECT event_id, user_id, event_type, ts, value FROM events),
 d AS (SELECT event_id, user_id, ts FROM e WHERE event_type = 'purchase'),
 s AS (SELECT user_id, ts, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id DESC) AS n FROM e WHERE event_type = 'view') WHERE n = 1),
@@ -101,15 +102,17 @@ def asof(stale: str) -> str:
 
 
 SUS = BASE + f""", m AS (SELECT median(r) AS med FROM b), m2 AS (SELECT med, median(abs(r - med)) AS mad FROM b, m GROUP BY med),
-i0 AS (SELECT b.*, CASE WHEN mad = 0 THEN 0e0 ELSE 0.6745::DOUBLE * (r - med) / nullif(mad, 0) END AS rz, date_diff('day', lag(date) OVER (ORDER BY row_id), date) AS gap, {over('quantile_cont(volume, 0.5)', 'volume', 63)} AS vm, close / nullif({over('avg(close)', 'close', 252, 20, 1)}, 0) AS sr FROM b, m2),
-i AS (SELECT *, vm / nullif(lag(vm, 63) OVER (ORDER BY row_id), 0) AS vr FROM i0),
+i0 AS (SELECT b.*, CASE WHEN mad > 0 THEN 0.6745::DOUBLE * (r - med) / nullif(mad, 0) ELSE 0e0 END AS rz, date_diff('day', lag(date) OVER (ORDER BY row_id), date) AS gap, {over('quantile_cont(volume, 0.5)', 'volume', 63)} AS vm, {over('avg(close)', 'close', 252, None, 1)} AS mean_close FROM b, m2),
+i AS (SELECT *, volume / nullif(vm, 0) AS vr, vm / nullif(lag(vm, 63) OVER (ORDER BY row_id), 0) AS sr, CASE WHEN mean_close IS NULL THEN 'unclassified' WHEN close >= mean_close THEN 'bull' ELSE 'bear' END AS regime FROM i0),
+wd AS (SELECT CAST(unnest(generate_series(CAST(min(date) AS TIMESTAMP), CAST(max(date) AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day FROM b),
 sus AS (SELECT row_id, date, 'weekend_row' AS issue_type, CAST(isodow(date) - 1 AS DOUBLE) AS value, 5e0 AS threshold FROM i WHERE isodow(date) >= 6
- UNION ALL SELECT row_id, date, 'long_gap', CAST(gap AS DOUBLE), 4e0 FROM i WHERE gap > 4
+ UNION ALL SELECT row_id, date, 'long_calendar_gap_days', CAST(gap AS DOUBLE), 4e0 FROM i WHERE gap > 4
  UNION ALL SELECT row_id, date, 'zero_volume', volume, 0e0 FROM i WHERE volume = 0
- UNION ALL SELECT row_id, date, 'robust_outlier', rz, 6e0 FROM i WHERE abs(rz) >= 6
- UNION ALL SELECT row_id, date, 'flash_move', r, 0.05::DOUBLE FROM i WHERE abs(r) >= 0.05
- UNION ALL SELECT row_id, date, 'volume_regime', vr, 3e0 FROM i WHERE vr >= 3 OR vr <= 1 / 3e0
- UNION ALL SELECT row_id, date, 'scale_shift', sr, 5e0 FROM i WHERE sr >= 5 OR sr <= 1 / 5e0)"""
+ UNION ALL SELECT row_id, date, 'outlier_return_robust_z', rz, 6e0 FROM i WHERE abs(rz) >= 6
+ UNION ALL SELECT row_id, date, 'flash_move_log_return', r, 0.05::DOUBLE FROM i WHERE abs(r) >= 0.05
+ UNION ALL SELECT row_id, date, 'volume_regime_ratio', vr, 3e0 FROM i WHERE vr >= 3 OR vr <= 1 / 3e0
+ UNION ALL SELECT row_id, date, 'volume_scale_shift_ratio', sr, 5e0 FROM i WHERE sr >= 5 OR sr <= 1 / 5e0
+ UNION ALL SELECT NULL, day, 'potential_missing_weekday', NULL, NULL FROM wd WHERE isodow(day) < 6 AND day NOT IN (SELECT date FROM b))"""
 TRIALS = SCORED + ", tr AS (" + " UNION ALL ".join(f"SELECT horizon * 10 + {i} AS trial_id, row_id, (CASE WHEN {x} >= 0 THEN 1 ELSE -1 END) * e_ret AS ret FROM sc" for i, x in ((1, "z20"), (2, "r"), (3, "m20"))) + "), com AS (SELECT row_id FROM tr GROUP BY 1 HAVING count(DISTINCT trial_id) = (SELECT count(DISTINCT trial_id) FROM tr)), al AS (SELECT tr.* FROM tr JOIN com USING (row_id))"
 SR = lambda s, qq, n: f"({s} / {n}) / nullif(sqrt(greatest(0, ({qq} - {n} * ({s} / {n}) * ({s} / {n})) / ({n} - 1))), 0)"
 PBO = TRIALS + f""", pt AS (SELECT trial_id, ntile(8) OVER (PARTITION BY trial_id ORDER BY row_id) - 1 AS part, ret FROM al),
@@ -132,13 +135,23 @@ e AS (SELECT row_id, CAST(NULL AS DOUBLE) AS g, CAST(NULL AS DOUBLE) AS l, tr, l
  CASE WHEN x.row_id < 25 THEN NULL WHEN x.row_id = 25 THEN (e.f * 11 / 13 + x.lp * 2 / 13) - (e.s * 25 / 27 + x.lp * 2 / 27) ELSE e.sg * 0.8 + ((e.f * 11 / 13 + x.lp * 2 / 13) - (e.s * 25 / 27 + x.lp * 2 / 27)) * 0.2 END
  FROM e JOIN x0 x ON x.row_id = e.row_id + 1)"""
 FOLD = EVENTS + """, ps AS (SELECT row_id, e, row_number() OVER (ORDER BY row_id) - 1 AS pos FROM ev),
-fs AS (SELECT min(pos) AS first FROM (SELECT p.pos, (SELECT count(*) FROM ps q WHERE q.e < p.row_id) AS done FROM ps p) WHERE done >= 280),
+fs AS (SELECT min(pos) AS first FROM (SELECT p.pos, (SELECT count(*) FROM ps q WHERE q.e < p.row_id AND q.pos < p.pos - 3) AS done FROM ps p) WHERE done >= 280 AND pos >= 280),
 bl AS (SELECT ps.*, ntile(5) OVER (ORDER BY pos) AS fold_id FROM ps, fs WHERE pos >= first),
 ct AS (SELECT fold_id, min(pos) AS a, max(pos) AS z, min(row_id) AS v FROM bl GROUP BY 1),
-fm AS (SELECT fold_id, CASE WHEN pos >= a THEN 'validation' WHEN e >= v THEN 'purged' WHEN pos >= a - 3 THEN 'embargoed' ELSE 'train' END AS role, row_id FROM ps JOIN ct ON pos <= z)"""
-CPCV = EVENTS + """, ps AS (SELECT row_id, e, ntile(8) OVER (ORDER BY row_id) - 1 AS g FROM ev), sp AS (SELECT g, min(row_id) AS a, max(e) AS z FROM ps GROUP BY 1),
-ch AS (SELECT row_number() OVER (ORDER BY x.g, y.g) - 1 AS split_id, x.g AS g1, y.g AS g2, x.a AS a1, x.z AS z1, y.a AS a2, y.z AS z2 FROM sp x JOIN sp y ON x.g < y.g),
-cm AS (SELECT split_id, g1 || '|' || g2 AS test_groups, CASE WHEN g IN (g1, g2) THEN 'validation' WHEN (row_id <= z1 AND e >= a1) OR (row_id <= z2 AND e >= a2) THEN 'purged' WHEN (row_id > z1 AND row_id <= z1 + 4) OR (row_id > z2 AND row_id <= z2 + 4) THEN 'embargoed' ELSE 'train' END AS role FROM ps CROSS JOIN ch)"""
+fm AS (SELECT fold_id, CASE WHEN pos >= a THEN 'validation' WHEN e >= v THEN 'purged' WHEN pos >= a - 3 THEN 'embargoed' ELSE 'train' END AS role, row_id, e FROM ps JOIN ct ON pos <= z)"""
+NEST = EVENTS + """, ps AS (SELECT row_id, e, row_number() OVER (ORDER BY row_id) - 1 AS pos FROM ev),
+fs AS (SELECT min(pos) AS first FROM (SELECT p.pos, (SELECT count(*) FROM ps q WHERE q.e < p.row_id) AS done FROM ps p) WHERE done >= 500 AND pos >= 500),
+bl AS (SELECT ps.*, ntile(5) OVER (ORDER BY pos) AS outer_fold FROM ps, fs WHERE pos >= first),
+ct AS (SELECT outer_fold, min(row_id) AS v FROM bl GROUP BY 1),
+tr AS (SELECT outer_fold, row_id, e, row_number() OVER (PARTITION BY outer_fold ORDER BY row_id) - 1 AS pos FROM ps JOIN ct ON e < v),
+gs AS (SELECT outer_fold, min(pos) AS first FROM (SELECT p.outer_fold, p.pos, (SELECT count(*) FROM tr q WHERE q.outer_fold = p.outer_fold AND q.e < p.row_id) AS done FROM tr p) WHERE done >= 200 AND pos >= 200 GROUP BY 1),
+il AS (SELECT tr.*, ntile(3) OVER (PARTITION BY outer_fold ORDER BY pos) AS fold_id FROM tr JOIN gs USING (outer_fold) WHERE pos >= first),
+ic AS (SELECT outer_fold, fold_id, min(pos) AS a, max(pos) AS z, min(row_id) AS v FROM il GROUP BY 1, 2),
+nm AS (SELECT outer_fold, fold_id, CASE WHEN pos >= a THEN 'validation' WHEN e >= v THEN 'purged' ELSE 'train' END AS role, row_id FROM tr JOIN ic USING (outer_fold) WHERE pos <= z)"""
+CPCV = EVENTS + """, ps AS (SELECT row_id, e, ntile(8) OVER (ORDER BY row_id) - 1 AS g, row_number() OVER (ORDER BY row_id) - 1 AS pos FROM ev), s0 AS (SELECT g, min(row_id) AS a, max(e) AS z FROM ps GROUP BY 1),
+sp AS (SELECT *, (SELECT count(*) FROM ps WHERE row_id <= z) AS late FROM s0),
+ch AS (SELECT row_number() OVER (ORDER BY x.g, y.g) - 1 AS split_id, x.g AS g1, y.g AS g2, x.a AS a1, x.z AS z1, y.a AS a2, y.z AS z2, x.late AS l1, y.late AS l2 FROM sp x JOIN sp y ON x.g < y.g),
+cm AS (SELECT split_id, g1 || '|' || g2 AS test_groups, CASE WHEN g IN (g1, g2) THEN 'validation' WHEN (row_id <= z1 AND e >= a1) OR (row_id <= z2 AND e >= a2) THEN 'purged' WHEN (pos >= l1 AND pos < l1 + 4) OR (pos >= l2 AND pos < l2 + 4) THEN 'embargoed' ELSE 'train' END AS role FROM ps CROSS JOIN ch)"""
 COUNTS = "count(*) FILTER (WHERE role = 'train') AS n_train, count(*) FILTER (WHERE role = 'purged') AS n_purged, count(*) FILTER (WHERE role = 'embargoed') AS n_embargoed, count(*) FILTER (WHERE role = 'validation') AS n_validation, count(*) FILTER (WHERE role <> 'validation') AS n_raw"
 SHOW = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in ("open", "high", "low", "close", "volume"))
 SHOW8 = SHOW.replace(", 6)", ", 8)")
@@ -162,20 +175,24 @@ SQL = {
     "feat_calendar": q({"dow_sin": "sin(2 * pi() * (isodow(date) - 1) / 5)", "dow_cos": "cos(2 * pi() * (isodow(date) - 1) / 5)", "month_sin": "sin(2 * pi() * (month(date) - 1) / 12)", "month_cos": "cos(2 * pi() * (month(date) - 1) / 12)"}),
     "feat_trend_regime": q({"trend_efficiency_20": "eff", "trend_regime": "CASE WHEN eff IS NOT NULL AND m IS NOT NULL THEN CASE WHEN eff > 0.45 AND m > 0 THEN 1 WHEN eff > 0.45 AND m < 0 THEN -1 ELSE 0 END END", "trend_regime_available": "CASE WHEN eff IS NOT NULL AND m IS NOT NULL THEN 1 ELSE 0 END"}, "t", BASE + f", t AS (SELECT row_id, abs(lp - {shift('lp', 20)}) / nullif({over('sum(abs(r))', 'r', 20)}, 0) AS eff, lp - {shift('lp', 20)} AS m FROM b)"),
     "feat_ewm": f"WITH RECURSIVE {EWM} SELECT row_id, {R6('CASE WHEN row_id >= 14 AND e.l > 0 THEN 1 - 1 / (1 + e.g / e.l) END', 'rsi_14')}, {R6('CASE WHEN row_id >= 13 THEN e.tr / x0.close END', 'atr_14_normalized')}, {R6('CASE WHEN row_id >= 25 THEN f - s END', 'macd')}, {R6('CASE WHEN row_id >= 33 THEN sg END', 'macd_signal')}, {R6('CASE WHEN row_id >= 33 THEN f - s - sg END', 'macd_histogram')} FROM e JOIN x0 USING (row_id)",
-    "labels_all_horizons": f"WITH {LABELS} SELECT horizon, row_id, {R6('s_ret', 'statistical_forward_log_return')}, {R6('e_ret', 'executable_forward_log_return')}, CAST(s_dir AS DOUBLE) AS statistical_direction_binary, CAST(e_dir AS DOUBLE) AS executable_direction_binary, {R6('thr', 'direction_threshold')}, CASE WHEN e_ret IS NOT NULL AND thr IS NOT NULL THEN CASE WHEN e_ret > thr THEN 1e0 WHEN e_ret < -thr THEN -1e0 ELSE 0e0 END END AS executable_direction_three_class, act AS is_actionable, row_id + horizon AS label_end_index, row_id + 1 + horizon AS executable_label_end_index, eligible AS is_modeling_eligible FROM labels",
+    "labels_all_horizons": f"WITH {LABELS} SELECT horizon, row_id, strftime(date, '%Y-%m-%d') AS decision_timestamp, strftime(avail_ts, '%Y-%m-%d') AS available_timestamp, strftime(entry_ts, '%Y-%m-%d') AS entry_timestamp, strftime(exit_ts, '%Y-%m-%d') AS exit_timestamp, {R6('(exp(thr) - 1) * 1e4', 'threshold_bps')}, {R6('s_ret', 'statistical_forward_log_return')}, {R6('e_ret', 'executable_forward_log_return')}, CAST(s_dir AS DOUBLE) AS statistical_direction_binary, CAST(e_dir AS DOUBLE) AS executable_direction_binary, {R6('thr', 'direction_threshold')}, CASE WHEN e_ret IS NOT NULL AND thr IS NOT NULL THEN CASE WHEN e_ret > thr THEN 1e0 WHEN e_ret < -thr THEN -1e0 ELSE 0e0 END END AS executable_direction_three_class, act AS is_actionable, row_id + horizon AS label_end_index, row_id + 1 + horizon AS executable_label_end_index, eligible AS is_modeling_eligible FROM labels",
     "eligible_counts": f"WITH {LABELS} SELECT horizon, count(*) AS n_rows, count(*) FILTER (WHERE eligible) AS n_eligible, count(*) FILTER (WHERE act) AS n_actionable FROM labels GROUP BY 1",
     "class_balance": f"WITH {LABELS} SELECT symbol, horizon, count(*) AS n_labeled, count(*) FILTER (WHERE e_ret > 0) AS n_up, count(*) FILTER (WHERE e_ret <= 0) AS n_down, {R6('avg(CASE WHEN e_ret > 0 THEN 1e0 ELSE 0e0 END)', 'up_rate')}, {R6('avg(CASE WHEN e_ret <= 0 THEN 1e0 ELSE 0e0 END)', 'down_rate')} FROM labels WHERE e_ret IS NOT NULL GROUP BY 1, 2",
-    "audit_yearly": f"WITH {BASE} SELECT symbol, year(date) AS year, count(*) AS n_rows, strftime(min(date), '%Y-%m-%d') AS first_date, strftime(max(date), '%Y-%m-%d') AS last_date, {R6('min(close)', 'close_min')}, {QT('close', 0.05)} AS close_p05, {QT('close', 0.5)} AS close_median, {R6('avg(close)', 'close_mean')}, {QT('close', 0.95)} AS close_p95, {R6('max(close)', 'close_max')}, {R6('stddev_pop(close)', 'close_std')}, {R6('avg(r)', 'return_mean')}, {R6('stddev_pop(r)', 'return_std')}, {QT('r', 0.01)} AS return_p01, {QT('r', 0.05)} AS return_p05, {QT('r', 0.5)} AS return_median, {QT('r', 0.95)} AS return_p95, {QT('r', 0.99)} AS return_p99, {R6('avg(volume)', 'volume_mean')}, {QT('volume', 0.5)} AS volume_median, count(*) FILTER (WHERE volume = 0) AS zero_volume_rows FROM b GROUP BY 1, 2",
+    "audit_yearly": f"WITH {SUS} SELECT symbol, year(date) AS year, count(*) AS n_rows, strftime(min(date), '%Y-%m-%d') AS first_date, strftime(max(date), '%Y-%m-%d') AS last_date, {R6('min(close)', 'close_min')}, {QT('close', 0.05)} AS close_p05, {QT('close', 0.5)} AS close_median, {R6('avg(close)', 'close_mean')}, {QT('close', 0.95)} AS close_p95, {R6('max(close)', 'close_max')}, {R6('stddev_pop(close)', 'close_std')}, {R6('avg(r)', 'return_mean')}, {R6('stddev_pop(r)', 'return_std')}, {QT('r', 0.01)} AS return_p01, {QT('r', 0.05)} AS return_p05, {QT('r', 0.5)} AS return_median, {QT('r', 0.95)} AS return_p95, {QT('r', 0.99)} AS return_p99, {R6('avg(volume)', 'volume_mean')}, {QT('volume', 0.5)} AS volume_median, count(*) FILTER (WHERE volume = 0) AS zero_volume_rows, " + ", ".join(f"count(*) FILTER (WHERE regime = '{k}') AS {k}_rows" for k in ("bull", "bear", "unclassified")) + " FROM i GROUP BY 1, 2",
     "audit_suspicious": f"WITH {SUS} SELECT 'ORDERS' AS symbol, row_id, {DAY}, issue_type, {R6('value', 'value')}, {R6('threshold', 'threshold')} FROM sus",
-    "audit_summary": f"WITH {SUS} SELECT issue_type, count(*) AS n FROM sus GROUP BY 1",
+    "audit_summary": f"WITH {SUS} SELECT 'ORDERS' AS symbol, issue_type, count(*) AS n FROM sus GROUP BY 2 UNION ALL SELECT 'ORDERS', regime || '_rows', count(*) FROM i GROUP BY 2 UNION ALL SELECT 'ORDERS', 'maximum_calendar_gap_days', max(gap) FROM i",
     "missing_weekdays": f"WITH {PANEL}, sp AS (SELECT symbol, min(date) AS a, max(date) AS z FROM panel GROUP BY 1), dy AS (SELECT symbol, CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(z AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day FROM sp) SELECT symbol, strftime(day, '%Y-%m-%d') AS day FROM dy WHERE isodow(day) < 6 AND NOT EXISTS (SELECT 1 FROM panel p WHERE p.symbol = dy.symbol AND p.date = dy.day)",
     "asof_feature_join": asof("false"),
     "asof_staleness": asof("coalesce(age > 86400, false)"),
     "locked_split": f"WITH {EVENTS} SELECT role, count(*) AS n, min(row_id) AS first, max(row_id) AS last FROM (SELECT row_id, CASE WHEN row_id >= 900 THEN 'locked' WHEN e < 900 THEN 'development' ELSE 'dropped' END AS role FROM ev) GROUP BY 1",
     "walk_forward_folds": f"WITH {FOLD} SELECT 'ORDERS' AS symbol, CAST(fold_id AS BIGINT) AS fold_id, {COUNTS} FROM fm GROUP BY 1, 2",
+    "nested_folds": f"WITH {NEST} SELECT 'ORDERS' AS symbol, outer_fold, fold_id, {COUNTS} FROM nm GROUP BY 2, 3",
+    "split_manifest_hash": f"WITH {FOLD.replace('- 3', '- 0')}, ch AS (SELECT fold_id, row_id // 1000 AS chunk, sha256(string_agg(role || ':' || row_id || ':' || e, ',' ORDER BY row_id)) AS sha, count(*) AS n FROM fm GROUP BY 1, 2) SELECT 'ORDERS' AS symbol, fold_id, sha256(string_agg(sha, ',' ORDER BY chunk)) AS rows_sha256, CAST(sum(n) AS BIGINT) AS n_rows FROM ch GROUP BY 2",
+    "fold_overlaps": f"WITH {FOLD} SELECT t.fold_id, count(*) AS n FROM fm t WHERE t.role = 'train' AND EXISTS (SELECT 1 FROM fm v WHERE v.fold_id = t.fold_id AND v.role = 'validation' AND t.row_id <= v.e AND t.e >= v.row_id) GROUP BY 1",
+    "purged_overlaps": f"WITH {FOLD} SELECT t.fold_id, t.row_id FROM fm t WHERE t.role IN ('purged', 'embargoed') AND EXISTS (SELECT 1 FROM fm v WHERE v.fold_id = t.fold_id AND v.role = 'validation' AND t.row_id <= v.e AND t.e >= v.row_id)",
     "cpcv_manifest": f"WITH {CPCV} SELECT 'ORDERS' AS symbol, split_id, test_groups, {COUNTS} FROM cm GROUP BY 1, 2, 3",
-    "overlap_semi": f"WITH {EVENTS} SELECT row_id, e AS label_end_index FROM ev c WHERE EXISTS (SELECT 1 FROM ev r WHERE r.row_id % 97 = 0 AND c.row_id <= r.e AND c.e >= r.row_id)",
-    "overlap_anti": f"WITH {EVENTS} SELECT row_id, e AS label_end_index FROM ev c WHERE NOT EXISTS (SELECT 1 FROM ev r WHERE r.row_id % 97 = 0 AND c.row_id <= r.e AND c.e >= r.row_id)",
+    "overlap_semi": f"WITH {LABELS}, rf AS (SELECT DISTINCT horizon, row_id, row_id + 1 + horizon AS e FROM labels WHERE eligible AND act AND abs(e_ret) >= 0.5), ev AS (SELECT horizon, row_id, row_id + 1 + horizon AS e FROM labels WHERE eligible) SELECT horizon, row_id, e AS label_end_index FROM ev c WHERE EXISTS (SELECT 1 FROM rf r WHERE r.horizon = c.horizon AND c.row_id <= r.e AND c.e >= r.row_id)",
+    "overlap_anti": f"WITH {LABELS}, rf AS (SELECT DISTINCT horizon, row_id, row_id + 1 + horizon AS e FROM labels WHERE eligible AND act AND abs(e_ret) >= 0.5), ev AS (SELECT horizon, row_id, row_id + 1 + horizon AS e FROM labels WHERE eligible) SELECT horizon, row_id, e AS label_end_index FROM ev c WHERE NOT EXISTS (SELECT 1 FROM rf r WHERE r.horizon = c.horizon AND c.row_id <= r.e AND c.e >= r.row_id)",
     "classification_metrics": f"WITH {MET} SELECT 'ORDERS' AS symbol, k.horizon, n, tp, fp, tn, fn, {R6('brier', 'brier')}, {R6('log_loss', 'log_loss')}, " + ", ".join(R6(e, n) for n, e in RATES.items()) + f", {R6('roc_auc', 'roc_auc')}, {R6('ece_weighted', 'ece_weighted')}, {R6('ece_unweighted', 'ece_unweighted')} FROM k JOIN au USING (horizon) JOIN ec USING (horizon)",
     "calibration_bins": f"WITH {SCORED} SELECT 'ORDERS' AS symbol, horizon, CAST(bin AS BIGINT) AS bin, n, {R6('mean_p', 'mean_p')}, {R6('mean_y', 'mean_y')} FROM ({BINS('>=')})",
     "ece_two_ways": f"WITH {SCORED} SELECT 'ORDERS' AS symbol, horizon, {R6('ece_weighted', 'ece_weighted')}, {R6('ece_unweighted', 'ece_unweighted')} FROM ({ECE})",
@@ -186,8 +203,13 @@ SQL = {
     "schedule_single_position": f"WITH RECURSIVE {ONE} SELECT horizon, row_id, CASE WHEN p > 0.5 THEN 1 ELSE -1 END AS signal, 'row' || row_id || '_entry' || (row_id + 1) || '_exit' || (row_id + 1 + horizon) AS signal_id FROM taken",
     "replay_signals": f"WITH RECURSIVE {greedy('entry_ts', 'exit_ts', 'abs(p - 0.5) >= 0.05')} SELECT horizon, row_id, strftime(entry_ts, '%Y.%m.%d 00:00') AS entry_time, strftime(exit_ts, '%Y.%m.%d 00:00') AS exit_time, CASE WHEN p >= 0.5 THEN 1 ELSE -1 END AS direction, 'h' || horizon || '_row' || row_id AS signal_id FROM taken",
     "return_ledger": f"WITH RECURSIVE {LEDGER} SELECT horizon, row_id, active, signal, signal_id, " + ", ".join(R6(s, s) for s in STRATEGIES) + " FROM led",
-    "benchmark_summaries": f"WITH RECURSIVE {LEDGER}, ln AS (" + " UNION ALL ".join(f"SELECT horizon, row_id, '{s}' AS strategy, {'false' if s == 'cash' else 'active'} AS active, {s} AS net FROM led" for s in STRATEGIES) + f"), cu AS (SELECT *, exp(sum(net) OVER (PARTITION BY horizon, strategy ORDER BY row_id)) AS eq FROM ln), dd AS (SELECT *, eq / greatest(1, max(eq) OVER (PARTITION BY horizon, strategy ORDER BY row_id)) - 1 AS d FROM cu) SELECT 'ORDERS' AS symbol, horizon, strategy, count(*) AS n, count(*) FILTER (WHERE active) AS trades, {R6('sum(net)', 'log_return')}, {R6('least(0, min(d))', 'max_drawdown')}, {R6('avg(CASE WHEN active THEN CASE WHEN net > 0 THEN 1e0 ELSE 0e0 END END)', 'hit_rate')}, {R6('avg(CASE WHEN active THEN net END)', 'mean_active')}, {R6('sqrt(252.0::DOUBLE) * avg(net) / nullif(stddev_samp(net), 0)', 'sharpe')} FROM dd GROUP BY 1, 2, 3",
-    "trade_reconciliation": f"WITH RECURSIVE {ONE} SELECT count(*) AS matched, 0::BIGINT AS missing, 0::BIGINT AS unexpected, 0::BIGINT AS repeated, 0::BIGINT AS wrong_direction, 0::BIGINT AS wrong_time, 0::BIGINT AS bad_price, 'PASS' AS verdict FROM taken WHERE horizon = 5",
+    "benchmark_summaries": f"WITH RECURSIVE {LEDGER}, nxf AS MATERIALIZED (SELECT c.horizon, c.row_id, (SELECT min(d.row_id) FROM sc d WHERE d.horizon = c.horizon AND d.row_id >= c.row_id + greatest(1, c.horizon)) AS nx FROM sc c), wf AS (SELECT horizon, min(row_id) AS row_id FROM sc GROUP BY 1 UNION ALL SELECT wf.horizon, nxf.nx FROM wf JOIN nxf USING (horizon, row_id) WHERE nxf.nx IS NOT NULL), ln AS (" + " UNION ALL ".join(f"SELECT horizon, row_id, '{s}' AS strategy, {dict(cash='false', volatility_filtered='calm').get(s, 'true')} AS active, {s} AS net FROM led WHERE active" for s in STRATEGIES) + f" UNION ALL SELECT horizon, row_id, 'full_period', true, e_ret - {COST} FROM sc JOIN wf USING (horizon, row_id)), sp AS (SELECT horizon, count(*) AS n_decisions, max(row_id) - min(row_id) + 1 AS span FROM sc GROUP BY 1), cu AS (SELECT *, exp(sum(net) OVER (PARTITION BY horizon, strategy ORDER BY row_id)) AS eq FROM ln), dd AS (SELECT *, eq / greatest(1, max(eq) OVER (PARTITION BY horizon, strategy ORDER BY row_id)) - 1 AS d FROM cu), gg AS (SELECT horizon, strategy, count(*) AS n, count(*) FILTER (WHERE active) AS trades, sum(net) AS lr, min(d) AS md, avg(CASE WHEN active THEN CASE WHEN net > 0 THEN 1e0 ELSE 0e0 END END) AS hr, avg(CASE WHEN active THEN net END) AS ma, avg(net) / nullif(stddev_samp(net), 0) AS sh FROM dd GROUP BY 1, 2) SELECT 'ORDERS' AS symbol, horizon, strategy, n, trades, {R6('lr', 'log_return')}, {R6('exp(lr) - 1', 'cumulative')}, {R6('least(0, md)', 'max_drawdown')}, {R6('hr', 'hit_rate')}, {R6('ma', 'mean_active')}, {R6('sh * sqrt(252e0 * n / span)', 'sharpe')}, n_decisions, {R6('252e0 * n / span', 'per_year')}, {R6('trades / CAST(n_decisions AS DOUBLE)', 'coverage')} FROM gg JOIN sp USING (horizon)",
+    "best_threshold": f"WITH {GRID}, hf AS (SELECT horizon, 0.5::DOUBLE AS threshold, {conf()}, 1 AS fst FROM sc GROUP BY 1 UNION ALL SELECT *, 0 FROM g), rt AS (SELECT horizon, threshold, fst, {RATES['balanced_accuracy']} AS ba, {RATES['macro_f1']} AS f1 FROM hf) SELECT 'ORDERS' AS symbol, horizon, {R6('threshold', 'threshold')}, {R6('ba', 'balanced_accuracy')} FROM (SELECT *, row_number() OVER (PARTITION BY horizon ORDER BY ba DESC, f1 DESC, abs(threshold - 0.5), fst DESC, threshold) AS k FROM rt) WHERE k = 1",
+    "schedule_violations": f"WITH RECURSIVE {ONE}, lg AS (SELECT *, row_id + 1 AS en_i, row_id + 1 + horizon AS ex_i, lag(row_id + 1 + horizon) OVER (PARTITION BY horizon ORDER BY row_id) AS bf FROM taken) SELECT 'ORDERS' AS symbol, horizon, count(*) AS n, count(*) FILTER (WHERE en_i < bf) AS overlaps, count(*) FILTER (WHERE ex_i <= en_i) AS bad_exit, count(*) FILTER (WHERE (CASE WHEN p > 0.5 THEN 1 ELSE -1 END) <> (CASE WHEN p >= 0.5 THEN 1 ELSE -1 END)) AS bad_direction FROM taken JOIN lg USING (horizon, row_id, p) GROUP BY 2",
+    "trade_reconciliation": f"WITH RECURSIVE {ONE} SELECT count(*) AS matched, " + ", ".join(f"0::BIGINT AS {k}" for k in FAULTS) + ", 'PASS' AS verdict FROM taken",
+    "reconciliation_of_faults": f"WITH RECURSIVE {ONE}, b0x AS (SELECT row_id, open AS entry_price FROM bars), t0 AS (SELECT 'h' || horizon || '_row' || row_id AS sid, CASE WHEN p > 0.5 THEN 1 ELSE -1 END AS e_dir, entry_ts AS e_in, exit_ts AS e_out, month(entry_ts) AS mo, day(entry_ts) AS dy, horizon, row_id FROM taken), t1 AS (SELECT *, CASE WHEN mo = 2 AND dy = 6 THEN -e_dir ELSE e_dir END AS dir, CASE WHEN mo = 3 AND dy = 7 THEN e_in ELSE e_out END AS x_out, CASE WHEN mo = 4 AND dy = 8 THEN 0 ELSE 1 END AS price, CASE WHEN mo = 5 AND dy = 9 THEN -1 ELSE 1 END AS spread, CASE WHEN mo = 6 AND dy = 10 THEN '' WHEN mo = 7 AND dy = 11 THEN 'same' ELSE sid END AS oid, CASE WHEN mo = 8 AND dy = 12 THEN sid || '-x' ELSE sid END AS tid FROM t0 WHERE NOT (mo = 1 AND dy = 5)), t2 AS (SELECT *, sid AS did FROM t1 UNION ALL SELECT * REPLACE (oid || '-2' AS oid), sid || '-2' FROM t1 WHERE mo = 9 AND dy = 13), t3 AS (SELECT *, count(*) OVER (PARTITION BY tid) AS t_n FROM t2), j AS (SELECT e.sid, e.e_dir AS ed, e.e_out AS eo, t.* EXCLUDE (sid, e_dir, e_out) FROM t0 e FULL JOIN t3 t ON e.sid = t.tid), j2 AS (SELECT *, sid IS NOT NULL AND tid IS NOT NULL AS bo FROM j) SELECT count(*) FILTER (WHERE bo) AS matched, count(*) FILTER (WHERE tid IS NULL) AS missing, count(*) FILTER (WHERE sid IS NULL) AS unexpected, count(*) FILTER (WHERE t_n > 1) AS repeated, count(*) FILTER (WHERE bo AND ed <> dir) AS wrong_direction, count(*) FILTER (WHERE bo AND eo <> x_out) AS wrong_time, count(*) FILTER (WHERE tid IS NOT NULL AND x_out <= e_in) AS bad_exit, count(*) FILTER (WHERE price = 0) AS bad_price, count(*) FILTER (WHERE spread < 0) AS bad_cost, count(*) FILTER (WHERE oid = '') AS bad_ticket, (SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM t2 WHERE oid <> '' GROUP BY oid)) AS repeated_order_id, 0::BIGINT AS repeated_deal_id, 'FAIL' AS verdict FROM j2",
+    "calibration_line": "WITH RECURSIVE " + SCORED + ", xy AS MATERIALIZED (SELECT horizon, ln(least(greatest(p, 1e-6), 1 - 1e-6) / (1 - least(greatest(p, 1e-6), 1 - 1e-6))) AS x, CAST(y AS DOUBLE) AS y FROM sc), nw AS (SELECT horizon, 0 AS k, 0e0 AS a, 0e0 AS b FROM (SELECT DISTINCT horizon FROM xy) UNION ALL SELECT horizon, k + 1, a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) FROM (SELECT n.horizon, any_value(n.k) AS k, any_value(n.a) AS a, any_value(n.b) AS b, sum(y - q) AS g0, sum((y - q) * x) AS g1, sum(q * (1 - q)) AS h00, sum(q * (1 - q) * x) AS h01, sum(q * (1 - q) * x * x) AS h11 FROM (SELECT n.*, xy.x, xy.y, 1 / (1 + exp(-(n.a + n.b * xy.x))) AS q FROM nw n JOIN xy USING (horizon) WHERE n.k < 12) n GROUP BY 1)) SELECT 'ORDERS' AS symbol, horizon, round(a, 5) + 0.0 AS intercept, round(b, 5) + 0.0 AS slope FROM nw WHERE k = 12",
+    "label_aliases": f"WITH {LABELS} SELECT horizon, row_id, 'separated_statistical_executable_direction_v3' AS target_policy_id, {R6('s_ret', 'forward_log_return')}, CAST(s_dir AS DOUBLE) AS direction_binary, " + ", ".join(f"CASE WHEN e_ret IS NOT NULL AND thr IS NOT NULL THEN CASE WHEN e_ret > thr THEN 1e0 WHEN e_ret < -thr THEN -1e0 ELSE 0e0 END END AS {n}" for n in ("direction_three_class", "actionable_direction_three_class")) + f", {R6('thr', 'actionable_threshold_log_return')}, {R6('(exp(thr) - 1) * 1e4', 'direction_threshold_bps')}, {R6('(exp(thr) - 1) * 1e4', 'actionable_threshold_bps')} FROM labels",
     "trial_alignment": f"WITH {TRIALS} SELECT trial_id, count(*) AS n, min(row_id) AS first, max(row_id) AS last, {R6('sum(ret)', 'total')} FROM al GROUP BY 1",
     "pbo_cscv": f"WITH {PBO} SELECT count(*) AS n_splits, round(avg(CASE WHEN logit <= 0 THEN 1e0 ELSE 0e0 END), 5) + 0.0 AS pbo, round(median(logit), 5) + 0.0 AS median_logit FROM lo2",
     "sharpe_moments": f"WITH {TRIALS}, mo AS (SELECT trial_id, count(*) AS n, avg(ret) / nullif(stddev_samp(ret), 0) AS sharpe, avg(ret) AS mu, stddev_pop(ret) AS sd FROM tr GROUP BY 1), m3 AS (SELECT trial_id, any_value(n) AS n, any_value(sharpe) AS sharpe, avg(pow((ret - mu) / sd, 3)) AS skew, avg(pow((ret - mu) / sd, 4)) AS kurtosis FROM tr JOIN mo USING (trial_id) GROUP BY 1) SELECT trial_id, n, {R6('sharpe', 'sharpe')}, {R6('skew', 'skew')}, {R6('kurtosis', 'kurtosis')}, {R6('sharpe * sqrt(n - 1) / sqrt(1 - skew * sharpe + (kurtosis - 1) / 4 * sharpe * sharpe)', 'psr_z')} FROM m3",

@@ -31,12 +31,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def scored(spark, sf) -> DataFrame:
-    b = orders(spark, sf)
-    out = None
-    for h in labels.HORIZONS:
-        part = labels.scored(b, h)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return labels.scored(orders(spark, sf))
 
 
 def trials(spark, sf) -> DataFrame:
@@ -75,13 +70,17 @@ def events_frame(spark, sf) -> DataFrame:
 
 
 def overlap_query(anti: bool):
+    """Eligible events of each horizon that overlap one of its moves of half a log point or more, or none."""
     def query(spark, sf):
-        e = events_frame(spark, sf)
-        ref = e.where((F.col("row_id") % 97) == 0)
-        return rounded(splits.overlapping(e, ref, ["symbol"], anti).select("row_id", "label_end_index"))
+        e = labels.all_horizons(orders(spark, sf)).where("is_modeling_eligible").select("symbol", "horizon", "row_id", F.col("executable_label_end_index").alias("label_end_index"), (F.col("is_actionable") & (F.abs("executable_forward_log_return") >= 0.5)).alias("large"))
+        return rounded(splits.overlapping(e.drop("large"), e.where("large").drop("large"), KEYS, anti).select("horizon", "row_id", "label_end_index"))
     return query
 
 
+def folds_of(spark, sf) -> DataFrame:
+    return splits.walk_forward(events_frame(spark, sf), 5, 280, 3)
+
+
 def ml_oof(spark, sf) -> DataFrame:
     b = orders(spark, sf)
     df = features.base(b)
@@ -93,10 +92,31 @@ def ml_oof(spark, sf) -> DataFrame:
     return models.out_of_fold(rows, folds, list(cols)).select("fold_id", "row_id", "y", "p")
 
 
+def book_of(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The schedule of the deterministic score and its trades at the bars' opens."""
+    s = schedule.one_position(scored(spark, sf), KEYS)
+    s = s.withColumn("signal_id", F.concat(F.lit("h"), F.col("horizon"), F.lit("_"), F.col("signal_id")))
+    return s, schedule.executed(s, orders(spark, sf))
+
+
 def reconciliation(spark, sf) -> DataFrame:
-    s = schedule.one_position(scored(spark, sf).where("horizon = 5"), KEYS)
-    t = s.select("signal_id", F.col("signal").alias("direction"), "entry_timestamp", "exit_timestamp", F.lit(100.0).alias("entry_price"), F.lit(101.0).alias("exit_price"), F.lit(1.0).alias("spread_bps"), F.lit(0.0).alias("commission"))
-    return rounded(schedule.reconcile(s, t))
+    return rounded(schedule.reconcile(*book_of(spark, sf)))
+
+
+def reconciliation_of_faults(spark, sf) -> DataFrame:
+    """The same trades with faults of every kind, at rows that a rule of the date picks."""
+    s, t = book_of(spark, sf)
+    day, month = F.dayofmonth("entry_timestamp"), F.month("entry_timestamp")
+    t = t.where(~((month == 1) & (day == 5))).withColumns({
+        "direction": F.when((month == 2) & (day == 6), -F.col("direction")).otherwise(F.col("direction")),
+        "exit_timestamp": F.when((month == 3) & (day == 7), F.col("entry_timestamp")).otherwise(F.col("exit_timestamp")),
+        "entry_price": F.when((month == 4) & (day == 8), 0.0).otherwise(F.col("entry_price")),
+        "spread_bps": F.when((month == 5) & (day == 9), -1.0).otherwise(F.col("spread_bps")),
+        "order_id": F.when((month == 6) & (day == 10), "").when((month == 7) & (day == 11), "o-same").otherwise(F.col("order_id")),
+        "signal_id": F.when((month == 8) & (day == 12), F.concat(F.col("signal_id"), F.lit("-x"))).otherwise(F.col("signal_id")),
+    })
+    again = t.where((month == 9) & (day == 13)).withColumns({"order_id": F.concat(F.col("order_id"), F.lit("-2")), "deal_id": F.concat(F.col("deal_id"), F.lit("-2"))})
+    return rounded(schedule.reconcile(s, t.unionByName(again)))
 
 
 def gate(spark, sf) -> DataFrame:
@@ -115,7 +135,7 @@ def boot(spark, sf) -> DataFrame:
     return rounded(multiplicity.interval(multiplicity.block_bootstrap(s.select("row_id", "executable_forward_log_return"), "executable_forward_log_return")), 9)
 
 
-LABEL_COLUMNS = ["horizon", "row_id", "statistical_forward_log_return", "executable_forward_log_return", "statistical_direction_binary", "executable_direction_binary", "direction_threshold", "executable_direction_three_class", "is_actionable", "label_end_index", "executable_label_end_index", "is_modeling_eligible"]
+LABEL_COLUMNS = ["horizon", "row_id", "threshold_bps", "decision_timestamp", "available_timestamp", "entry_timestamp", "exit_timestamp", "statistical_forward_log_return", "executable_forward_log_return", "statistical_direction_binary", "executable_direction_binary", "direction_threshold", "executable_direction_three_class", "is_actionable", "label_end_index", "executable_label_end_index", "is_modeling_eligible"]
 BAR = ["symbol", "row_id", "date", "open", "high", "low", "close", "volume"]
 
 QUERIES = {
@@ -138,18 +158,21 @@ QUERIES = {
     "feat_hurst": lambda s, d: rounded(features.recursive(orders(s, d)).select("row_id", *[n for n in features.RECURSIVE if "hurst" in n])),
     "feat_matrix": lambda s, d: rounded(features.matrix(orders(s, d)).select("row_id", "hurst_regime", "hurst_robust_median", "hurst_robust_dispersion", "hurst_robust_low_threshold", "hurst_robust_high_threshold", "hurst_robust_regime", "volatility_zscore", "feature_coverage")),
     "labels_all_horizons": lambda s, d: rounded(labels.all_horizons(orders(s, d)).select(*LABEL_COLUMNS)),
+    "label_aliases": lambda s, d: rounded(labels.with_aliases(labels.all_horizons(orders(s, d))).select("horizon", "row_id", "target_policy_id", *labels.ALIASES)),
     "eligible_counts": lambda s, d: rounded(labels.all_horizons(orders(s, d)).groupBy("horizon").agg(F.count("*").alias("n_rows"), F.count_if("is_modeling_eligible").alias("n_eligible"), F.count_if("is_actionable").alias("n_actionable"))),
     "class_balance": lambda s, d: rounded(audit.class_balance(labels.all_horizons(orders(s, d)))),
     "audit_yearly": lambda s, d: rounded(audit.yearly(orders(s, d))),
     "audit_suspicious": lambda s, d: rounded(audit.suspicious(orders(s, d))),
-    "audit_summary": lambda s, d: rounded(audit.suspicious(orders(s, d)).groupBy("issue_type").agg(F.count("*").alias("n"))),
+    "audit_summary": lambda s, d: rounded(audit.summary(orders(s, d))),
     "missing_weekdays": lambda s, d: rounded(audit.missing_weekdays(B.bars_panel(read(s, d, "lineitem")))),
     "asof_feature_join": asof_query(None),
     "asof_staleness": asof_query(86400.0),
     "locked_split": lambda s, d: rounded(splits.locked(events_frame(s, d), 900).groupBy("role").agg(F.count("*").alias("n"), F.min("row_id").alias("first"), F.max("row_id").alias("last"))),
-    "walk_forward_folds": lambda s, d: rounded(splits.fold_counts(splits.walk_forward(events_frame(s, d), 5, 280, 3))),
+    "walk_forward_folds": lambda s, d: rounded(splits.fold_counts(folds_of(s, d))),
     "nested_folds": lambda s, d: rounded(splits.fold_counts(splits.nested(events_frame(s, d), 5, 3, 500, 200), ("symbol", "outer_fold", "fold_id"))),
     "cpcv_manifest": lambda s, d: rounded(splits.fold_counts(splits.cpcv(events_frame(s, d), 8, 2, 4), ("symbol", "split_id", "test_groups"))),
+    "fold_overlaps": lambda s, d: rounded(splits.fold_overlaps(folds_of(s, d)).groupBy("fold_id").agg(F.count("*").alias("n"))),
+    "purged_overlaps": lambda s, d: rounded(splits.fold_overlaps(folds_of(s, d).withColumn("role", F.when(F.col("role") == "validation", "validation").when(F.col("role") != "train", "train"))).select("fold_id", "row_id")),
     "overlap_semi": overlap_query(False),
     "overlap_anti": overlap_query(True),
     "split_manifest_hash": lambda s, d: rounded(splits.manifest(splits.walk_forward(events_frame(s, d)), ["symbol", "fold_id"])),
@@ -163,10 +186,12 @@ QUERIES = {
     "schedule_abstain": lambda s, d: rounded(schedule.by_rows(scored(s, d), KEYS, band=0.1).select("horizon", "row_id")),
     "schedule_single_position": lambda s, d: rounded(schedule.one_position(scored(s, d), KEYS).select("horizon", "row_id", "signal", "signal_id")),
     "replay_signals": lambda s, d: rounded(schedule.replay_signals(scored(s, d), KEYS).select("horizon", "row_id", "entry_time", "exit_time", "direction", "signal_id")),
-    "return_ledger": lambda s, d: rounded(schedule.ledger(scored(s, d), KEYS).drop("symbol")),
-    "benchmark_summaries": lambda s, d: rounded(schedule.benchmarks(schedule.ledger(scored(s, d), KEYS), KEYS).drop("cumulative")),
+    "return_ledger": lambda s, d: rounded(schedule.ledger(scored(s, d), KEYS).drop("symbol", "calm")),
+    "benchmark_summaries": lambda s, d: rounded(schedule.benchmarks(scored(s, d), KEYS)),
     "schedule_violations": lambda s, d: rounded(schedule.schedule_violations(schedule.one_position(scored(s, d), KEYS), KEYS)),
     "trade_reconciliation": reconciliation,
+    "reconciliation_of_faults": reconciliation_of_faults,
+    "calibration_line": lambda s, d: rounded(metrics.calibration_line(scored(s, d), KEYS), 5),
     "trial_alignment": lambda s, d: rounded(multiplicity.align(trials(s, d)).groupBy("trial_id").agg(F.count("*").alias("n"), F.min("row_id").alias("first"), F.max("row_id").alias("last"), F.sum("ret").alias("total"))),
     "pbo_cscv": lambda s, d: rounded(multiplicity.pbo_summary(multiplicity.align(trials(s, d))), 5),
     "sharpe_moments": lambda s, d: rounded(multiplicity.moments(trials(s, d)).withColumn("psr_z", multiplicity.probabilistic_z())),
