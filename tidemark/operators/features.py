@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,44 +89,12 @@ FAMILIES = (returns, moments, momentum, slopes, entropies, shapes, volumes, cale
 
 def ewm_mean(x: np.ndarray, alpha: float, least: int) -> np.ndarray:
     """Recursive mean that starts at the first valid value and skips nulls."""
-    out, state, seen, weight = np.full(len(x), np.nan), np.nan, 0, 1.0
-    for i, v in enumerate(x):
-        if np.isfinite(v):
-            if seen:
-                weight *= 1 - alpha
-                state = (weight * state + alpha * v) / (weight + alpha)
-            else:
-                state = v
-            weight, seen = 1.0, seen + 1
-        elif seen:
-            weight *= 1 - alpha
-        if seen >= least:
-            out[i] = state
-    return out
+    return pd.Series(x).ewm(alpha=alpha, adjust=False, min_periods=least).mean().to_numpy()
 
 
 def ewm_std(x: np.ndarray, span: int, least: int) -> np.ndarray:
     """Square root of the debiased recursive variance."""
-    a = 2 / (span + 1)
-    out, seen = np.full(len(x), np.nan), 0
-    mean = var = 0.0
-    s1 = s2 = old = 1.0
-    for i, v in enumerate(x):
-        if seen:
-            s1, s2, old = s1 * (1 - a), s2 * (1 - a) ** 2, old * (1 - a)
-        if np.isfinite(v):
-            if seen:
-                was, total = mean, old + a
-                mean = (old * mean + a * v) / total
-                var = (old * (var + (was - mean) ** 2) + a * (v - mean) ** 2) / total
-                s1, s2 = (s1 + a) / total, (s2 + a * a) / total**2
-                old = 1.0
-            else:
-                mean = v
-            seen += 1
-        if seen >= max(least, 2) and s1 * s1 > s2:
-            out[i] = (s1 * s1 / (s1 * s1 - s2) * var) ** 0.5
-    return out
+    return pd.Series(x).ewm(span=span, adjust=False, min_periods=least).std().to_numpy()
 
 
 def dfa_scales(n: int) -> tuple[int, ...]:
@@ -199,7 +168,7 @@ def recursive(bars: DataFrame, hurst: bool = True) -> DataFrame:
                     for i in range(0, len(view), 2048):
                         rs[w - 1 + i : w - 1 + i + 2048], dfa[w - 1 + i : w - 1 + i + 2048] = rescaled_range(view[i : i + 2048]), dfa1(view[i : i + 2048])
                 out[f"hurst_rs_single_scale_legacy_{w}"], out[f"hurst_dfa1_{w}"] = rs, dfa
-        return out[["symbol", "row_id", *names]].astype(object).where(out[["symbol", "row_id", *names]].notna(), None)
+        return out[["symbol", "row_id", *names]]
 
     ship(bars.sparkSession)
     schema = T.StructType([T.StructField("symbol", T.StringType()), T.StructField("row_id", T.LongType()), *[T.StructField(n, T.DoubleType()) for n in names]])
@@ -210,11 +179,11 @@ def regimes(df: DataFrame, regime: int = REGIME) -> DataFrame:
     """Regime of the largest window's exponent against its past, robust variants over all windows, volatility z."""
     least = max(80, regime // 2)
     h = f"hurst_dfa1_{max(HURST)}"
-    own = [F.col(f"hurst_dfa1_{w}") for w in HURST]
-    count = sum((c.isNotNull().cast("int") for c in own[1:]), own[0].isNotNull().cast("int"))
-    mean = safe_div(sum((F.coalesce(c, F.lit(0.0)) for c in own[1:]), F.coalesce(own[0], F.lit(0.0))), count.cast("double"))
-    df = df.withColumn("hurst_robust_median", mean)  # the median of two windows is their mean
-    df = df.withColumn("hurst_robust_dispersion", safe_div(sum((F.coalesce(F.abs(c - F.col("hurst_robust_median")), F.lit(0.0)) for c in own[1:]), F.coalesce(F.abs(own[0] - F.col("hurst_robust_median")), F.lit(0.0))), count.cast("double")))
+    own = F.array_compact(F.array(*[F.col(f"hurst_dfa1_{w}") for w in HURST]))
+    middle = lambda xs: (F.try_element_at(F.array_sort(xs), F.greatest(F.lit(1), F.ceil(F.size(xs) / 2).cast("int"))) + F.try_element_at(F.array_sort(xs), (F.floor(F.size(xs) / 2) + 1).cast("int"))) / 2
+    df = df.withColumn("hurst_robust_median", middle(own))
+    away = F.transform(own, lambda x: F.abs(x - F.col("hurst_robust_median")))
+    df = df.withColumn("hurst_robust_dispersion", middle(away))
 
     def split(name: str, low: str, high: str) -> tuple[Column, Column, Column]:
         at, bottom, top = F.col(name), F.col(low), F.col(high)
@@ -231,6 +200,39 @@ def regimes(df: DataFrame, regime: int = REGIME) -> DataFrame:
     return df.withColumn("volatility_zscore", zscore("__lagged", regime, least)).drop("__lagged", "hurst_low_threshold", "hurst_high_threshold")
 
 
+#: What :func:`regimes` adds.
+REGIMES = ["hurst_dfa1_available", "hurst_regime", "hurst_regime_available", "hurst_robust_median", "hurst_robust_dispersion", "hurst_robust_low_threshold", "hurst_robust_high_threshold", "hurst_robust_regime", "hurst_robust_available", "volatility_zscore"]
+def arm(columns: list[str], name: str) -> list[str]:
+    """The columns of one Hurst arm: none, the fluctuation exponents with their regime, or the robust regime; never the legacy exponents."""
+    plain = [c for c in columns if not c.startswith("hurst_")]
+    own = {
+        "no_hurst": lambda c: False,
+        "current_dfa_hurst": lambda c: c.startswith("hurst_dfa1_") or c in ("hurst_regime", "hurst_regime_available"),
+        "robust_hurst_regime": lambda c: c.startswith("hurst_robust_"),
+    }
+    if name not in own:
+        raise ValueError(f"no arm {name}")
+    return plain + [c for c in columns if c not in plain and own[name](c)]
+
+
+def ablated(columns: list[str], name: str) -> tuple[list[str], bool]:
+    """The columns of an ablation variant, and whether a meta classifier is stacked on it."""
+    kind, _, meta = name.rpartition("_hurst_")
+    legacy = [c for c in columns if "hurst_rs_single_scale_legacy" in c]
+    chosen = {
+        "dfa": [c for c in columns if c not in legacy],
+        "no": [c for c in columns if "hurst" not in c],
+        "legacy": [c for c in columns if "hurst" not in c or c in legacy],
+    }
+    if kind not in chosen or meta not in ("with_meta", "no_meta") or (kind, meta) == ("legacy", "with_meta"):
+        raise ValueError(f"no variant {name}")
+    return chosen[kind], meta == "with_meta"
+
+
+#: Names of the ablation variants (fixed values).
+ABLATIONS = ["dfa_hurst_with_meta", "dfa_hurst_no_meta", "no_hurst_with_meta", "no_hurst_no_meta", "legacy_hurst_no_meta"]
+
+
 def matrix(bars: DataFrame) -> DataFrame:
     """All features with their coverage; one shuffle by symbol serves every window."""
     df = base(bars)

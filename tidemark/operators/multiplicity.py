@@ -1,4 +1,4 @@
-"""Overfitting probability, Sharpe diagnostics, block bootstrap and the promotion gate."""
+"""Overfitting probability, Sharpe diagnostics and block bootstraps."""
 
 from __future__ import annotations
 
@@ -12,11 +12,17 @@ from ..functions.windows import safe_div
 from .splits import bits
 
 
+#: Fewest common rows of aligned trials.
+LEAST_COMMON = 20
+
+
 def align(trials: DataFrame) -> DataFrame:
-    """(trial_id, row_id, ret) on the rows that every trial has."""
+    """(trial_id, row_id, ret) on the rows that every trial has a finite return for; none if they are fewer than ``LEAST_COMMON``."""
+    trials = trials.where(F.col("ret").isNotNull() & ~F.isnan("ret") & (F.abs("ret") < float("inf")))
     n = trials.agg(F.count_distinct("trial_id").alias("k"))
     common = trials.groupBy("row_id").agg(F.count_distinct("trial_id").alias("c")).join(F.broadcast(n), F.col("c") == F.col("k")).select("row_id")
-    return trials.join(common, "row_id", "left_semi")
+    enough = common.agg(F.count("*").alias("c")).where(F.col("c") >= LEAST_COMMON)
+    return trials.join(common, "row_id", "left_semi").join(F.broadcast(enough), how="left_semi")  # one row or none
 
 
 def sharpe(total, squares, n):
@@ -85,7 +91,7 @@ def block_bootstrap(df: DataFrame, value: str, rounds: int = 200, block: int = 1
 
     Prefix sums make a block one difference, so a draw joins two rows, not its block's rows.
     """
-    w = Window.orderBy("row_id")
+    w = Window.partitionBy(F.lit(1)).orderBy("row_id")  # one series: its prefix sums are one sorted run
     at = df.select((F.row_number().over(w) - 1).alias("pos"), F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("upto"))
     n = df.count()
     if n < max(20, 2 * block):
@@ -106,15 +112,68 @@ def interval(resamples: DataFrame, level: float = 0.95) -> DataFrame:
     return resamples.agg(F.count("*").alias("n"), F.percentile("mean", F.lit(t)).alias("low"), F.percentile("mean", F.lit(1 - t)).alias("high"))
 
 
-#: Promotion thresholds (fixed values).
-GATE = {
-    "outer_folds": ("n_folds", ">=", 5), "median_balanced_accuracy": ("median_ba", ">=", 0.60), "median_macro_f1": ("median_f1", ">=", 0.55), "median_recall_up": ("median_recall_up", ">=", 0.50), "median_recall_down": ("median_recall_down", ">=", 0.50),
-    "folds_at_floor": ("n_floor", ">=", 4), "no_weak_fold": ("worst_ba", ">=", 0.50), "confidence_low": ("ci_low", ">", 0.50), "brier_delta": ("brier_delta", "<=", 0.005), "ece_delta": ("ece_delta", "<=", 0.01), "trades": ("trades", ">=", 30), "net_return": ("net", ">", 0.0), "overfitting": ("pbo", "<=", 0.20), "deflated_sharpe": ("dsr", ">=", 0.95),
-}
+STATISTICS = ["balanced_accuracy", "macro_f1", "recall_down", "recall_up", "brier_score", "expected_calibration_error", "candidate_mean_net_return", "paired_mean_net_return"]
+BINS = 10
+
 
+def joint_bootstrap(df: DataFrame, keys: list[str], blocks: tuple[int, ...], rounds: int = 400, threshold: float = 0.5, seed: int = 42) -> DataFrame:
+    """(keys, block, iter, the eight ``STATISTICS``): moving-block resamples that draw labels, scores and returns together.
 
-def promotion(evidence: DataFrame) -> DataFrame:
-    """``evidence`` with the names of failed checks and the decision; a missing figure fails its check."""
-    tests = {">=": lambda c, v: c >= v, ">": lambda c, v: c > v, "<=": lambda c, v: c <= v}
-    failed = F.array_compact(F.array(*[F.when(~F.coalesce(tests[op](F.col(c), F.lit(v)), F.lit(False)), F.lit(name)) for name, (c, op, v) in GATE.items()]))
-    return evidence.withColumn("failed_checks", F.array_join(F.array_sort(failed), "|")).withColumn("promoted", F.size(failed) == 0)
+    ``df`` has row_id, y, p, candidate and benchmark.  Every block length has draws of its own; resamples of one class are
+    replaced by later ones of a tenth more.  Prefix sums make a drawn block one difference of two rows.  Groups of
+    fewer than 20 rows, of one class, or shorter than two blocks have none.
+    """
+    w = Window.partitionBy(*keys).orderBy("row_id")
+    hit, up = F.col("p") >= threshold, F.col("y") == 1
+    at = sum((F.col("p") >= i / BINS).cast("int") for i in range(2, BINS)) + (F.col("p") >= 1 / BINS).cast("int")
+    parts = {"tp": hit & up, "fp": hit & ~up, "tn": ~hit & ~up, "fn": ~hit & up} | {f"d{i}": F.when(at == i, F.col("y") - F.col("p")).otherwise(0.0) for i in range(BINS)}
+    parts |= {"brier": (F.col("p") - F.col("y")) ** 2, "candidate": F.col("candidate"), "paired": F.col("candidate") - F.col("benchmark")}
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = df.select(*keys, (F.row_number().over(w) - 1).cast("long").alias("pos"), *[F.sum(v.cast("double")).over(upto).alias(k) for k, v in parts.items()])
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("n"), F.count_distinct("y").alias("classes")).where("n >= 20 and classes = 2")
+    lengths = F.explode(F.array(*map(F.lit, blocks)))
+    draws = sizes.select(*keys, "n", lengths.alias("block")).where("n >= 2 * block").withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(rounds + rounds // 10 - 1))))
+    draws = draws.withColumn("blk", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / F.col("block")).cast("int") - 1)))
+    start = ((F.col("iter").cast("long") * 7919 + F.col("blk") * 104729 + F.col("block") * 1299709 + seed) * 48271) % 2147483647 % (F.col("n") - F.col("block") + 1)
+    size = F.least(F.col("block"), F.col("n") - F.col("blk") * F.col("block"))
+    drawn = draws.select(*keys, "block", "iter", "n", start.cast("long").alias("a"), (start + size - 1).cast("long").alias("b"))
+    left = sums.select(*keys, (F.col("pos") + 1).alias("a"), *[F.col(k).alias(f"{k}_before") for k in parts])
+    right = sums.withColumnRenamed("pos", "b")
+    met = drawn.join(right, [*keys, "b"]).join(left, [*keys, "a"], "left")
+    total = met.groupBy(*keys, "block", "iter", "n").agg(*[F.sum(F.col(k) - F.coalesce(F.col(f"{k}_before"), F.lit(0.0))).alias(k) for k in parts])
+    total = total.where("tp + fn > 0.5 and tn + fp > 0.5")
+    total = total.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "block").orderBy("iter"))).where(F.col("rank") <= rounds)
+    rates_ = {"recall_up": F.col("tp") / (F.col("tp") + F.col("fn")), "recall_down": F.col("tn") / (F.col("tn") + F.col("fp"))}
+    f1 = lambda hits: F.coalesce(safe_div(2 * hits, 2 * hits + F.col("fp") + F.col("fn")), F.lit(0.0))
+    gap = sum((F.abs(f"d{i}") for i in range(1, BINS)), F.abs("d0"))
+    stats = rates_ | {"balanced_accuracy": (rates_["recall_up"] + rates_["recall_down"]) / 2, "macro_f1": (f1(F.col("tp")) + f1(F.col("tn"))) / 2, "brier_score": F.col("brier") / F.col("n"), "expected_calibration_error": gap / F.col("n"), "candidate_mean_net_return": F.col("candidate") / F.col("n"), "paired_mean_net_return": F.col("paired") / F.col("n")}
+    return total.select(*keys, "block", "iter", *[stats[s].alias(s) for s in STATISTICS])
+
+
+def joint_intervals(resamples: DataFrame, keys: list[str], level: float = 0.95) -> DataFrame:
+    """(keys, block, statistic, n, low, high) by linear quantiles of the resamples."""
+    t = (1 - level) / 2
+    long = resamples.select(*keys, "block", F.explode(F.array(*[F.struct(F.lit(s).alias("statistic"), F.col(s).alias("v")) for s in STATISTICS])).alias("x"))
+    return long.groupBy(*keys, "block", "x.statistic").agg(F.count("*").alias("n"), F.percentile("x.v", F.lit(t)).alias("low"), F.percentile("x.v", F.lit(1 - t)).alias("high"))
+
+
+def trial_sharpes(trials: DataFrame, periods: float = 252.0) -> DataFrame:
+    """(trial_id, annualised, signed): the annualised Sharpe ratio, 0 without deviation, and the plain one, an infinity of the mean's sign then."""
+    from .metrics import signed_infinity
+
+    out = trials.groupBy("trial_id").agg(F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("std"))
+    return out.select("trial_id", F.when(F.col("std") > 0, F.col("mean") / F.nullif("std", F.lit(0.0)) * math.sqrt(periods)).otherwise(0.0).alias("annualised"), signed_infinity(F.col("mean"), F.col("std")).alias("signed"))
+
+
+def deflated(trials: DataFrame) -> list[tuple[int, float | None]]:
+    """(trial_id, probability) of the deflated Sharpe ratio of each trial among all, which are few; null where it can't be told."""
+    rows = moments(trials).orderBy("trial_id").collect()
+    known = [r.sharpe for r in rows if r.sharpe is not None]
+    spread = (sum((x - sum(known) / len(known)) ** 2 for x in known) / (len(known) - 1)) ** 0.5 if len(known) > 1 else None
+    out = []
+    for r in rows:
+        try:
+            out.append((r.trial_id, deflated_sharpe(r.sharpe, r.n, r.skew, r.kurtosis, len(rows), spread)))
+        except (ValueError, TypeError):
+            out.append((r.trial_id, None))
+    return out

@@ -101,6 +101,19 @@ def nested(events: DataFrame, outer: int = 5, inner: int = 3, least_outer: int =
     return low.select(F.element_at(parts, 1).alias("symbol"), F.element_at(parts, 2).cast("int").alias("outer_fold"), "fold_id", "role", "row_id", END)
 
 
+def uncontained(events: DataFrame, outer: int, inner: int, least_outer: int, least_inner: int) -> DataFrame:
+    """(outer_fold, fold_id, n_rows, n_outside): rows of inner folds, and how many of them are no training rows of the outer fold."""
+    top = walk_forward(events, outer, least_outer).where("role = 'train'").select("symbol", F.col("fold_id").alias("outer_fold"), "row_id", F.lit(1).alias("held"))
+    low = nested(events, outer, inner, least_outer, least_inner)
+    return low.join(top, ["symbol", "outer_fold", "row_id"], "left").groupBy("outer_fold", "fold_id").agg(F.count("*").alias("n_rows"), F.count_if(F.col("held").isNull()).alias("n_outside"))
+
+
+def with_fold_metadata(folds: DataFrame, keys=("symbol", "fold_id")) -> DataFrame:
+    """Each row of the folds with its fold's counts and first validation row; folds are few, so their facts are broadcast."""
+    facts = fold_counts(folds, keys).join(folds.where("role = 'validation'").groupBy(*keys).agg(F.min("row_id").alias("first_validation_row")), list(keys))
+    return folds.join(F.broadcast(facts), list(keys))
+
+
 def islands(intervals: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
     """Closed intervals merged where they overlap or touch."""
     w = Window.partitionBy(*keys).orderBy(start, end)

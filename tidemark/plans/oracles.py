@@ -134,6 +134,22 @@ e AS (SELECT row_id, CAST(NULL AS DOUBLE) AS g, CAST(NULL AS DOUBLE) AS l, tr, l
  UNION ALL SELECT x.row_id, CASE WHEN e.g IS NULL THEN x.g ELSE e.g * 13 / 14 + x.g / 14 END, CASE WHEN e.l IS NULL THEN x.l ELSE e.l * 13 / 14 + x.l / 14 END, e.tr * 13 / 14 + x.tr / 14, e.f * 11 / 13 + x.lp * 2 / 13, e.s * 25 / 27 + x.lp * 2 / 27,
  CASE WHEN x.row_id < 25 THEN NULL WHEN x.row_id = 25 THEN (e.f * 11 / 13 + x.lp * 2 / 13) - (e.s * 25 / 27 + x.lp * 2 / 27) ELSE e.sg * 0.8 + ((e.f * 11 / 13 + x.lp * 2 / 13) - (e.s * 25 / 27 + x.lp * 2 / 27)) * 0.2 END
  FROM e JOIN x0 x ON x.row_id = e.row_id + 1)"""
+A20, A63 = repr(2 / 21), repr(2 / 64)
+EWV = BASE + f""", v AS (SELECT row_id, r AS m20, 0e0 AS v20, 1e0 AS q20, r AS m63, 0e0 AS v63, 1e0 AS q63 FROM b WHERE row_id = 1
+ UNION ALL SELECT x.row_id, """ + ", ".join(f"(1 - {a}) * v.m{n} + {a} * x.r, (1 - {a}) * (v.v{n} + pow(v.m{n} - ((1 - {a}) * v.m{n} + {a} * x.r), 2)) + {a} * pow(x.r - ((1 - {a}) * v.m{n} + {a} * x.r), 2), pow(1 - {a}, 2) * v.q{n} + pow({a}, 2)" for n, a in ((20, A20), (63, A63))) + """ FROM v JOIN b x ON x.row_id = v.row_id + 1),
+ev20 AS (SELECT b.row_id, CASE WHEN b.row_id >= 20 THEN sqrt(v20 / (1 - q20)) END AS e20, CASE WHEN b.row_id >= 40 THEN sqrt(v63 / (1 - q63)) END AS e63 FROM b LEFT JOIN v USING (row_id))"""
+HURST = """dw AS MATERIALIZED (SELECT i.row_id AS i, w, x.row_id - (i.row_id - w + 2) AS k, x.r AS d FROM b i, (VALUES (64), (128)) t(w), b x WHERE i.row_id >= w - 1 AND x.row_id > i.row_id - w + 1 AND x.row_id <= i.row_id),
+pf AS MATERIALIZED (SELECT i, w, k, sum(d - m) OVER (PARTITION BY i, w ORDER BY k) AS y FROM (SELECT *, avg(d) OVER (PARTITION BY i, w) AS m FROM dw)),
+rs AS (SELECT i, w, (max(y) - min(y)) AS sp FROM pf GROUP BY 1, 2),
+sd AS (SELECT i, w, stddev_samp(d) AS sd FROM dw GROUP BY 1, 2),
+rr AS (SELECT i, w, CASE WHEN sd > 1e-12 AND sp > 0 THEN ln(sp / sd) / ln(w - 1) END AS h FROM rs JOIN sd USING (i, w)),
+sg AS (SELECT i, w, s, way, (k - o) // s AS seg, regr_syy(y, (k - o) % s) - regr_sxy(y, (k - o) % s) * regr_sxy(y, (k - o) % s) / regr_sxx(y, (k - o) % s) AS rss FROM pf, (VALUES (4), (8), (16), (32)) z(s), (VALUES (0), (1)) u(way), LATERAL (SELECT CASE WHEN way = 1 THEN (w - 1) % s ELSE 0 END AS o) WHERE s <= (w - 1) // 3 AND (way = 0 OR (w - 1) % s > 0) AND k >= o AND (k - o) // s < (w - 1) // s GROUP BY i, w, s, way, seg),
+fl AS (SELECT i, w, s, 0.5 * ln(greatest(sum(rss), 1e-300) / (count(*) * s)) AS lf FROM sg GROUP BY 1, 2, 3),
+hd AS (SELECT i, w, regr_slope(lf, ln(s)) AS h FROM fl GROUP BY 1, 2),
+hu AS MATERIALIZED (SELECT b.row_id, max(CASE WHEN hd.w = 64 THEN hd.h END) AS h64, max(CASE WHEN hd.w = 128 THEN hd.h END) AS h128, max(CASE WHEN rr.w = 64 THEN rr.h END) AS r64, max(CASE WHEN rr.w = 128 THEN rr.h END) AS r128 FROM b LEFT JOIN hd ON hd.i = b.row_id LEFT JOIN rr ON rr.i = b.row_id GROUP BY 1)"""
+RG = "CASE WHEN {x} IS NOT NULL AND {x}_lo IS NOT NULL THEN CASE WHEN {x} >= {x}_hi THEN 1e0 WHEN {x} <= {x}_lo THEN -1e0 ELSE 0e0 END END"
+REGIMES = EWV + ", " + HURST + """, hm AS (SELECT hu.*, e20, CASE WHEN h64 IS NULL THEN h128 WHEN h128 IS NULL THEN h64 ELSE (h64 + h128) / 2 END AS rm, CASE WHEN h64 IS NOT NULL AND h128 IS NOT NULL THEN abs(h64 - h128) / 2 WHEN h64 IS NOT NULL OR h128 IS NOT NULL THEN 0e0 END AS rd, lag(e20) OVER (ORDER BY row_id) AS le FROM hu JOIN ev20 USING (row_id)),
+rg AS (SELECT *, """ + ", ".join(f"{over(f'quantile_cont({x}, {p})', x, 252, 126, 1)} AS {x}_{n}" for x in ("h128", "rm") for n, p in (("lo", 0.33), ("hi", 0.67))) + f", {z('le', 252, 126)} AS vzs FROM hm)"
 FOLD = EVENTS + """, ps AS (SELECT row_id, e, row_number() OVER (ORDER BY row_id) - 1 AS pos FROM ev),
 fs AS (SELECT min(pos) AS first FROM (SELECT p.pos, (SELECT count(*) FROM ps q WHERE q.e < p.row_id AND q.pos < p.pos - 3) AS done FROM ps p) WHERE done >= 280 AND pos >= 280),
 bl AS (SELECT ps.*, ntile(5) OVER (ORDER BY pos) AS fold_id FROM ps, fs WHERE pos >= first),
@@ -152,6 +168,14 @@ CPCV = EVENTS + """, ps AS (SELECT row_id, e, ntile(8) OVER (ORDER BY row_id) -
 sp AS (SELECT *, (SELECT count(*) FROM ps WHERE row_id <= z) AS late FROM s0),
 ch AS (SELECT row_number() OVER (ORDER BY x.g, y.g) - 1 AS split_id, x.g AS g1, y.g AS g2, x.a AS a1, x.z AS z1, y.a AS a2, y.z AS z2, x.late AS l1, y.late AS l2 FROM sp x JOIN sp y ON x.g < y.g),
 cm AS (SELECT split_id, g1 || '|' || g2 AS test_groups, CASE WHEN g IN (g1, g2) THEN 'validation' WHEN (row_id <= z1 AND e >= a1) OR (row_id <= z2 AND e >= a2) THEN 'purged' WHEN (pos >= l1 AND pos < l1 + 4) OR (pos >= l2 AND pos < l2 + 4) THEN 'embargoed' ELSE 'train' END AS role FROM ps CROSS JOIN ch)"""
+STATS = {"balanced_accuracy": "(tp / (tp + fn) + tn / (tn + fp)) / 2", "macro_f1": "(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) + coalesce(2 * tn / nullif(2 * tn + fp + fn, 0), 0)) / 2", "recall_down": "tn / (tn + fp)", "recall_up": "tp / (tp + fn)", "brier_score": "brier / n", "expected_calibration_error": "(" + " + ".join(f"abs(d{i})" for i in range(10)) + ") / n", "candidate_mean_net_return": "candidate / n", "paired_mean_net_return": "paired / n"}
+JOINT = LEDGER + f""", pr AS (SELECT sc.horizon, sc.row_id, sc.y, sc.p, sc.r, led.active, led.candidate, led.cash, led.always_long, led.always_short, led.momentum, led.trend, row_number() OVER (PARTITION BY horizon ORDER BY row_id) - 1 AS pos, count(*) OVER (PARTITION BY horizon) AS n, {BIN('>=')} AS bin FROM sc JOIN led USING (horizon, row_id)),
+js AS (SELECT DISTINCT horizon, n FROM pr),
+jd AS (SELECT horizon, n, b.block, i.range AS iter, ((i.range * 7919 + k.range * 104729 + b.block * 1299709 + 42) * 48271) % 2147483647 % (n - b.block + 1) AS a, least(b.block, n - k.range * b.block) AS size FROM js, (VALUES (5), (10), (20)) b(block), range(110) i, range(100000) k WHERE k.range < ceil(n / CAST(b.block AS DOUBLE))),
+jt AS (SELECT jd.horizon, jd.block, jd.iter, any_value(jd.n) AS n, CAST(count(*) FILTER (WHERE p >= 0.5 AND y = 1) AS DOUBLE) AS tp, CAST(count(*) FILTER (WHERE p >= 0.5 AND y = 0) AS DOUBLE) AS fp, CAST(count(*) FILTER (WHERE p < 0.5 AND y = 0) AS DOUBLE) AS tn, CAST(count(*) FILTER (WHERE p < 0.5 AND y = 1) AS DOUBLE) AS fn, sum((p - y) * (p - y)) AS brier, sum(candidate) AS candidate, sum(candidate - always_long) AS paired, {", ".join(f"coalesce(sum(y - p) FILTER (WHERE bin = {i}), 0) AS d{i}" for i in range(10))} FROM jd JOIN pr ON pr.horizon = jd.horizon AND pos >= a AND pos < a + size GROUP BY 1, 2, 3),
+jr AS (SELECT *, row_number() OVER (PARTITION BY horizon, block ORDER BY iter) AS rk FROM jt WHERE tp + fn > 0 AND tn + fp > 0),
+jl AS ({" UNION ALL ".join(f"SELECT horizon, block, '{k}' AS statistic, {v} AS v FROM jr WHERE rk <= 100" for k, v in STATS.items())}),
+jc AS (SELECT horizon, CAST(block AS BIGINT) AS block, statistic, count(*) AS n, quantile_cont(v, 0.025) AS low, quantile_cont(v, 0.975) AS high FROM jl GROUP BY 1, 2, 3)"""
 COUNTS = "count(*) FILTER (WHERE role = 'train') AS n_train, count(*) FILTER (WHERE role = 'purged') AS n_purged, count(*) FILTER (WHERE role = 'embargoed') AS n_embargoed, count(*) FILTER (WHERE role = 'validation') AS n_validation, count(*) FILTER (WHERE role <> 'validation') AS n_raw"
 SHOW = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in ("open", "high", "low", "close", "volume"))
 SHOW8 = SHOW.replace(", 6)", ", 8)")
@@ -159,6 +183,48 @@ DAY = "strftime(date, '%Y-%m-%d') AS date"
 QT = lambda c, x: f"round(quantile_cont({c}, {x}), 6) + 0.0"
 MET = SCORED + f", k AS (SELECT horizon, count(*) AS n, {conf()}, avg((p - y) * (p - y)) AS brier, avg(CASE WHEN y = 1 THEN -ln(p) ELSE -ln(1 - p) END) AS log_loss FROM sc GROUP BY 1), au AS ({AUC}), ec AS ({ECE})"
 
+def gate_sql() -> str:
+    """The gate over the same evidence; the deflated ratio is compared as a z value."""
+    from statistics import NormalDist
+
+    inv, g = NormalDist().inv_cdf, 0.5772156649015329
+    top, least = (1 - g) * inv(1 - 1 / 12) + g * inv(1 - 1 / (12 * math.e)), inv(0.95)
+    names = ["cash", "always_long", "always_short", "momentum", "trend"]
+    part = JOINT.replace("SELECT *, 1 / (1 + exp(-z20 / 4)) AS p", "SELECT *, 1 / (1 + exp(-z20 / 4)) AS p")
+    trials = PBO.split("sc AS (", 1)[1].split(", tr AS", 1)[1]
+    tests = {
+        "median_balanced_accuracy": "mba >= 0.6", "four_of_five_at_055": "n55 >= 4", "no_material_fold_below_chance": "wba >= 0.5", "pooled_macro_f1": "pf1 >= 0.55", "pooled_recall_down": "prd >= 0.5", "pooled_recall_up": "pru >= 0.5",
+        "primary_ci_excludes_chance": "ci_low > 0.5", "ci_sensitivity_excludes_chance": "low5 > 0.5 AND low20 > 0.5", "brier_noninferiority": "cb - bb <= 0.005", "ece_noninferiority": "ce - be <= 0.01",
+        "classification_baseline_noninferiority": "pba >= 0.5 AND pba >= sba", "paired_return_ci_nonnegative": "paired_low >= 0", "baseline_cost_net_positive": "net > 0", "stress_cost_net_positive": "stress_net > 0",
+        "economic_benchmark_noninferiority": " AND ".join(f"total >= of_{b}" for b in names), "minimum_trade_count": "trades >= 30", "pbo_evaluable_and_passes": "pbo <= 0.2", "dsr_evaluable_and_passes": "dz >= " + repr(least),
+        "required_qa_flags_present": "false", "all_qa_flags_pass": "false",
+    }
+    failed = "concat_ws('|', " + ", ".join(f"CASE WHEN coalesce({t}, false) THEN NULL ELSE '{n}' END" for n, t in tests.items()) + ")"
+    rates = {k: RATES[k] for k in ("balanced_accuracy", "macro_f1", "recall_down", "recall_up")}
+    edges = " + ".join(f"CAST(b >= {i / 10!r}::DOUBLE AS INT)" for i in range(1, 10))
+    return part + f""", tr AS{trials},
+fo AS (SELECT *, ntile(5) OVER (PARTITION BY horizon ORDER BY row_id) AS fold FROM pr),
+fc AS (SELECT horizon, fold, count(*) AS n, CAST(sum(y) AS DOUBLE) AS ups, {conf()} FROM fo GROUP BY 1, 2),
+fm AS (SELECT horizon, {rates['balanced_accuracy']} AS ba FROM fc),
+fg AS (SELECT horizon, median(ba) AS mba, count(*) FILTER (WHERE ba >= 0.55) AS n55, min(ba) AS wba FROM fm GROUP BY 1),
+pc AS (SELECT horizon, count(*) AS n, {conf()}, avg((p - y) * (p - y)) AS cb, count(*) FILTER (WHERE active) AS trades, sum(candidate) AS total, {", ".join(f"sum({b}) AS of_{b}" for b in names)} FROM pr GROUP BY 1),
+pg AS (SELECT *, {rates['balanced_accuracy']} AS pba, {rates['macro_f1']} AS pf1, {rates['recall_down']} AS prd, {rates['recall_up']} AS pru FROM pc),
+sg AS (SELECT horizon, {rates['balanced_accuracy']} AS sba FROM (SELECT horizon, {conf()} FROM (SELECT horizon, y, CASE WHEN r >= 0 THEN 1 ELSE 0 END AS p FROM pr) GROUP BY 1)),
+bs AS (SELECT horizon, fold, n, ups, coalesce(sum(ups) OVER w / sum(n) OVER w, 0.5) AS b FROM fc WINDOW w AS (PARTITION BY horizon ORDER BY fold ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+bi AS (SELECT horizon, {edges} AS bin, sum(n) AS n, abs(sum(ups - n * b)) AS gap, sum(ups * (1 - 2 * b) + n * b * b) AS loss FROM bs GROUP BY 1, 2),
+bg AS (SELECT horizon, sum(loss) / sum(n) AS bb, sum(gap) / sum(n) AS be FROM bi GROUP BY 1),
+eg AS ({ECE}),
+ci AS (SELECT horizon, max(low) FILTER (WHERE statistic = 'balanced_accuracy' AND block = 10) AS ci_low, max(low) FILTER (WHERE statistic = 'balanced_accuracy' AND block = 5) AS low5, max(low) FILTER (WHERE statistic = 'balanced_accuracy' AND block = 20) AS low20, max(low) FILTER (WHERE statistic = 'paired_mean_net_return' AND block = 10) AS paired_low FROM jc GROUP BY 1),
+tm AS (SELECT trial_id, count(*) AS n, avg(ret) AS mu, stddev_pop(ret) AS sd, avg(ret) / nullif(stddev_samp(ret), 0) AS sr FROM tr GROUP BY 1),
+t3 AS (SELECT trial_id, any_value(tm.n) AS n, any_value(sr) AS sr, avg(pow((ret - mu) / sd, 3)) AS g3, avg(pow((ret - mu) / sd, 4)) AS g4 FROM tr JOIN tm USING (trial_id) GROUP BY 1),
+dz AS (SELECT trial_id // 10 AS horizon, (sr - {top!r} * (SELECT stddev_samp(sr) FROM t3)) * sqrt(n - 1) / sqrt(1 - g3 * sr + (g4 - 1) / 4 * sr * sr) AS dz FROM t3 WHERE trial_id % 10 = 1),
+al2 AS (SELECT avg(CASE WHEN logit <= 0 THEN 1e0 ELSE 0e0 END) AS pbo FROM lo2),
+ev2 AS (SELECT *, exp(total) - 1 AS net, exp(total - trades * {math.log1p(10 / 1e4) - math.log1p(5 / 1e4)!r}) - 1 AS stress_net, ece_weighted AS ce FROM fg JOIN pg USING (horizon) JOIN sg USING (horizon) JOIN bg USING (horizon) JOIN eg USING (horizon) JOIN ci USING (horizon) JOIN dz USING (horizon) CROSS JOIN al2)
+SELECT horizon, round(pba, 5) + 0.0 AS pooled_balanced_accuracy, round(ci_low, 5) + 0.0 AS ci_low, round(paired_low, 5) + 0.0 AS paired_low, round(cb, 5) + 0.0 AS candidate_brier, round(bb, 5) + 0.0 AS baseline_brier, round(ce, 5) + 0.0 AS candidate_ece, round(be, 5) + 0.0 AS baseline_ece, round(net, 5) + 0.0 AS net, round(stress_net, 5) + 0.0 AS stress_net, trades, round(pbo, 5) + 0.0 AS pbo, {failed} AS failed_checks, {failed} = '' AS promoted FROM ev2"""
+
+
+GATE = gate_sql()
+
 SQL = {
     "ohlcv_bars": f"WITH {BARS} SELECT symbol, row_id, {DAY}, {SHOW} FROM bars",
     "bars_panel": f"WITH {PANEL} SELECT symbol, row_id, {DAY}, {SHOW8} FROM panel",
@@ -175,6 +241,9 @@ SQL = {
     "feat_calendar": q({"dow_sin": "sin(2 * pi() * (isodow(date) - 1) / 5)", "dow_cos": "cos(2 * pi() * (isodow(date) - 1) / 5)", "month_sin": "sin(2 * pi() * (month(date) - 1) / 12)", "month_cos": "cos(2 * pi() * (month(date) - 1) / 12)"}),
     "feat_trend_regime": q({"trend_efficiency_20": "eff", "trend_regime": "CASE WHEN eff IS NOT NULL AND m IS NOT NULL THEN CASE WHEN eff > 0.45 AND m > 0 THEN 1 WHEN eff > 0.45 AND m < 0 THEN -1 ELSE 0 END END", "trend_regime_available": "CASE WHEN eff IS NOT NULL AND m IS NOT NULL THEN 1 ELSE 0 END"}, "t", BASE + f", t AS (SELECT row_id, abs(lp - {shift('lp', 20)}) / nullif({over('sum(abs(r))', 'r', 20)}, 0) AS eff, lp - {shift('lp', 20)} AS m FROM b)"),
     "feat_ewm": f"WITH RECURSIVE {EWM} SELECT row_id, {R6('CASE WHEN row_id >= 14 AND e.l > 0 THEN 1 - 1 / (1 + e.g / e.l) END', 'rsi_14')}, {R6('CASE WHEN row_id >= 13 THEN e.tr / x0.close END', 'atr_14_normalized')}, {R6('CASE WHEN row_id >= 25 THEN f - s END', 'macd')}, {R6('CASE WHEN row_id >= 33 THEN sg END', 'macd_signal')}, {R6('CASE WHEN row_id >= 33 THEN f - s - sg END', 'macd_histogram')} FROM e JOIN x0 USING (row_id)",
+    "feat_ewm_vol": f"WITH RECURSIVE {EWV} SELECT row_id, {R6('e20', 'ewma_vol_20')}, {R6('e63', 'ewma_vol_63')}, {R6('e20 / nullif(e63, 0)', 'vol_ratio_20_63')} FROM ev20",
+    "feat_hurst": f"WITH {BASE}, {HURST} SELECT row_id, {R6('r64', 'hurst_rs_single_scale_legacy_64')}, {R6('r128', 'hurst_rs_single_scale_legacy_128')}, {R6('h64', 'hurst_dfa1_64')}, {R6('h128', 'hurst_dfa1_128')} FROM hu",
+    "feat_regimes": f"WITH RECURSIVE {REGIMES} SELECT row_id, " + ", ".join(f"round(CAST({e} AS DOUBLE), 5) + 0.0 AS {n}" for n, e in {"hurst_dfa1_available": "CASE WHEN h128 IS NULL THEN 0 ELSE 1 END", "hurst_regime": RG.format(x="h128"), "hurst_regime_available": "CASE WHEN h128 IS NOT NULL AND h128_lo IS NOT NULL THEN 1 ELSE 0 END", "hurst_robust_median": "rm", "hurst_robust_dispersion": "rd", "hurst_robust_low_threshold": "rm_lo", "hurst_robust_high_threshold": "rm_hi", "hurst_robust_regime": RG.format(x="rm"), "hurst_robust_available": "CASE WHEN rm IS NOT NULL AND rm_lo IS NOT NULL THEN 1 ELSE 0 END", "volatility_zscore": "vzs"}.items()) + " FROM rg",
     "labels_all_horizons": f"WITH {LABELS} SELECT horizon, row_id, strftime(date, '%Y-%m-%d') AS decision_timestamp, strftime(avail_ts, '%Y-%m-%d') AS available_timestamp, strftime(entry_ts, '%Y-%m-%d') AS entry_timestamp, strftime(exit_ts, '%Y-%m-%d') AS exit_timestamp, {R6('(exp(thr) - 1) * 1e4', 'threshold_bps')}, {R6('s_ret', 'statistical_forward_log_return')}, {R6('e_ret', 'executable_forward_log_return')}, CAST(s_dir AS DOUBLE) AS statistical_direction_binary, CAST(e_dir AS DOUBLE) AS executable_direction_binary, {R6('thr', 'direction_threshold')}, CASE WHEN e_ret IS NOT NULL AND thr IS NOT NULL THEN CASE WHEN e_ret > thr THEN 1e0 WHEN e_ret < -thr THEN -1e0 ELSE 0e0 END END AS executable_direction_three_class, act AS is_actionable, row_id + horizon AS label_end_index, row_id + 1 + horizon AS executable_label_end_index, eligible AS is_modeling_eligible FROM labels",
     "eligible_counts": f"WITH {LABELS} SELECT horizon, count(*) AS n_rows, count(*) FILTER (WHERE eligible) AS n_eligible, count(*) FILTER (WHERE act) AS n_actionable FROM labels GROUP BY 1",
     "class_balance": f"WITH {LABELS} SELECT symbol, horizon, count(*) AS n_labeled, count(*) FILTER (WHERE e_ret > 0) AS n_up, count(*) FILTER (WHERE e_ret <= 0) AS n_down, {R6('avg(CASE WHEN e_ret > 0 THEN 1e0 ELSE 0e0 END)', 'up_rate')}, {R6('avg(CASE WHEN e_ret <= 0 THEN 1e0 ELSE 0e0 END)', 'down_rate')} FROM labels WHERE e_ret IS NOT NULL GROUP BY 1, 2",
@@ -210,6 +279,16 @@ SQL = {
     "reconciliation_of_faults": f"WITH RECURSIVE {ONE}, b0x AS (SELECT row_id, open AS entry_price FROM bars), t0 AS (SELECT 'h' || horizon || '_row' || row_id AS sid, CASE WHEN p > 0.5 THEN 1 ELSE -1 END AS e_dir, entry_ts AS e_in, exit_ts AS e_out, month(entry_ts) AS mo, day(entry_ts) AS dy, horizon, row_id FROM taken), t1 AS (SELECT *, CASE WHEN mo = 2 AND dy = 6 THEN -e_dir ELSE e_dir END AS dir, CASE WHEN mo = 3 AND dy = 7 THEN e_in ELSE e_out END AS x_out, CASE WHEN mo = 4 AND dy = 8 THEN 0 ELSE 1 END AS price, CASE WHEN mo = 5 AND dy = 9 THEN -1 ELSE 1 END AS spread, CASE WHEN mo = 6 AND dy = 10 THEN '' WHEN mo = 7 AND dy = 11 THEN 'same' ELSE sid END AS oid, CASE WHEN mo = 8 AND dy = 12 THEN sid || '-x' ELSE sid END AS tid FROM t0 WHERE NOT (mo = 1 AND dy = 5)), t2 AS (SELECT *, sid AS did FROM t1 UNION ALL SELECT * REPLACE (oid || '-2' AS oid), sid || '-2' FROM t1 WHERE mo = 9 AND dy = 13), t3 AS (SELECT *, count(*) OVER (PARTITION BY tid) AS t_n FROM t2), j AS (SELECT e.sid, e.e_dir AS ed, e.e_out AS eo, t.* EXCLUDE (sid, e_dir, e_out) FROM t0 e FULL JOIN t3 t ON e.sid = t.tid), j2 AS (SELECT *, sid IS NOT NULL AND tid IS NOT NULL AS bo FROM j) SELECT count(*) FILTER (WHERE bo) AS matched, count(*) FILTER (WHERE tid IS NULL) AS missing, count(*) FILTER (WHERE sid IS NULL) AS unexpected, count(*) FILTER (WHERE t_n > 1) AS repeated, count(*) FILTER (WHERE bo AND ed <> dir) AS wrong_direction, count(*) FILTER (WHERE bo AND eo <> x_out) AS wrong_time, count(*) FILTER (WHERE tid IS NOT NULL AND x_out <= e_in) AS bad_exit, count(*) FILTER (WHERE price = 0) AS bad_price, count(*) FILTER (WHERE spread < 0) AS bad_cost, count(*) FILTER (WHERE oid = '') AS bad_ticket, (SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM t2 WHERE oid <> '' GROUP BY oid)) AS repeated_order_id, 0::BIGINT AS repeated_deal_id, 'FAIL' AS verdict FROM j2",
     "calibration_line": "WITH RECURSIVE " + SCORED + ", xy AS MATERIALIZED (SELECT horizon, ln(least(greatest(p, 1e-6), 1 - 1e-6) / (1 - least(greatest(p, 1e-6), 1 - 1e-6))) AS x, CAST(y AS DOUBLE) AS y FROM sc), nw AS (SELECT horizon, 0 AS k, 0e0 AS a, 0e0 AS b FROM (SELECT DISTINCT horizon FROM xy) UNION ALL SELECT horizon, k + 1, a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) FROM (SELECT n.horizon, any_value(n.k) AS k, any_value(n.a) AS a, any_value(n.b) AS b, sum(y - q) AS g0, sum((y - q) * x) AS g1, sum(q * (1 - q)) AS h00, sum(q * (1 - q) * x) AS h01, sum(q * (1 - q) * x * x) AS h11 FROM (SELECT n.*, xy.x, xy.y, 1 / (1 + exp(-(n.a + n.b * xy.x))) AS q FROM nw n JOIN xy USING (horizon) WHERE n.k < 12) n GROUP BY 1)) SELECT 'ORDERS' AS symbol, horizon, round(a, 5) + 0.0 AS intercept, round(b, 5) + 0.0 AS slope FROM nw WHERE k = 12",
     "label_aliases": f"WITH {LABELS} SELECT horizon, row_id, 'separated_statistical_executable_direction_v3' AS target_policy_id, {R6('s_ret', 'forward_log_return')}, CAST(s_dir AS DOUBLE) AS direction_binary, " + ", ".join(f"CASE WHEN e_ret IS NOT NULL AND thr IS NOT NULL THEN CASE WHEN e_ret > thr THEN 1e0 WHEN e_ret < -thr THEN -1e0 ELSE 0e0 END END AS {n}" for n in ("direction_three_class", "actionable_direction_three_class")) + f", {R6('thr', 'actionable_threshold_log_return')}, {R6('(exp(thr) - 1) * 1e4', 'direction_threshold_bps')}, {R6('(exp(thr) - 1) * 1e4', 'actionable_threshold_bps')} FROM labels",
+    "joint_bootstrap_ci": f"WITH RECURSIVE {JOINT} SELECT 'ORDERS' AS symbol, horizon, block, statistic, n, {R6('low', 'low')}, {R6('high', 'high')} FROM jc",
+    "trial_sharpes": f"WITH {TRIALS} SELECT trial_id, {R6('CASE WHEN stddev_samp(ret) > 0 THEN avg(ret) / stddev_samp(ret) * sqrt(252e0) ELSE 0e0 END', 'annualised')}, {R6('avg(ret) / nullif(stddev_samp(ret), 0)', 'signed')} FROM tr GROUP BY 1",
+    "promotion_gate": f"WITH RECURSIVE {GATE}",
+    "stability_selection": f"WITH {SCORED}, cs AS (SELECT *, ntile(5) OVER (PARTITION BY horizon ORDER BY row_id) AS fold_id FROM sc), cd AS (SELECT horizon, fold_id, row_id, y, 'level' AS candidate, p FROM cs UNION ALL SELECT horizon, fold_id, row_id, y, 'return', 1 / (1 + exp(-r * 20e0)) FROM cs UNION ALL SELECT horizon, fold_id, row_id, y, 'trend', 1 / (1 + exp(-m20 * 5e0)) FROM cs), cf AS (SELECT horizon, candidate, fold_id, {conf()} FROM cd GROUP BY 1, 2, 3), cr AS (SELECT *, {RATES['balanced_accuracy']} AS ba, {RATES['macro_f1']} AS f1 FROM cf), st AS (SELECT horizon, candidate, median(ba) AS median_ba, median(f1) AS median_f1, stddev_pop(ba) AS std_ba FROM cr WHERE fold_id < 5 GROUP BY 1, 2), be AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY horizon ORDER BY median_ba DESC, median_f1 DESC, std_ba, candidate) AS k FROM st) WHERE k = 1), la AS (SELECT cd.* FROM cd JOIN be USING (horizon, candidate) WHERE fold_id = 5), g AS (SELECT horizon, t AS threshold, 0 AS fst, {conf('t')} FROM la CROSS JOIN (SELECT unnest([{', '.join(f'{t!r}::DOUBLE' for t in GRID_T)}]) AS t) GROUP BY 1, 2 UNION ALL SELECT horizon, 0.5::DOUBLE, 1, {conf()} FROM la GROUP BY 1), gr AS (SELECT *, {RATES['balanced_accuracy']} AS ba, {RATES['macro_f1']} AS f1 FROM g), gb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY horizon ORDER BY ba DESC, f1 DESC, abs(threshold - 0.5), fst DESC, threshold) AS k FROM gr) WHERE k = 1) SELECT 'ORDERS' AS symbol, be.horizon, candidate, {R6('median_ba', 'median_ba')}, {R6('median_f1', 'median_f1')}, {R6('std_ba', 'std_ba')}, {R6('threshold', 'threshold')}, {R6('ba', 'balanced_accuracy')} FROM be JOIN gb USING (horizon)",
+    "signal_replay": f"WITH RECURSIVE {greedy('row_id + 1', 'row_id + 1 + horizon', 'abs(p - 0.5) > 1e-12')}, sn AS (SELECT 'H' || horizon AS symbol, entry_ts, exit_ts, CASE WHEN p > 0.5 THEN 1 ELSE -1 END AS direction, 'row' || row_id || '_entry' || (row_id + 1) || '_exit' || (row_id + 1 + horizon) AS signal_id FROM taken) SELECT sn.symbol, strftime(entry_ts, '%Y-%m-%d') AS time, 'open' AS event, signal_id, direction, {R6('b.open', 'price')} FROM sn JOIN bars b ON b.date = entry_ts UNION ALL SELECT sn.symbol, strftime(exit_ts, '%Y-%m-%d'), 'close', signal_id, direction, {R6('b.open', 'price')} FROM sn JOIN bars b ON b.date = exit_ts",
+    "signal_contract": f"WITH RECURSIVE {ONE}, sg AS (SELECT horizon, entry_ts, exit_ts, lag(entry_ts) OVER (PARTITION BY horizon ORDER BY entry_ts) AS bf FROM taken) SELECT horizon, count(*) AS n_rows, count(*) FILTER (WHERE entry_ts <= bf) AS entry_not_after, count(*) FILTER (WHERE exit_ts <= entry_ts) AS exit_not_after, 0::BIGINT AS bad_direction, 0::BIGINT AS repeated_id FROM sg GROUP BY 1",
+    "frame_fingerprint": f"WITH {BARS} SELECT count(*) AS n, CAST(sum(CAST(concat('0x', substr(md5(CAST(CAST(row_id AS BIGINT) AS VARCHAR) || '|' || CAST(CAST(volume AS BIGINT) AS VARCHAR)), 1, 12)) AS BIGINT)) AS BIGINT) AS digest FROM bars",
+    "source_differences": f"WITH {BARS}, l AS (SELECT * FROM bars), r AS (SELECT row_id, " + ", ".join(f"round({c}, 0) AS {c}" for c in ("open", "high", "low", "close")) + ", volume FROM bars WHERE row_id >= 5) SELECT count(*) FILTER (WHERE r.row_id IS NULL) AS only_left, count(*) FILTER (WHERE l.row_id IS NULL) AS only_right, " + ", ".join(f"count(*) FILTER (WHERE r.row_id IS NOT NULL AND abs(l.{c} - r.{c}) > 0.25) AS {c}" for c in ("open", "high", "low", "close", "volume")) + " FROM l FULL JOIN r USING (row_id)",
+    "nested_containment": f"WITH {NEST} SELECT outer_fold, fold_id, count(*) AS n_rows, count(*) FILTER (WHERE nm.row_id NOT IN (SELECT t.row_id FROM tr t WHERE t.outer_fold = nm.outer_fold)) AS n_outside FROM nm GROUP BY 1, 2",
+    "fold_metadata": f"WITH {FOLD}, fk AS (SELECT fold_id, count(*) FILTER (WHERE role = 'train') AS n_train, count(*) FILTER (WHERE role = 'purged') AS n_purged, count(*) FILTER (WHERE role = 'validation') AS n_validation, min(row_id) FILTER (WHERE role = 'validation') AS first_validation_row FROM fm GROUP BY 1) SELECT fold_id, row_id, n_train, n_purged, n_validation, first_validation_row FROM fm JOIN fk USING (fold_id) WHERE role = 'validation'",
     "trial_alignment": f"WITH {TRIALS} SELECT trial_id, count(*) AS n, min(row_id) AS first, max(row_id) AS last, {R6('sum(ret)', 'total')} FROM al GROUP BY 1",
     "pbo_cscv": f"WITH {PBO} SELECT count(*) AS n_splits, round(avg(CASE WHEN logit <= 0 THEN 1e0 ELSE 0e0 END), 5) + 0.0 AS pbo, round(median(logit), 5) + 0.0 AS median_logit FROM lo2",
     "sharpe_moments": f"WITH {TRIALS}, mo AS (SELECT trial_id, count(*) AS n, avg(ret) / nullif(stddev_samp(ret), 0) AS sharpe, avg(ret) AS mu, stddev_pop(ret) AS sd FROM tr GROUP BY 1), m3 AS (SELECT trial_id, any_value(n) AS n, any_value(sharpe) AS sharpe, avg(pow((ret - mu) / sd, 3)) AS skew, avg(pow((ret - mu) / sd, 4)) AS kurtosis FROM tr JOIN mo USING (trial_id) GROUP BY 1) SELECT trial_id, n, {R6('sharpe', 'sharpe')}, {R6('skew', 'skew')}, {R6('kurtosis', 'kurtosis')}, {R6('sharpe * sqrt(n - 1) / sqrt(1 - skew * sharpe + (kurtosis - 1) / 4 * sharpe * sharpe)', 'psr_z')} FROM m3",

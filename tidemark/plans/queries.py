@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import audit, asof, features, labels, metrics, models, multiplicity, schedule, splits
+from ..operators import audit, asof, features, labels, metrics, models, multiplicity, promotion, schedule, splits
 from ..sources import bars as B
 
 KEYS = ["symbol", "horizon"]
@@ -81,15 +81,50 @@ def folds_of(spark, sf) -> DataFrame:
     return splits.walk_forward(events_frame(spark, sf), 5, 280, 3)
 
 
-def ml_oof(spark, sf) -> DataFrame:
+def learning_rows(spark, sf, h: int) -> tuple[DataFrame, list[str], DataFrame]:
+    """(rows with features, y and what a ledger needs; feature names; events) of one horizon."""
     b = orders(spark, sf)
-    df = features.base(b)
     cols = {**features.returns(), **features.momentum(), **features.volumes()}
-    x = df.withColumns(cols).select("symbol", "row_id", *cols)
-    y = labels.horizon_labels(b, 5).where("is_modeling_eligible").select("symbol", "row_id", F.col("executable_direction_binary").alias("y"))
-    rows = x.join(y, ["symbol", "row_id"]).cache()
-    folds = splits.walk_forward(events_frame(spark, sf), 3).cache()
-    return models.out_of_fold(rows, folds, list(cols)).select("fold_id", "row_id", "y", "p")
+    x = features.base(b).withColumns(cols).select("symbol", "row_id", *cols)
+    s = labels.scored(b, (h,)).select("symbol", "horizon", "row_id", "y", "entry_row_index", "exit_row_index", "entry_timestamp", "exit_timestamp", "executable_forward_log_return", "r", F.col("momentum_20").alias("m20"), "volatility_zscore", F.col("executable_label_end_index").alias("label_end_index"))
+    rows = s.join(x, ["symbol", "row_id"]).cache()
+    return rows, list(cols), rows.select("symbol", "row_id", "label_end_index")
+
+
+def ml_oof(spark, sf) -> DataFrame:
+    """Out-of-fold probabilities of the logistic candidate for every horizon."""
+    out = None
+    for h in labels.HORIZONS:
+        rows, names, events = learning_rows(spark, sf, h)
+        got = models.out_of_fold(rows, splits.walk_forward(events, 3).cache(), names).select("horizon", "fold_id", "row_id", "y", "p")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def candidate_scores(spark, sf) -> DataFrame:
+    """Three scores of the trial arms as candidates, with the fold of each row."""
+    s = scored(spark, sf).withColumn("fold_id", F.ntile(5).over(Window.partitionBy(*KEYS).orderBy("row_id")))
+    up = lambda x, k: 1 / (1 + F.exp(-x * k))
+    arms = F.explode(F.array(F.struct(F.lit("level").alias("candidate"), F.col("p").alias("p")), F.struct(F.lit("return").alias("candidate"), up(F.col("r"), 20.0).alias("p")), F.struct(F.lit("trend").alias("candidate"), up(F.col("momentum_20"), 5.0).alias("p"))))
+    return s.select(*KEYS, "fold_id", "row_id", "y", arms.alias("a")).select(*KEYS, "fold_id", "row_id", "y", "a.*")
+
+
+def replayed(spark, sf) -> DataFrame:
+    """The state machine over the bars and the frozen signals of every horizon, each a symbol of its own."""
+    from ..streaming import replay
+
+    s = schedule.one_position(scored(spark, sf), KEYS, 0.0)
+    name = F.concat(F.lit("H"), F.col("horizon"))
+    signals = s.select(name.alias("symbol"), "entry_timestamp", "exit_timestamp", F.col("signal").alias("direction"), "signal_id")
+    b = orders(spark, sf).select(F.explode(F.array(*[F.lit(f"H{h}") for h in labels.HORIZONS])).alias("symbol"), "date", "open")
+    return rounded(replay.replay(replay.as_events(b, signals)).select("symbol", "time", "event", "signal_id", "direction", "price"))
+
+
+def feature_columns(spark, sf) -> DataFrame:
+    """(selection, n): how many feature columns each Hurst arm and ablation variant takes."""
+    names = [c for c in features.matrix(orders(spark, sf)).columns if c not in BAR and c not in ("lp", "lv", "r", "feature_coverage")]
+    rows = [(a, len(features.arm(names, a))) for a in ("no_hurst", "current_dfa_hurst", "robust_hurst_regime")] + [(a, len(features.ablated(names, a)[0])) for a in features.ABLATIONS]
+    return spark.createDataFrame(rows, "selection string, n long")
 
 
 def book_of(spark, sf) -> tuple[DataFrame, DataFrame]:
@@ -119,15 +154,63 @@ def reconciliation_of_faults(spark, sf) -> DataFrame:
     return rounded(schedule.reconcile(s, t.unionByName(again)))
 
 
+def paired(spark, sf) -> DataFrame:
+    """Scored rows with the net returns of the candidate and of holding long, and the fold of each."""
+    s = scored(spark, sf)
+    book = schedule.ledger(s, KEYS).select(*KEYS, "row_id", "active", "candidate", F.col("always_long").alias("benchmark"), *promotion.BENCHMARKS)
+    return s.join(book, [*KEYS, "row_id"]).withColumn("fold", F.ntile(5).over(Window.partitionBy(*KEYS).orderBy("row_id")))
+
+
+BLOCKS, PRIMARY, ROUNDS = (5, 10, 20), 10, 100
+
+
+def joint_intervals(spark, sf) -> DataFrame:
+    return multiplicity.joint_intervals(multiplicity.joint_bootstrap(paired(spark, sf), KEYS, BLOCKS, ROUNDS), KEYS)
+
+
+def evidence(spark, sf) -> DataFrame:
+    """What the gate judges, of the deterministic score of each horizon.
+
+    The baseline forecasts the share of ups of the earlier folds (the first: one half).  Only one QA flag can be told from the
+    tables: that no training interval overlaps its fold's validation.
+    """
+    from ..operators.labels import bps
+
+    s = paired(spark, sf)
+    m = metrics.rates(s.groupBy(*KEYS, "fold").agg(F.count("*").alias("n"), F.sum("y").alias("ups"), *metrics.confusion(F.lit(0.5))))
+    fold = F.struct(F.concat(F.lit("wf_"), F.col("fold")).alias("fold_id"), "n", "balanced_accuracy", "macro_f1", "recall_down", "recall_up", (F.col("n") >= 30).alias("material"))
+    folds = m.groupBy(*KEYS).agg(F.sort_array(F.collect_list(fold)).alias("folds"))
+    pooled = metrics.classification(s, KEYS).select(*KEYS, *[F.col(c).alias(f"pooled_{c}") for c in ("balanced_accuracy", "macro_f1", "recall_down", "recall_up")], F.col("brier").alias("candidate_brier"), F.col("ece_weighted").alias("candidate_ece"))
+    before = Window.partitionBy(*KEYS).orderBy("fold").rowsBetween(Window.unboundedPreceding, -1)
+    base = m.select(*KEYS, "fold", "n", "ups", F.coalesce(F.sum("ups").over(before) / F.sum("n").over(before), F.lit(0.5)).alias("b"))
+    edge = sum(((F.col("b") >= i / 10).cast("int") for i in range(2, 10)), (F.col("b") >= 0.1).cast("int"))
+    bins = base.withColumn("bin", edge).groupBy(*KEYS, "bin").agg(F.sum("n").alias("n"), F.abs(F.sum(F.col("ups") - F.col("n") * F.col("b"))).alias("gap"), F.sum(F.col("ups") * (1 - 2 * F.col("b")) + F.col("n") * F.col("b") * F.col("b")).alias("loss"))
+    base = bins.groupBy(*KEYS).agg((F.sum("loss") / F.sum("n")).alias("baseline_brier"), (F.sum("gap") / F.sum("n")).alias("baseline_ece"))
+    sign = metrics.rates(s.withColumn("p", F.when(F.col("r") >= 0, 1.0).otherwise(0.0)).groupBy(*KEYS).agg(*metrics.confusion(F.lit(0.5)))).select(*KEYS, F.col("balanced_accuracy").alias("sign_accuracy"))
+    ci = joint_intervals(spark, sf).where("statistic in ('balanced_accuracy', 'paired_mean_net_return')")
+    pick = lambda c, b: F.max(F.when((F.col("statistic") == c) & (F.col("block") == b), F.col("low")))
+    lows = ci.groupBy(*KEYS).agg(pick("balanced_accuracy", PRIMARY).alias("ci_low"), pick("paired_mean_net_return", PRIMARY).alias("paired_low"), *[pick("balanced_accuracy", b).alias(f"low_{b}") for b in BLOCKS if b != PRIMARY])
+    stress = bps(10.0) - bps(5.0)
+    net = s.groupBy(*KEYS).agg(F.count_if("active").alias("trades"), F.sum("candidate").alias("total"), *[F.sum(b).alias(f"of_{b}") for b in promotion.BENCHMARKS])
+    t = trials(spark, sf).cache()
+    n_trials, = t.agg(F.count_distinct("trial_id")).collect()[0]
+    dsr = spark.createDataFrame([(i // 10, p) for i, p in multiplicity.deflated(t) if i % 10 == 1], "horizon int, dsr double")
+    pbo = multiplicity.pbo_summary(multiplicity.align(t)).select("pbo")
+    overlaps = splits.fold_overlaps(folds_of(spark, sf)).limit(1).count()
+    e = folds.join(pooled, KEYS).join(base, KEYS).join(sign, KEYS).join(lows, KEYS).join(net, KEYS).join(metrics.calibration_line(s, KEYS), KEYS).join(dsr, "horizon", "left").join(F.broadcast(pbo))
+    return e.withColumns({
+        "sensitivity_lows": F.create_map(*[x for b in BLOCKS if b != PRIMARY for x in (F.lit(str(b)), F.col(f"low_{b}"))]),
+        "classification_deltas": F.create_map(F.lit("constant"), F.col("pooled_balanced_accuracy") - 0.5, F.lit("last_sign"), F.col("pooled_balanced_accuracy") - F.col("sign_accuracy")),
+        "net": F.expm1("total"), "stress_net": F.expm1(F.col("total") - F.col("trades") * stress),
+        "economic_deltas": F.create_map(*[x for b in promotion.BENCHMARKS for x in (F.lit(b), F.col("total") - F.col(f"of_{b}"))]),
+        "registry_complete": F.lit(n_trials == 3 * len(labels.HORIZONS)), "qa_flags": F.create_map(F.lit("leakage_free"), F.lit(overlaps == 0)),
+    })
+
+
 def gate(spark, sf) -> DataFrame:
-    """Evidence of each horizon from the deterministic score, judged."""
-    s = scored(spark, sf).withColumn("fold", F.ntile(5).over(Window.partitionBy(*KEYS).orderBy("row_id")))
-    m = metrics.rates(s.groupBy(*KEYS, "fold").agg(*metrics.confusion(F.lit(0.5))))
-    med = lambda c: F.percentile(c, F.lit(0.5))
-    by_h = m.groupBy(*KEYS).agg(F.count("*").alias("n_folds"), med("balanced_accuracy").alias("median_ba"), med("macro_f1").alias("median_f1"), med("recall_up").alias("median_recall_up"), med("recall_down").alias("median_recall_down"), F.count_if(F.col("balanced_accuracy") >= 0.55).alias("n_floor"), F.min("balanced_accuracy").alias("worst_ba"))
-    book = schedule.ledger(s, KEYS).groupBy(*KEYS).agg(F.count_if("active").alias("trades"), F.sum("candidate").alias("net"))
-    e = by_h.join(book, KEYS).withColumns({"ci_low": F.col("worst_ba"), "brier_delta": F.lit(0.0), "ece_delta": F.lit(0.0), "pbo": F.lit(None).cast("double"), "dsr": F.lit(None).cast("double")})
-    return rounded(multiplicity.promotion(e).select("horizon", "median_ba", "trades", "failed_checks", "promoted"))
+    """The decision on each horizon, with the figures behind it."""
+    e = promotion.promotion(evidence(spark, sf))
+    return rounded(e.select("horizon", "pooled_balanced_accuracy", "ci_low", "paired_low", "candidate_brier", "baseline_brier", "candidate_ece", "baseline_ece", "net", "stress_net", "trades", "pbo", "failed_checks", "promoted"), 5)
 
 
 def boot(spark, sf) -> DataFrame:
@@ -156,6 +239,8 @@ QUERIES = {
     "feat_ewm": lambda s, d: rounded(features.recursive(orders(s, d), hurst=False).select("row_id", "rsi_14", "atr_14_normalized", "macd", "macd_signal", "macd_histogram"), 6),
     "feat_ewm_vol": lambda s, d: rounded(features.recursive(orders(s, d), hurst=False).select("row_id", "ewma_vol_20", "ewma_vol_63", "vol_ratio_20_63"), 6),
     "feat_hurst": lambda s, d: rounded(features.recursive(orders(s, d)).select("row_id", *[n for n in features.RECURSIVE if "hurst" in n])),
+    "feat_regimes": lambda s, d: rounded(features.regimes(features.recursive(orders(s, d))).select("row_id", *features.REGIMES), 5),
+    "feat_columns": feature_columns,
     "feat_matrix": lambda s, d: rounded(features.matrix(orders(s, d)).select("row_id", "hurst_regime", "hurst_robust_median", "hurst_robust_dispersion", "hurst_robust_low_threshold", "hurst_robust_high_threshold", "hurst_robust_regime", "volatility_zscore", "feature_coverage")),
     "labels_all_horizons": lambda s, d: rounded(labels.all_horizons(orders(s, d)).select(*LABEL_COLUMNS)),
     "label_aliases": lambda s, d: rounded(labels.with_aliases(labels.all_horizons(orders(s, d))).select("horizon", "row_id", "target_policy_id", *labels.ALIASES)),
@@ -196,6 +281,15 @@ QUERIES = {
     "pbo_cscv": lambda s, d: rounded(multiplicity.pbo_summary(multiplicity.align(trials(s, d))), 5),
     "sharpe_moments": lambda s, d: rounded(multiplicity.moments(trials(s, d)).withColumn("psr_z", multiplicity.probabilistic_z())),
     "block_bootstrap_ci": boot,
+    "joint_bootstrap_ci": lambda s, d: rounded(joint_intervals(s, d)),
+    "trial_sharpes": lambda s, d: rounded(multiplicity.trial_sharpes(trials(s, d))),
     "promotion_gate": gate,
+    "stability_selection": lambda s, d: rounded(models.selected(candidate_scores(s, d), KEYS)),
+    "signal_replay": replayed,
+    "signal_contract": lambda s, d: rounded(B.signal_violations(schedule.one_position(scored(s, d), KEYS).select("horizon", F.col("entry_timestamp").alias("entry_time"), F.col("exit_timestamp").alias("exit_time"), F.col("signal").alias("direction"), "signal_id"), ("horizon",))),
+    "frame_fingerprint": lambda s, d: B.fingerprint(orders(s, d), ["row_id", "volume"], 1.0),
+    "source_differences": lambda s, d: rounded(B.differences(orders(s, d), orders(s, d).withColumns({c: F.round(c, 0) for c in B.PRICES}).where("row_id >= 5"), ["symbol", "row_id"], [*B.PRICES, "volume"], 0.25)),
+    "nested_containment": lambda s, d: rounded(splits.uncontained(events_frame(s, d), 5, 3, 500, 200)),
+    "fold_metadata": lambda s, d: rounded(splits.with_fold_metadata(folds_of(s, d)).where("role = 'validation'").select("fold_id", "row_id", "n_train", "n_purged", "n_validation", "first_validation_row")),
     "ml_oof_probabilities": ml_oof,
 }

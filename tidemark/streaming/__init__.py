@@ -1 +1 @@
-"""Event-driven replay."""
+"""Structured Streaming: the replay of frozen signals over arriving bars."""
