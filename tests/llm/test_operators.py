@@ -312,6 +312,52 @@ def test_field_marginals_equal_enumeration():
     assert np.allclose(marginal[0], hit / z) and log_z[0] == pytest.approx(math.log(z)) and log_z[1] == pytest.approx(0)
 
 
+def test_field_gradient_equals_differences():
+    rng = np.random.default_rng(1)
+    chains, truth = [], []
+    for n in (0, 1, 6, 9, 30):
+        at = np.flatnonzero(rng.random(n) < 0.4)
+        chains.append((at, rng.integers(0, 3, len(at)), n))  # word 2 is any other
+        truth.append(rng.integers(0, 2, len(at)).astype(float))
+    field = toxicity.Field(np.array([1.0, -0.5]), -2.0, (0.1, -1.0, 0.3, -0.2))
+
+    def value(word, other, move):
+        f = toxicity.Field(word, other, move)
+        out = -f.marginals(chains)[1].sum()
+        for (_, kinds, _), y in zip(chains, truth, strict=True):
+            out += (np.append(f.word, f.other)[kinds] * y).sum()
+        return out + (f.moves(chains, truth) * f.move).sum()
+
+    got, h = field.gradient(chains, truth), 1e-6
+    start = (field.word, field.other, field.move)
+    for i in range(7):
+        up = [np.array(start[0]), start[1], np.array(start[2])]
+        if i < 2:
+            up[0][i] += h
+        elif i == 2:
+            up[1] += h
+        else:
+            up[2][i - 3] += h
+        assert got[i] == pytest.approx((value(*up) - value(*start)) / h, abs=1e-4)
+
+
+def test_spans_hold_words_between_marked_ones(spark):
+    rng = random.Random(16)
+    texts = []
+    for i in range(400):
+        w = words(rng, 30)
+        if i % 4 == 0:
+            w[9:13] = ["utter", f"n{rng.randrange(10**6)}", "scum", "idiot"]
+        texts.append(" ".join(w))
+    docs = docs_of(spark, texts)
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, labels.where("doc_id < 300"))
+    got = {r.doc_id: r for r in toxicity.tag(docs, model).where("doc_id >= 300").collect()}
+    for i in range(300, 400):
+        tagged = " ".join(texts[i][s.start : s.end] for s in got[i].spans)
+        assert tagged == (" ".join(texts[i].split()[9:13]) if i % 4 == 0 else "")
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     texts, toxic = [], []

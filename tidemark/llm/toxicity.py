@@ -2,10 +2,11 @@
 
 Tokens of a bounded sample of labelled texts are labelled by distant
 supervision: a token of a toxic text is toxic if its word, or a prefix of it,
-occurs in significantly more toxic than clean texts.  The field learns a weight for each
+occurs in significantly more toxic than clean texts, or if it stands among at most ``GAP`` other words between two
+such tokens, so that spans count and not words alone.  The field learns a weight for each
 such word, one for all other words and the transitions, by gradient ascent on
-exact forward-backward marginals.  A run of other words multiplies the forward
-vector by a power of one 2x2 matrix, taken in closed form, so inference is
+exact forward-backward marginals, single and pairwise.  A run of other words multiplies the forward
+vector by a power of one 2x2 matrix, taken in closed form with its derivatives, so inference is
 exact over whole texts at the cost of their marked words.  A text's score is a
 logistic function, fitted on the same sample, of its marginals.
 
@@ -34,6 +35,8 @@ LEXICON = 2000
 #: A word is marked if its toxic rate is above the clean one by so many standard errors.
 SIGMAS = 4.0
 THRESHOLD = 0.3
+#: Most other words between two marked ones that are looked at one by one.
+GAP = 2
 STEPS = 150
 MEMO = 400_000
 EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
@@ -68,42 +71,65 @@ class Marker(dict):
         return found
 
     def chain(self, text: bytes) -> tuple[np.ndarray, np.ndarray, int]:
-        """(positions, words) of the marked words and the number of all words."""
+        """(positions, words) of the marked words, and of others in short gaps between them, and the number of all words."""
         words = text.split()
         codes = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
         at = np.flatnonzero(codes >= 0)
+        for i in np.flatnonzero((np.diff(at) > 1) & (np.diff(at) <= GAP + 1)):
+            codes[at[i] + 1 : at[i + 1]] = len(self.index)
+        at = np.flatnonzero(codes >= 0)
         return at, codes[at], len(words)
 
 
 class Field:
-    """Parameters: ``word`` weights and ``other`` weight of state 1; ``move`` log weights of 0->0, 0->1, 1->0, 1->1."""
+    """Parameters: ``word`` weights and ``other`` weight of state 1; ``move`` log weights of 0->0, 0->1, 1->0, 1->1.
+
+    Word number len(word) is any other word.
+    """
 
     def __init__(self, word: np.ndarray, other: float = -4.0, move=(0.0, -2.0, 0.0, -1.0)):
         self.word, self.other, self.move = np.asarray(word, dtype=float), float(other), np.asarray(move, dtype=float)
 
-    def runs(self, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Powers of the step over an other word, [n, 2, 2], and their log scales."""
-        step = np.exp(self.move.reshape(2, 2)) * np.array([1.0, np.exp(self.other)])
+    def step(self) -> np.ndarray:
+        """The step over an other word."""
+        return np.exp(self.move.reshape(2, 2)) * np.array([1.0, np.exp(self.other)])
+
+    def runs(self, lengths: np.ndarray, slopes: bool = False):
+        """Powers of the step over an other word, [n, 2, 2], and their log scales; with ``slopes`` the powers' derivatives by other and the moves, [n, 5, 2, 2], at the same scale."""
+        step = self.step()
         half, det = (step[0, 0] + step[1, 1]) / 2, step[0, 0] * step[1, 1] - step[0, 1] * step[1, 0]
         root = np.sqrt(max(half * half - det, 1e-300))
         high, low = half + root, half - root
         first = (step - low * np.eye(2)) / (high - low)
-        ratio = (low / high) ** lengths.astype(float)
-        return first + ratio[:, None, None] * (np.eye(2) - first), lengths * np.log(high)
-
-    def marginals(self, chains: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[list[np.ndarray], np.ndarray]:
-        """P(state 1) at each marked word, and log Z of each chain."""
+        second, n, share = np.eye(2) - first, lengths.astype(float), low / high
+        ratio = share**n
+        powers, scale = first + ratio[:, None, None] * second, lengths * np.log(high)
+        if not slopes:
+            return powers, scale
+        # the sum over i of N^i D N^(n-1-i) with N = first + share * second
+        g, last = (1 - ratio) / (1 - share), n * share ** np.maximum(n - 1, 0)
+        d = np.zeros((5, 2, 2))
+        d[0, :, 1] = step[:, 1]
+        for k in range(4):
+            d[1 + k, k // 2, k % 2] = step[k // 2, k % 2]
+        d /= high
+        terms = [(n, first @ d @ first), (g, first @ d @ second + second @ d @ first), (last, second @ d @ second)]
+        return powers, scale, sum(c[:, None, None, None] * m for c, m in terms)
+
+    def marginals(self, chains: list[tuple[np.ndarray, np.ndarray, int]], slopes: bool = False):
+        """P(state 1) at each marked word, and log Z of each chain; with ``slopes`` also the derivatives of the sum of log Z by
+        ``other`` within runs and by the moves: what the chains are expected to hold of each."""
         n = len(chains)
         counts = np.array([len(c[0]) for c in chains], dtype=np.int64)
         starts = np.concatenate([[0], np.cumsum(counts)])
         flat = np.concatenate([c[1] for c in chains]) if n else np.empty(0, np.int64)
-        emit = np.exp(self.word[flat]) if len(flat) else np.empty(0)
+        emit = np.exp(np.append(self.word, self.other)[flat]) if len(flat) else np.empty(0)
         gaps = np.concatenate([np.diff(c[0], prepend=-1) - 1 for c in chains]) if n else np.empty(0, np.int64)
         tails = np.array([c[2] - 1 - (c[0][-1] if len(c[0]) else -1) for c in chains], dtype=np.int64)
-        power, scale = self.runs(gaps)
-        end, end_scale = self.runs(tails)
+        power, scale, *power_slopes = self.runs(gaps, slopes)
+        end, end_scale, *end_slopes = self.runs(tails, slopes)
         step = np.exp(self.move.reshape(2, 2))
-        forward = np.zeros((len(flat), 2))
+        forward, expected = np.zeros((len(flat), 2)), np.zeros(5)
         carry, log_z = np.tile([1.0, 0.0], (n, 1)), np.zeros(n)
         longest = int(counts.max()) if n else 0
         order = np.argsort(-counts, kind="stable")
@@ -116,6 +142,12 @@ class Field:
             carry[live] = forward[at] = v / total[:, None]
             log_z[live] += np.log(total) + scale[at]
         last = np.einsum("ni,nij->nj", carry, end).sum(axis=1)
+        if slopes:
+            expected += (np.einsum("ni,nkij->nk", carry, end_slopes[0]) / last[:, None]).sum(axis=0)
+        before = np.zeros_like(forward)  # the forward vector before each marked word's run
+        if len(flat):
+            before[1:] = forward[:-1]
+            before[starts[:-1][counts > 0]] = (1.0, 0.0)
         log_z += np.log(last) + end_scale
         back = end.sum(axis=2)
         result = np.zeros(len(flat))
@@ -126,16 +158,28 @@ class Field:
             result[at] = joint[:, 1] / joint.sum(axis=1)
             v = back[live].copy()
             v[:, 1] *= emit[at]
+            if slopes:
+                at_run = np.einsum("ni,nij->nj", before[at], power[at])
+                pairs = at_run[:, :, None] * step * v[:, None, :]
+                whole = pairs.sum(axis=(1, 2))
+                expected[1:] += (pairs / whole[:, None, None]).sum(axis=0).ravel()
+                expected += (np.einsum("ni,nkij,nj->nk", before[at], power_slopes[0][at], v @ step.T) / whole[:, None]).sum(axis=0)
             v = np.einsum("nij,nj->ni", power[at], v @ step.T)
             back[live] = v / v.sum(axis=1)[:, None]
-        return np.split(result, starts[1:-1]) if n else [], log_z
-
-    def fit(self, chains, truth: list[np.ndarray], steps: int = STEPS) -> Field:
-        """Adam on the penalised log likelihood of fully labelled chains (other words are 0)."""
-        words = np.concatenate([c[1] for c in chains])
-        gold = np.concatenate(truth).astype(float)
-        weight_n = np.bincount(words, minlength=len(self.word))
-        seen = np.bincount(words, weights=gold, minlength=len(self.word))
+        found = np.split(result, starts[1:-1]) if n else []
+        return (found, log_z, expected) if slopes else (found, log_z)
+
+    def gradient(self, chains, truth: list[np.ndarray]) -> np.ndarray:
+        """Of the log likelihood of fully labelled chains (words that are not marked are 0), by the words, other and the moves."""
+        words, gold = np.concatenate([c[1] for c in chains]), np.concatenate(truth).astype(float)
+        size = len(self.word) + 1
+        marginal, _, expected = self.marginals(chains, True)
+        by_word = np.bincount(words, weights=gold, minlength=size) - np.bincount(words, weights=np.concatenate(marginal), minlength=size)
+        return np.concatenate([by_word[:-1], [by_word[-1] - expected[0]], self.moves(chains, truth) - expected[1:]])
+
+    @staticmethod
+    def moves(chains, truth: list[np.ndarray]) -> np.ndarray:
+        """How often the labelled chains go from state to state."""
         moves = np.zeros(4)
         for (at, _, n), y in zip(chains, truth, strict=True):
             pairs = 2 * np.r_[0, y][:-1] * np.r_[True, np.diff(at) == 1] + y if len(at) else np.empty(0)
@@ -144,18 +188,16 @@ class Field:
             moves += np.bincount(pairs.astype(int), minlength=4)
             moves[2] += (ones & after).sum()
             moves[0] += n - len(at) - (ones & after).sum()
-        total = max(1, len(words))
-        scale = np.concatenate([np.maximum(weight_n, 1), [total], np.full(4, total)]).astype(float)
+        return moves
+
+    def fit(self, chains, truth: list[np.ndarray], steps: int = STEPS) -> Field:
+        """Adam on the penalised log likelihood."""
+        words = np.concatenate([c[1] for c in chains])
+        n_words, total = np.bincount(words, minlength=len(self.word) + 1), max(1, len(words))
+        scale = np.concatenate([np.maximum(n_words[:-1], 1), [total], np.full(4, total)]).astype(float)
         m = v = np.zeros(len(self.word) + 5)
         for t in range(1, steps + 1):
-            marginal, base = self.marginals(chains)
-            expected = np.bincount(words, weights=np.concatenate(marginal), minlength=len(self.word))
-            grad = [seen - expected - 0.05 * self.word]
-            for name, i in (("other", None), *(("move", i) for i in range(4))):
-                moved = Field(self.word, self.other + (1e-4 if name == "other" else 0), self.move + (np.arange(4) == i) * 1e-4)
-                slope = (moved.marginals(chains)[1] - base).sum() / 1e-4
-                grad.append([(0.0 if name == "other" else moves[i]) - slope - 0.05 * (self.other if name == "other" else self.move[i])])
-            g = np.concatenate(grad) / scale
+            g = (self.gradient(chains, truth) - 0.05 * np.concatenate([self.word, [self.other], self.move])) / scale
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             delta = 0.15 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
             self.word = self.word + delta[: len(self.word)]
