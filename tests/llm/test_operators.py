@@ -14,7 +14,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import ann, bitpack, bpe, graph, jaccard, langid, lm, mixing, quality, secrets, toxicity
-from tidemark.llm.common import over_key
+from tidemark.llm.common import beside
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [None, "", " \n\t ", "a", "<|endoftext|>", "x" * 70_000, "Ünï çödé  d'été \x0b 日本語 ԱԲ՘ 'll don't\n\n  end ", "🙂 1234 $$$ ##\r\nA\tB"]
@@ -163,6 +163,7 @@ def brute_components(texts, n=4):
 @pytest.mark.parametrize("chunk", [8000, 5])
 def test_jaccard_join_loses_no_link(spark, monkeypatch, chunk):
     monkeypatch.setattr(jaccard, "CHUNK", chunk)
+    monkeypatch.setattr(jaccard, "LEAST_CHUNK", chunk)
     rng = random.Random(chunk)
     texts = [*ODD, "A b", "a B", "a b c"]
     shared = words(rng, 60, 90)
@@ -188,15 +189,20 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 200: 100, 300: 100, 500: 500}
 
 
-def test_hot_keys_give_what_a_window_gives(spark, tmp_path):
+def test_aggregates_beside_rows_are_what_a_window_gives(spark, tmp_path):
     spark.range(40_000).selectExpr("if(id % 3 = 0, 7, if(id % 3 = 1 and id % 4 = 0, null, id div 5)) AS k", "id * 37 % 1001 AS x").write.parquet(f"{tmp_path}/t")
     df, own = spark.read.parquet(f"{tmp_path}/t"), Window.partitionBy("k")
     stats = {"least": F.min("x"), "n": F.count("*")}
-    want = df.where("k is not null").withColumns({name: f.over(own) for name, f in stats.items()})
-    found = over_key(df, "k", stats)
+    want = df.where("k is not null").withColumns({name: f.over(own) for name, f in stats.items()}).where("n > 2").select("k", "x", "least", "n")
+    found = beside(df, "k", stats, "n > 2").select("k", "x", "least", "n")
     assert found.exceptAll(want).isEmpty() and want.exceptAll(found).isEmpty()
-    assert "BroadcastHashJoin" in found._jdf.queryExecution().toString()
-    assert over_key(df.where("x < 0"), "k", stats).count() == 0
+    assert beside(df.where("x < 0"), "k", stats, "true").count() == 0
+
+
+def test_components_that_do_not_settle_are_an_error(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        graph.components(edges, most_rounds=1)
 
 
 def test_backoff_automaton(spark):

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ship import ship
@@ -52,29 +52,17 @@ def counted(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= FEW else ids
 
 
-#: Most keys that :func:`over_key` treats as hot, which bounds what it broadcasts.
-HOT = 10_000
+def beside(rows: DataFrame, key: str, stats: dict, wanted: str) -> DataFrame:
+    """``rows`` whose key's aggregates ``stats`` meet ``wanted``, with these.
 
-
-def over_key(df: DataFrame, key: str, stats: dict[str, Column]) -> DataFrame:
-    """``df`` with the aggregates ``stats`` of each row's ``key``, as a window over the key gives them.
-
-    Keys that hold about 1/``HOT`` of the rows or more are aggregated before the shuffle and come back
-    by broadcast, so their rows never meet in one task; all other keys go through the window.  A sample
-    finds the hot keys, at most ``HOT``: what it finds changes the plan, never the result.  ``df`` is
-    read several times and should stand on a written table; rows without a key are left out.
+    The aggregates are summed before their shuffle and written, so both sides of the join are plain
+    exchanges: a key of any size is split by adaptive execution, and none meets in one task.  ``rows``
+    is read twice and should stand on a written table.
     """
-    window = Window.partitionBy(key)
-    df = df.where(F.col(key).isNotNull())
-    drawn = df.select(key).sample(0.01, seed=1)
-    least = max(20, drawn.count() / HOT)
-    hot = checkpoint(drawn.groupBy(key).count().where(F.col("count") >= least).select(key))
-    if hot.isEmpty():
-        return df.withColumns({k: v.over(window) for k, v in stats.items()})
-    hot = F.broadcast(hot)
-    whole = df.join(hot, key, "left_semi").groupBy(key).agg(*[v.alias(k) for k, v in stats.items()])
-    rest = df.join(hot, key, "left_anti").withColumns({k: v.over(window) for k, v in stats.items()})
-    return rest.unionByName(df.join(F.broadcast(whole), key))
+    folder = run_folder(rows.sparkSession, "stats")
+    made = rows.groupBy(key).agg(*[v.alias(k) for k, v in stats.items()]).where(wanted)
+    made.write.parquet(folder)
+    return rows.join(rows.sparkSession.read.schema(made.schema).parquet(folder), key)
 
 
 def unused(columns: list[str], *names: str) -> list[str]:

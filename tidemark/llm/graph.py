@@ -2,27 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, over_key
+from .common import beside, checkpoint
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (long columns a, b); root is the smallest node reachable.
 
-    Each round is one shuffle by node of each star step and ends in the shared checkpoint folder;
-    nothing but totals reaches the driver; not to settle in ``most_rounds`` is an error.  Self-loops keep single nodes.  A hub's neighbours
-    never meet in one task: its minimum is taken before the shuffle and comes back by broadcast.
+    Each step takes a node's least neighbour before the shuffle and joins it to the node's edges, which
+    adaptive execution splits, so a hub's neighbours never meet in one task; a round ends in the shared checkpoint
+    folder.  Nothing but totals reaches the driver; not to settle in ``most_rounds`` is an error.
+    Self-loops keep single nodes.
     """
-    own = Window.partitionBy("a")
     now = edges.where("a is not null and b is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     nodes = checkpoint(now.distinct())
     now, last = nodes.where("a <> b"), None
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = over_key(both, "a", {"m": F.min("b")}).withColumn("m", F.least("a", "m")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.withColumn("m", F.min("b").over(own))
+        least = beside(both, "a", {"m": F.min("b")}, "true")
+        large = checkpoint(least.withColumn("m", F.least("a", "m")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        low = beside(large, "a", {"m": F.min("b")}, "true")
         small = low.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         now = checkpoint(small)
         total = now.agg(F.count("*"), F.expr("sum(cast(xxhash64(a, b) as decimal(38, 0)))")).collect()[0]

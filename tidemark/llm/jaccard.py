@@ -10,7 +10,7 @@ A document is the set of its distinct n-word shingles.  The method:
    and an R-tree of the points is searched: the overlap with any set of a box is at most the sum over
    the groups of the smaller of count and box top.  Pairs that survive the bound are verified on the
    sets, unless they are connected already.
-4. Linked sets are united; regions above ``CHUNK`` sets are searched chunk against chunk by many tasks.
+4. Linked sets are united; large regions are searched chunk against chunk by many tasks.
 
 No step lists the pairs of a group, and none drops a set: step 2 loses no link (prefix filtering is
 exact for every global order of tokens), step 3 none either (the bound is an upper bound).
@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import counted, run_folder, table, text_bytes
+from .common import beside, checkpoint, counted, run_folder, table, text_bytes
 from .graph import components
 
 WORDS = 4
@@ -36,7 +36,8 @@ PERCENT = 85
 GROUPS = 64
 #: Further hashes kept for rarity, as a share of the set.
 EXTRA = 0.15
-#: Most sets of a region that one task searches at once.
+#: Sets of a region that one task searches at once: a twentieth of the region, but so many at least and at most.
+LEAST_CHUNK = 300
 CHUNK = 8000
 MEMO = 500_000
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
@@ -189,18 +190,6 @@ def signatures(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataF
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, hi long, lo long, prefix array<long>")
 
 
-def beside(rows: DataFrame, key: str, stats: dict, wanted: str) -> DataFrame:
-    """``rows`` whose key's aggregates ``stats`` meet ``wanted``, with these.
-
-    The aggregates are summed before their shuffle and written, so both sides of the join are plain
-    exchanges: a key of any size is split by adaptive execution, and none meets in one task.  ``rows``
-    is read twice and should stand on a written table.
-    """
-    folder = run_folder(rows.sparkSession, "stats")
-    rows.groupBy(key).agg(*[v.alias(k) for k, v in stats.items()]).where(wanted).write.parquet(folder)
-    return rows.join(rows.sparkSession.read.parquet(folder), key)
-
-
 def regions(signed: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, root): low hashes of sets that may link with another, and their region."""
     rows = signed.where("prefix is not null").select(F.col("lo").alias("sid"), "n", F.explode("prefix").alias("token"))
@@ -228,8 +217,10 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     region = regions(signed, percent)
     # one document stands for each set of a region
     classes = signed.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"))
-    members = classes.join(region, classes.lo == region.node).select("rep", "root")
-    sized = members.withColumn("chunks", F.ceil(F.count("*").over(Window.partitionBy("root")) / CHUNK))
+    members = checkpoint(classes.join(region, classes.lo == region.node).select("rep", "root").where("rep is not null"))
+    sized = beside(members, "root", {"held": F.count("*")}, "held > 1")
+    size = F.least(F.lit(CHUNK), F.greatest(F.lit(min(LEAST_CHUNK, CHUNK)), F.ceil(F.col("held") / 20)))
+    sized = sized.withColumn("chunks", F.ceil(F.col("held") / size))
     own = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
     # chunk i meets every chunk j >= i: a member goes to the pairs (i, j) and (j, i)
     spread = sized.withColumn("chunk", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks").cast("int") - 1)))
