@@ -183,6 +183,20 @@ def test_jaccard_join_loses_no_link(spark, monkeypatch, chunk):
     assert jaccard.join(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_jaccard_join_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(22)
+    texts = ["A b", "a B", "a b c", "", " ", "x\x1cy z", *[" ".join(words(rng, 40, 60)) for _ in range(80)]]
+    texts += [t + " more" for t in texts[6:30]] + texts[6:12]
+    docs_of(spark, texts).where("text is not null").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = sorted(con.execute(jaccard.SQL).fetchall())
+    got = sorted(tuple(r) for r in jaccard.op7_jaccard_join(spark, str(tmp_path)).collect())
+    assert got == want and len({r[2] for r in want}) < len(want)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (300, 200), (7, 7), (500, 500)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -260,3 +260,17 @@ def keep_one(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFra
 
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
+
+
+#: The same by all shared shingles, in DuckDB's SQL.
+SQL = r"""WITH RECURSIVE w0 AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+w1 AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i, len(w) AS n FROM w0 WHERE len(w) >= 4),
+sh AS MATERIALIZED (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, i, n, hash(w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o) AS s FROM w1 WINDOW o AS (PARTITION BY doc_id ORDER BY i)) WHERE i <= n - 3 UNION ALL SELECT doc_id, hash(array_to_string(w, ' ')) FROM w0 WHERE len(w) BETWEEN 1 AND 3),
+sz AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+tw AS MATERIALIZED (SELECT sh.doc_id, sh.s FROM sh JOIN (SELECT s FROM sh GROUP BY 1 HAVING count(*) > 1) USING (s)),
+pr AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM tw a JOIN tw b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+lk AS MATERIALIZED (SELECT a, b FROM pr JOIN sz x ON x.doc_id = a JOIN sz y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+ed AS MATERIALIZED (SELECT a, b FROM lk UNION ALL SELECT b, a FROM lk),
+rc AS (SELECT a AS doc_id, a AS r FROM (SELECT DISTINCT a FROM ed) UNION SELECT ed.b, rc.r FROM rc JOIN ed ON ed.a = rc.doc_id WHERE rc.r < ed.b),
+co AS (SELECT doc_id, min(r) AS component_id FROM rc GROUP BY 1)
+SELECT d.doc_id, coalesce(sz.n, 0) AS n_shingles, coalesce(least(co.component_id, d.doc_id), d.doc_id) AS component_id FROM documents d LEFT JOIN sz USING (doc_id) LEFT JOIN co USING (doc_id)"""
