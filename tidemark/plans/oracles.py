@@ -225,7 +225,16 @@ SELECT horizon, round(pba, 5) + 0.0 AS pooled_balanced_accuracy, round(ci_low, 5
 
 GATE = gate_sql()
 
+def by_supplier(text: str) -> str:
+    """SQL over one series, for the series of every supplier."""
+    bars = PANEL.replace("l_returnflag", "CAST(l_suppkey AS VARCHAR)").replace("panel AS (", "bars AS (").replace("AS symbol, CAST(l_shipdate AS DATE)", "AS symbol, CAST(l_shipdate AS DATE)")
+    return text.replace(BARS, bars).replace("(ORDER BY row_id", "(PARTITION BY symbol ORDER BY row_id")
+
+
 SQL = {
+    "supplier_moments": by_supplier(q({n: e for s in SPANS for n, e in ((f"return_mean_{s}", over("avg(r)", "r", s)), (f"return_std_{s}", over("stddev_samp(r)", "r", s)))})).replace("SELECT row_id", "SELECT symbol, row_id"),
+    "supplier_momentum": by_supplier(q({n: e for s in SPANS for n, e in ((f"momentum_{s}", f"lp - {shift('lp', s)}"), (f"price_zscore_{s}", z("lp", s)), (f"drawdown_{s}", f"close / ({over('max(close)', 'close', s)}) - 1"))})).replace("SELECT row_id", "SELECT symbol, row_id"),
+    "supplier_labels": by_supplier(f"WITH {LABELS} SELECT symbol, horizon, count(*) FILTER (WHERE eligible) AS n_eligible, count(*) FILTER (WHERE act) AS n_actionable, {R6('sum(e_ret)', 'total')} FROM labels GROUP BY 1, 2"),
     "ohlcv_bars": f"WITH {BARS} SELECT symbol, row_id, {DAY}, {SHOW} FROM bars",
     "bars_panel": f"WITH {PANEL} SELECT symbol, row_id, {DAY}, {SHOW8} FROM panel",
     "validation_counts": f"WITH {BARS} SELECT count(*) AS n_rows, count(*) FILTER (WHERE date IS NULL) AS bad_dates, count(*) - count(DISTINCT date) AS duplicate_dates, count(*) FILTER (WHERE NOT isfinite(open) OR NOT isfinite(high) OR NOT isfinite(low) OR NOT isfinite(close) OR NOT isfinite(volume)) AS non_finite, count(*) FILTER (WHERE least(open, high, low, close) <= 0) AS non_positive, count(*) FILTER (WHERE volume < 0) AS negative_volume, count(*) FILTER (WHERE high < greatest(open, close, low) OR low > least(open, close, high)) AS bad_range FROM bars",

@@ -42,6 +42,18 @@ def trials(spark, sf) -> DataFrame:
     return wide.select((F.col("horizon") * 10 + F.col("a.arm")).alias("trial_id"), "row_id", (F.when(F.col("a.x") >= 0, 1).otherwise(-1) * F.col("executable_forward_log_return")).alias("ret"))
 
 
+def suppliers(spark, sf) -> DataFrame:
+    """A series of bars for each supplier: the symbols grow with the data."""
+    return B.bars_panel(read(spark, sf, "lineitem"), "l_suppkey")
+
+
+def panel(made) -> callable:
+    def query(spark, sf):
+        cols = made()
+        return rounded(features.base(suppliers(spark, sf)).withColumns(cols).select("symbol", "row_id", *cols))
+    return query
+
+
 def family(made) -> callable:
     def query(spark, sf):
         cols = made()
@@ -224,6 +236,9 @@ BAR = ["symbol", "row_id", "date", "open", "high", "low", "close", "volume"]
 QUERIES = {
     "ohlcv_bars": lambda s, d: rounded(orders(s, d)),
     "bars_panel": lambda s, d: rounded(B.bars_panel(read(s, d, "lineitem")), 8),
+    "supplier_moments": panel(features.moments),
+    "supplier_momentum": panel(features.momentum),
+    "supplier_labels": lambda s, d: rounded(labels.all_horizons(suppliers(s, d)).groupBy("symbol", "horizon").agg(F.count_if("is_modeling_eligible").alias("n_eligible"), F.count_if("is_actionable").alias("n_actionable"), F.sum("executable_forward_log_return").alias("total"))),
     "validation_counts": lambda s, d: rounded(B.violations(orders(s, d))),
     "drop_newest_bar": lambda s, d: rounded(B.drop_newest(B.bars_panel(read(s, d, "lineitem"))).groupBy("symbol").agg(F.count("*").alias("n"), F.max("date").alias("last"))),
     "dev_prefix_scan": lambda s, d: rounded(B.development_prefix(orders(s, d), "2999-01-01", 500)),

@@ -94,12 +94,12 @@ def bars_orders(orders: DataFrame) -> DataFrame:
     return canonical(bars, "ORDERS")
 
 
-def bars_panel(lineitem: DataFrame) -> DataFrame:
-    """Daily series of unit prices for each return flag; ties in the order keys are broken by every other column."""
+def bars_panel(lineitem: DataFrame, by: str = "l_returnflag") -> DataFrame:
+    """Daily series of unit prices for each value of ``by``; ties in the order keys are broken by every other column."""
     keys = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
     price = F.col("l_extendedprice") / F.col("l_quantity")
-    rows = lineitem.where("l_shipdate is not null and l_quantity > 0").select(F.col("l_returnflag").alias("symbol"), F.to_date("l_shipdate").cast("timestamp_ntz").alias("date"), keys.alias("k"), price.alias("p"), "l_quantity")
-    bars = rows.groupBy("symbol", "date").agg(F.min_by("p", "k").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", "k").alias("close"), F.sum("l_quantity").alias("volume"))
+    rows = lineitem.where("l_shipdate is not null and l_quantity > 0").select(F.col(by).cast("string").alias("symbol"), F.to_date("l_shipdate").cast("timestamp_ntz").alias("date"), keys.alias("k"), price.alias("p"), "l_quantity")
+    bars = rows.where("symbol is not null").groupBy("symbol", "date").agg(F.min_by("p", "k").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", "k").alias("close"), F.sum("l_quantity").alias("volume"))
     return canonical(bars)
 
 
