@@ -13,7 +13,7 @@ def backward_asof(decisions: DataFrame, source: DataFrame, features: list[str],
     """``decisions`` with ``features`` and audit columns, by one union and one window: no range join.
 
     The whole latest row counts, nulls included.  A match older than ``max_staleness_seconds`` keeps its
-    times and loses its values.  A key's rows are one sorted run, read once.
+    times and loses its values.  A key's rows are one sorted run, read once; without a key a day's are.
     """
     by = list(by)
     for df, c in ((decisions, on), (source, observed), (source, available)):
@@ -33,8 +33,14 @@ def backward_asof(decisions: DataFrame, source: DataFrame, features: list[str],
     right = source.select(*by, F.col(available).alias("__t"), F.lit(0).alias("__side"), packed.alias("__row"))
     left = decisions.select(*by, F.col(on).alias("__t"), F.lit(1).alias("__side"), F.struct(*decisions.columns).alias("__decision"))
     both = right.unionByName(left, allowMissingColumns=True)
-    run = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if not by:  # without a key each day is a run of its own, and a table of the days carries the last row on
+        both = both.withColumn("__day", F.date_trunc("day", "__t"))
+        days = both.groupBy("__day").agg(F.max_by("__row", F.when(F.col("__side") == 0, F.col("__t"))).alias("__of_day"))
+        carried = days.withColumn("__before", F.last("__of_day", ignorenulls=True).over(Window.orderBy("__day").rowsBetween(Window.unboundedPreceding, -1))).drop("__of_day")
+    run = Window.partitionBy(*(by or ["__day"])).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hit = both.withColumn("__hit", F.last("__row", ignorenulls=True).over(run)).where("__side = 1")
+    if not by:
+        hit = hit.join(F.broadcast(carried), "__day").withColumn("__hit", F.coalesce("__hit", "__before"))  # a row for each day
     age = F.col("__t").cast("double") - F.col("__hit.__a").cast("double")
     stale = F.coalesce(age > max_staleness_seconds, F.lit(False)) if max_staleness_seconds is not None else F.lit(False)
     usable = F.col("__hit").isNotNull() & ~stale
