@@ -19,6 +19,7 @@ import json
 import mmap
 import os
 import tempfile
+from array import array
 from collections import Counter
 from functools import lru_cache
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship, table, text_bytes
+from .common import release, ship, table, text_bytes
 
 #: The pre-tokenisation pattern of the byte-level tokenizer (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -38,7 +39,7 @@ LEXICON_SHARE = 2e-5
 #: Most words in the lexicon, which bounds the broadcast automaton to some MB.
 LEXICON_WORDS = 50_000
 #: Entries of a worker's memo before it is emptied.
-MEMO = 300_000
+MEMO = 200_000
 NONE = 1 << 40
 
 
@@ -198,7 +199,7 @@ class ByteBPE:
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         self.path = path
         self.lexicon = Lexicon(lexicon) if lexicon else None
-        self.memo: dict[str, list[int]] = {}
+        self.memo: dict[str, bytes] = {}  # ids as native unsigned 32-bit integers
 
     @property
     def library(self):
@@ -257,9 +258,10 @@ class ByteBPE:
         raw = [w.encode() for w in words]
         found = self.lexicon.find(raw).tolist() if self.lexicon else [-1] * len(raw)
         for word, b, index in zip(words, raw, found, strict=True):
-            self.memo[word] = self.lexicon.ids_of(index) if index >= 0 else self.merge(b)
+            self.memo[word] = array("I", self.lexicon.ids_of(index) if index >= 0 else self.merge(b)).tobytes()
 
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+    def encode_raw(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as native unsigned 32-bit integers."""
         memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
@@ -270,25 +272,21 @@ class ByteBPE:
         new = {w for parts in cut for part in parts if type(part) is list for w in part if w not in memo}
         if new:
             self.learn(list(new))
-        out = []
-        for parts in cut:
-            ids: list[int] = []
-            for part in parts:
-                if type(part) is list:
-                    for x in map(memo.__getitem__, part):
-                        ids += x
-                else:
-                    ids.append(part)
-            out.append(ids)
-        return out
+        get = memo.__getitem__
+        return [b"".join([b"".join(map(get, part)) if type(part) is list else array("I", [part]).tobytes() for part in parts]) for parts in cut]
+
+    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+        return [memoryview(x).cast("I").tolist() for x in self.encode_raw(texts)]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.pieces_of.__getitem__, ids)).decode("utf-8", errors="replace")
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _tokenizer(path: str, lexicon: bytes | None) -> ByteBPE:
-    return ByteBPE(path, lexicon)
+    made = ByteBPE(path, lexicon)
+    release()  # what the parsed file took
+    return made
 
 
 # --- the operator ----------------------------------------------------------
@@ -319,6 +317,8 @@ def frequent_words(docs: DataFrame, path: str | None = None, share: float = LEXI
         kept = {w: n for w, n in counts.items() if n >= share * total and len(w) <= 64}
         if kept:
             yield pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w in kept], pa.string()), pa.array(list(kept.values()), pa.int64())], ["word", "n"])
+        del counts, kept
+        release()
 
     rows = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     words = [r[0] for r in rows.orderBy(F.desc("n"), "word").limit(most).collect()]
@@ -391,6 +391,8 @@ def digest(docs: DataFrame, path: str | None = None, lexicon: bytes | None = Non
                     rows[1].append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
                     rows[2].append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([doc_ids, pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.memo.clear()
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

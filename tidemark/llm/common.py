@@ -16,14 +16,26 @@ from ..functions.ship import ship
 ASCII_SPACE = r"[\x20\x09-\x0D]"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+#: Bytes of a batch that goes to a Python worker, where the session keeps Spark's default of 64 MB.
+BATCH, DEFAULT_BATCH = "16m", 1 << 26
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ships the package and keeps batches small, as a batch of whole texts is held several times over."""
     ship(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "").rstrip("b") == str(DEFAULT_BATCH):
+        spark.conf.set(key, BATCH)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``; one of our own only where that is unset."""
-    ship(spark)
+    prepare(spark)
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if path is None:
@@ -91,6 +103,21 @@ def crc_mod(column: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def release() -> None:
+    """At the end of a task gives what it has freed back to the system, as the worker lives on."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
 def text_bytes(column) -> list[bytes]:
     """UTF-8 of an Arrow string column; null counts as empty."""
     import pyarrow as pa

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import beside, checkpoint, counted, run_folder, table, text_bytes
+from .common import beside, checkpoint, counted, release, run_folder, table, text_bytes
 from .graph import components
 
 WORDS = 4
@@ -39,7 +39,7 @@ EXTRA = 0.15
 #: Sets of a region that one task searches at once: a twentieth of the region, but so many at least and at most.
 LEAST_CHUNK = 300
 CHUNK = 8000
-MEMO = 500_000
+MEMO = 200_000
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 
 
@@ -186,6 +186,9 @@ def signatures(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataF
                     seen.add(whole)
                     prefix.append(s[: kept(len(s), percent)].view(np.int64))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "n", "hi", "lo", "prefix"])
+        memo.clear()
+        seen.clear()
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, hi long, lo long, prefix array<long>")
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, table, text_bytes, without
+from .common import checkpoint, release, table, text_bytes, without
 
 #: Largest share of a stratum's good documents that the rules may reject together.
 RISK = 0.01
@@ -106,6 +106,7 @@ def counts(docs: DataFrame, keep: list[str]) -> DataFrame:
             rows = [measure(t) for i in range(0, len(batch), 512) for t in text_bytes(batch.column(len(keep)).slice(i, 512))]
             made = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] or [pa.array([], pa.int64())] * len(names)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], [*keep, *names])
+        release()
 
     return base.mapInArrow(run, with_longs(base.select(*keep).schema, names))
 
