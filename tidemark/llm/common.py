@@ -24,7 +24,7 @@ def prepare(spark: SparkSession) -> None:
     """Ships the package and keeps batches small, as a batch of whole texts is held several times over."""
     ship(spark)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, "").rstrip("b") == str(DEFAULT_BATCH):
+    if spark.conf.get(key).rstrip("b") == str(DEFAULT_BATCH):
         spark.conf.set(key, BATCH)
 
 
