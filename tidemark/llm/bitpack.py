@@ -8,9 +8,10 @@ offset per block (int64); the blocks.  A block holds up to ``block`` ids of
 ``width`` bits each, least significant bit first, and starts at a byte.  Any
 id is therefore found by arithmetic alone, and a block is unpacked by numpy.
 
-Defined cases: a null text counts as empty (only the end id); a null doc_id
-sorts first; repeated rows are written as often as they occur; an empty table
-writes no file and gives no rows; extra columns are ignored.
+Defined cases: a null text counts as empty (only the end id); null doc_ids
+come first; repeated rows are written as often as they occur, rows of one
+doc_id in any order; an empty table writes no file and gives no rows; texts are
+encoded whole, however long; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ Pre-tokens outside the lexicon are merged exactly by rank.
 
 Defined cases: a null text counts as empty (no tokens, empty decoded text);
 texts are processed whole, however long; repeated rows give repeated results;
-extra columns are ignored by :func:`digest` and kept by :func:`encode`.
+an empty table gives no rows; merges of equal rank go from the left, and words of equal
+frequency enter the lexicon in alphabetical order; extra columns are ignored by
+:func:`digest` and kept by :func:`encode`.
 """
 
 from __future__ import annotations

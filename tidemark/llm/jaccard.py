@@ -256,7 +256,10 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` whose document is the smallest of its component; rows without an id stay."""
+    """The rows of ``docs`` whose document is the smallest of its component; rows without an id stay.
+
+    An id of several texts goes with all of them if one links it to a smaller id.
+    """
     other = join(docs.where("doc_id is not null"), n, percent).where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(counted(other), "doc_id", "left_anti").select(docs.columns)
 

@@ -20,7 +20,8 @@ one and is counted with another, and counts as far as its ends are kept.
 Defined cases: null and empty texts hold the end token alone; words that only
 held-out texts have are unknown; without training tokens every score uses
 V = N = 0; repeated rows are scored as often as they occur; null ids are
-training rows; extra columns are ignored.
+training rows; an empty table gives no rows; texts are read whole, and one longer than
+a block is a block of its own; scores need no rule for ties; extra columns are ignored.
 """
 
 from __future__ import annotations
