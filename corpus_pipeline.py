@@ -1,4 +1,10 @@
-"""Corpus pipeline: quality rules, near duplicates, secrets, mixing, token counts."""
+"""Corpus pipeline: quality rules, near duplicates, secrets, mixing, token counts.
+
+Defined cases: documents whose text is null or empty go in the first stage, as they break its base rule; rows with a null
+doc_id are documents of their own, which the near-duplicate stage keeps; repeated rows share their fate in every stage but
+that one, which keeps all rows of the smallest id of a group; very long texts are read whole; in an empty table every stage gives
+no rows; extra columns, whatever their names, go through to the last stage, which returns its own.
+"""
 
 from __future__ import annotations
 
