@@ -197,7 +197,9 @@ def test_jaccard_join_equals_its_sql(spark, tmp_path):
     assert got == want and len({r[2] for r in want}) < len(want)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [graph.FEW, 0])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW", few)
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (300, 200), (7, 7), (500, 500)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 200: 100, 300: 100, 500: 500}
