@@ -169,13 +169,13 @@ class Field:
         found = np.split(result, starts[1:-1]) if n else []
         return (found, log_z, expected) if slopes else (found, log_z)
 
-    def gradient(self, chains, truth: list[np.ndarray]) -> np.ndarray:
-        """Of the log likelihood of fully labelled chains (words that are not marked are 0), by the words, other and the moves."""
+    def gradient(self, chains, truth: list[np.ndarray], moves: np.ndarray | None = None) -> np.ndarray:
+        """Of the log likelihood of fully labelled chains (words that are not marked are 0), by the words, other and the moves; ``moves``, where given, are the chains' own."""
         words, gold = np.concatenate([c[1] for c in chains]), np.concatenate(truth).astype(float)
         size = len(self.word) + 1
         marginal, _, expected = self.marginals(chains, True)
         by_word = np.bincount(words, weights=gold, minlength=size) - np.bincount(words, weights=np.concatenate(marginal), minlength=size)
-        return np.concatenate([by_word[:-1], [by_word[-1] - expected[0]], self.moves(chains, truth) - expected[1:]])
+        return np.concatenate([by_word[:-1], [by_word[-1] - expected[0]], (self.moves(chains, truth) if moves is None else moves) - expected[1:]])
 
     @staticmethod
     def moves(chains, truth: list[np.ndarray]) -> np.ndarray:
@@ -195,9 +195,10 @@ class Field:
         words = np.concatenate([c[1] for c in chains])
         n_words, total = np.bincount(words, minlength=len(self.word) + 1), max(1, len(words))
         scale = np.concatenate([np.maximum(n_words[:-1], 1), [total], np.full(4, total)]).astype(float)
+        moves = self.moves(chains, truth)
         m = v = np.zeros(len(self.word) + 5)
         for t in range(1, steps + 1):
-            g = (self.gradient(chains, truth) - 0.05 * np.concatenate([self.word, [self.other], self.move])) / scale
+            g = (self.gradient(chains, truth, moves) - 0.05 * np.concatenate([self.word, [self.other], self.move])) / scale
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             delta = 0.15 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
             self.word = self.word + delta[: len(self.word)]
